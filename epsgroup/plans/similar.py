@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epsgroup.operators import partition, sampling
 from epsgroup.operators.blockwise import group_blockwise
-from epsgroup.operators.local import group_partitions
+from epsgroup.operators.local import MEMBERS, group_partitions
 from epsgroup.operators.sizes import dimension_of, join_small, points_fit
 from epsgroup.operators.sums import vector_mean
 from epsgroup.workspace import Workspace
@@ -116,6 +116,8 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
         block_rows = min(options.block_rows, options.local_rows)
         blocks = group_blockwise(large, options.eps, block_rows, groups.dimension, ws, "large")
         members = blocks if members is None else members.unionByName(blocks)
+    if members is None:
+        members = rows.sparkSession.createDataFrame([], MEMBERS)
     groups.members = ws.save(members, "members")
     return groups
 

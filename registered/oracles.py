@@ -83,11 +83,11 @@ def first_fit(copies, eps):
     return (
         f"o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) nr FROM {copies}), "
         "s AS (SELECT part, 0::BIGINT nr, []::DOUBLE[][][] groups, 0::BIGINT pos FROM o GROUP BY part "
-        "UNION ALL SELECT part, nr, CASE WHEN at = 0 THEN list_append(groups, [f]) ELSE "
-        "list_concat(list_append(groups[:at - 1], list_append(groups[at], f)), groups[at + 1:]) END, "
-        "CASE WHEN at = 0 THEN len(groups) + 1 ELSE at END FROM "
+        "UNION ALL SELECT part, nr, CASE WHEN hit = 0 THEN list_append(groups, [f]) ELSE "
+        "list_concat(list_append(groups[:hit - 1], list_append(groups[hit], f)), groups[hit + 1:]) END, "
+        "CASE WHEN hit = 0 THEN len(groups) + 1 ELSE hit END FROM "
         "(SELECT s.part, o.nr, s.groups, o.f, coalesce(list_position(list_transform(s.groups, "
-        f"lambda m: len(list_filter(m, lambda y: list_distance(y, o.f) > {eps})) = 0), true), 0)::BIGINT at "
+        f"lambda m: len(list_filter(m, lambda y: list_distance(y, o.f) > {eps})) = 0), true), 0)::BIGINT hit "
         "FROM s JOIN o ON o.part = s.part AND o.nr = s.nr + 1)), "
         "g AS MATERIALIZED (SELECT o.part, o.id, o.base, o.f, min(o.id) OVER (PARTITION BY o.part, s.pos) founder "
         "FROM o JOIN s ON s.part = o.part AND s.nr = o.nr) "

@@ -182,7 +182,7 @@ def _similar(table, eps, share=None, block_share=None, **options):
         rows = table(spark, folder)
         total = rows.count() if share or block_share else 0
         threshold = max(1, int(total * share)) if share else NO_THRESHOLD
-        sizes = {"local_rows": int(total * block_share), "block_rows": int(total * block_share / 2)} if block_share else {}
+        sizes = {"local_rows": int(total * block_share), "block_rows": int(total * block_share)} if block_share else {}
         return similar.run(rows, similar.Options(eps, threshold=threshold, **sizes, **options))
 
     return run
