@@ -69,11 +69,12 @@ def _group_wave(rows, total, eps, block_rows, ws, name, step):
         .withColumn("offers", F.array().cast("array<struct<group_id:bigint,gap:double>>"))
     )
     waiting = ws.save(waiting, f"{name}-waiting-{step}")
+    founded = 0
     while True:
-        last = _next_cells(waiting, block_rows)
-        if not last:
+        last = _next_cells(waiting, block_rows).toArrow()
+        if not len(last):
             return step
-        ends = rows.sparkSession.createDataFrame(last, "path string, end bigint")
+        ends = rows.sparkSession.createDataFrame(last)
         marked = waiting.join(F.broadcast(ends), "path")
         block = marked.where(F.col("cell") <= F.col("end")).drop("end", "cell")
         grouped = block.groupBy("path").applyInArrow(_grouper(eps), LABELLED)
@@ -82,19 +83,21 @@ def _group_wave(rows, total, eps, block_rows, ws, name, step):
         blocks = _blocks(done)
         rest = marked.where(F.col("cell") > F.col("end")).drop("end")
         waiting = ws.save(_updated(rest, blocks, eps), f"{name}-waiting-{step + 1}")
-        settled, waiting = _settle(waiting, eps)
+        founded += sum(int(block.fresh.sum()) for block in blocks.values())
+        settled, waiting = _settle(waiting, eps, founded)
         ws.save_step(settled, f"{name}-labelled", step + 1)
         waiting = waiting.select(rest.columns)
         step += 2
 
 
 def _next_cells(waiting, block_rows):
-    """[(path, last cell of the next block)]: whole cells, up to block_rows waiting rows, at least one cell."""
+    """(path, end): the last cell of each partition's next block, which has whole cells, at least one, and up to
+    block_rows waiting rows."""
     order = Window.partitionBy("path").orderBy("cell")
     sums = waiting.groupBy("path", "cell").count()
     sums = sums.withColumn("upto", F.sum("count").over(order)).withColumn("nr", F.row_number().over(order))
     fitting = sums.where((F.col("upto") <= block_rows) | (F.col("nr") == 1))
-    return [tuple(r) for r in fitting.groupBy("path").agg(F.max("cell")).collect()]
+    return fitting.groupBy("path").agg(F.max("cell").alias("end"))
 
 
 def _grouper(eps):
@@ -171,8 +174,8 @@ def _updated(rest, blocks, eps):
     return rest.mapInArrow(update, rest.schema)
 
 
-def _settle(waiting, eps):
-    """(settled rows with group_id, rows that go on waiting)."""
+def _settle(waiting, eps, groups):
+    """(settled rows with group_id, rows that go on waiting). `groups` bounds the number of groups so far."""
     reach = (
         waiting.select("path", F.inline("offers")).groupBy("path", "group_id").agg(F.max("gap").alias("radius"))
     )
@@ -181,7 +184,7 @@ def _settle(waiting, eps):
     marked = waiting.withColumn("group_id", F.when(has_offer, first["group_id"])).withColumn(
         "gap", F.when(has_offer, first["gap"])
     )
-    marked = join_small(marked, reach, ["path", "group_id"], reach.count(), "left")
+    marked = join_small(marked, reach, ["path", "group_id"], groups, "left")
     safe = F.coalesce(F.col("gap") + F.col("radius") <= eps * SAFE, F.lit(False))
     settled = marked.where(safe).select("path", "id", "weight", "features", "base", "group_id")
     return settled, marked.where(~safe)

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+DRAWS = 1 << 60
 
 
 def draw(seed: int, id_column: str = "id") -> Column:
-    """The random order of the rows, as 32 hexadecimal digits."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
+    """The random order of the rows: a whole number below DRAWS."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_fraction(column: Column) -> Column:
     """A draw as a number in [0, 1)."""
-    return F.conv(F.substring(column, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return column / F.lit(float(DRAWS))
 
 
 def sample_rows(rows: DataFrame, k: int, seed: int, total: int | None = None) -> DataFrame:
@@ -27,8 +29,7 @@ def sample_rows(rows: DataFrame, k: int, seed: int, total: int | None = None) ->
     drawn = rows.withColumn("draw", draw(seed))
     expected = k + 10.0 * math.sqrt(k) + 40.0
     while expected < total:
-        cut = f"{int(expected / total * 2**32):08x}"
-        low = drawn.where(F.col("draw") < cut)
+        low = drawn.where(F.col("draw") < int(expected / total * DRAWS))
         if low.count() >= k:
             return low.orderBy("draw", "id").limit(k)
         expected *= 4

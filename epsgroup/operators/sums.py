@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 def vector_sum(rows: DataFrame, keys: list[str], dimension: int, weight=None, extra=()) -> DataFrame:
     """(keys, sums, n, extra...). One plain sum per coordinate, so partial sums form in every task and no row is
     exploded into its coordinates."""
-    weight = F.lit(1) if weight is None else F.col(weight)
-    coordinates = [F.sum(F.col("features")[i] * weight).alias(f"sum_{i}") for i in range(dimension)]
-    summed = rows.groupBy(*keys).agg(*coordinates, F.sum(weight).alias("n"), *extra)
+    values = [F.col("features")[i] for i in range(dimension)]
+    if weight is not None:
+        values = [v * F.col(weight) for v in values]
+    count = F.count("*") if weight is None else F.sum(weight)
+    coordinates = [F.sum(v).alias(f"sum_{i}") for i, v in enumerate(values)]
+    summed = rows.groupBy(*keys).agg(*coordinates, count.alias("n"), *extra)
     names = [c for c in summed.columns if c not in {f"sum_{i}" for i in range(dimension)}]
     sums = F.array(*[f"sum_{i}" for i in range(dimension)]).alias("sums")
     return summed.select(*keys, sums, *[c for c in names if c not in keys])

@@ -17,8 +17,6 @@ from epsgroup.operators.sums import vector_sum
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
-CENTERS = "cid int, center array<double>, n bigint, cost double"
-
 
 @dataclass
 class Clusters:
@@ -32,6 +30,14 @@ class Clusters:
     history: DataFrame | None
 
 
+def _center_table(spark, state) -> DataFrame:
+    """Centres held by the driver, k at most, as a table."""
+    columns = list(zip(*state)) or [[], [], [], []]
+    types = [pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64()]
+    arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, ["cid", "center", "n", "cost"]))
+
+
 def initial_centers(rows: DataFrame, k: int, seed: int, frequency: float | None = None) -> list:
     """k vectors of the table (all if there are fewer), without replacement; with a frequency, drawn from rows that
     pass with that probability."""
@@ -111,10 +117,10 @@ def fit(
     centers = initial_centers(rows, k, seed, frequency)
     ws = (workspace or Workspace(spark)) if keep_history else None
     if not centers:
-        return Clusters(spark.createDataFrame([], CENTERS), 0.0, 0, False, None)
+        return Clusters(_center_table(spark, []), 0.0, 0, False, None)
     state = [(cid, center, None, None) for cid, center in enumerate(centers)]
     if ws:
-        ws.save_step(spark.createDataFrame(state, CENTERS), "centers", 0)
+        ws.save_step(_center_table(spark, state), "centers", 0)
     features = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     previous, cost, iteration, converged = sys.float_info.max, 0.0, 0, False
     while iteration < max_iterations and not converged:
@@ -125,8 +131,8 @@ def fit(
         previous = cost
         iteration += 1
         if ws:
-            ws.save_step(spark.createDataFrame(state, CENTERS), "centers", iteration)
+            ws.save_step(_center_table(spark, state), "centers", iteration)
     features.unpersist()
-    final = spark.createDataFrame(state, CENTERS)
+    final = _center_table(spark, state)
     history = ws.steps("centers", final.schema).withColumnRenamed("step", "iteration") if ws else None
     return Clusters(final, cost, iteration, converged, history)

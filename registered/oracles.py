@@ -21,7 +21,7 @@ def group_by(value):
 
 
 def draw(seed):
-    return f"md5(concat('{seed}:', id))"
+    return f"concat('0x', substr(md5(concat('{seed}:', id)), 1, 15))::BIGINT"
 
 
 def vectors(table, seed=0):
@@ -44,7 +44,7 @@ def centers(table, k, seed, where="true"):
 
 
 def fraction(seed):
-    return f"concat('0x', substr({draw(seed)}, 1, 8))::BIGINT / 4294967296.0"
+    return f"{draw(seed)} / {1 << 60}::DOUBLE"
 
 
 def near(points, squared=False):

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
@@ -10,8 +11,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     builder = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,8 +29,12 @@ def table(spark):
     """(id, agg, features) from a list of vectors; ids count from 1."""
 
     def make(vectors, ids=None):
-        ids = ids or range(1, len(vectors) + 1)
-        rows = [(int(i), float(i), [float(x) for x in v]) for i, v in zip(ids, vectors)]
-        return spark.createDataFrame(rows, "id bigint, agg double, features array<double>")
+        ids = [int(i) for i in ids or range(1, len(vectors) + 1)]
+        columns = {
+            "id": pa.array(ids, pa.int64()),
+            "agg": pa.array([float(i) for i in ids]),
+            "features": pa.array([[float(x) for x in v] for v in vectors]),
+        }
+        return spark.createDataFrame(pa.table(columns))
 
     return make

@@ -17,7 +17,7 @@ def test_sample_is_the_lowest_draws_however_the_rows_lie(spark):
 
 def test_bernoulli(spark):
     df = spark.range(3000).withColumn("features", F.array(F.col("id").cast("double")))
-    kept = [i for i in range(3000) if int(twin.draw(1, i)[:8], 16) / 2**32 < 0.1]
+    kept = [i for i in range(3000) if twin.draw(1, i) / 2**60 < 0.1]
     want = sorted(kept, key=lambda i: twin.draw(1, i))[:50]
     assert {r["id"] for r in sampling.sample_bernoulli(df, 0.1, 50, 1).collect()} == set(want)
 

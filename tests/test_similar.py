@@ -40,7 +40,7 @@ def compare(table, vectors, options):
         dict(eps=0.05, num_pivots=5, threshold=90),
         dict(eps=0.05, num_pivots=4, threshold=90, pivot_ratio=0.05),
         dict(eps=0.05, num_pivots=5, threshold=150, window="metric"),
-        dict(eps=0.05, num_pivots=3, threshold=60, max_rounds=2, local_rows=20, block_rows=16),
+        dict(eps=0.05, num_pivots=3, threshold=60, max_rounds=2, local_rows=20, block_rows=40),
     ],
 )
 def test_like_plain_python(table, options):
@@ -57,11 +57,10 @@ def test_repeated_vectors(table):
     compare(table, vectors, similar.Options(0.2, num_pivots=5, threshold=150))
 
 
-@pytest.mark.parametrize("eps", [0.05, 0.3, 3.0])
-@pytest.mark.parametrize("dimension", [2, 10])
-def test_partitions_too_large_for_one_task(table, eps, dimension):
-    vectors = uniform(300, 3, dimension=dimension)
-    options = similar.Options(eps, num_pivots=1, threshold=MANY, local_rows=10, block_rows=64)
+@pytest.mark.parametrize("dimension,eps", [(2, 0.05), (2, 0.3), (10, 0.9), (2, 3.0)])
+def test_partitions_too_large_for_one_task(table, dimension, eps):
+    vectors = uniform(220, 3, dimension=dimension)
+    options = similar.Options(eps, num_pivots=1, threshold=MANY, local_rows=10, block_rows=100)
     compare(table, vectors, options)
 
 

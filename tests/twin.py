@@ -12,7 +12,7 @@ def distance(a, b):
 
 
 def draw(seed, id_):
-    return hashlib.md5(f"{seed}:{id_}".encode()).hexdigest()
+    return int(hashlib.md5(f"{seed}:{id_}".encode()).hexdigest()[:15], 16)
 
 
 def first_fit(rows, eps):
