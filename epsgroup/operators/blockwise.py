@@ -26,7 +26,7 @@ from epsgroup.workspace import Workspace
 ROW = "path string, id bigint, weight bigint, features array<double>, base array<int>"
 LABELLED = f"{ROW}, group_id bigint"
 CELLS_PER_BLOCK = 4
-PIECE = 256
+PAIRS = 1 << 22
 
 
 @dataclass
@@ -115,7 +115,8 @@ def _grouper(eps):
 
 def _blocks(done):
     """{path: Block} of one step; bounded by the block size and the partitions of a wave."""
-    table = done.select("path", "id", "features", "group_id").orderBy("path", "group_id", "id").toArrow()
+    table = done.select("path", "id", "features", "group_id").toArrow()
+    table = table.sort_by([(name, "ascending") for name in ("path", "group_id", "id")])
     coded = table.column("path").combine_chunks().dictionary_encode()
     codes = coded.indices.to_numpy()
     x, ids = kernels.vectors_of(table.column("features")), table.column("id").to_numpy()
@@ -150,8 +151,9 @@ def _updated(rest, blocks, eps):
             for number, path in enumerate(coded.dictionary.to_pylist()):
                 block = shared.value[path]
                 rows_here = np.flatnonzero(code == number)
-                for start in range(0, len(rows_here), PIECE):
-                    piece = rows_here[start : start + PIECE]
+                size = max(1, PAIRS // len(block.x))
+                for start in range(0, len(rows_here), size):
+                    piece = rows_here[start : start + size]
                     close = kernels.within(x[piece], block.x, eps)
                     accepts = np.logical_and.reduceat(close, block.starts, axis=1)
                     held = np.flatnonzero(np.isin(owner, piece))

@@ -90,7 +90,7 @@ def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLID
 
 def collect_pivots(pivots: DataFrame) -> dict:
     """{path: matrix} of a pivot table whose size was checked."""
-    table = pivots.select("path", "features").orderBy("path", "pid").toArrow()
+    table = pivots.toArrow().sort_by([("path", "ascending"), ("pid", "ascending")])
     if not len(table):
         return {}
     coded = table.column("path").combine_chunks().dictionary_encode()
@@ -98,6 +98,22 @@ def collect_pivots(pivots: DataFrame) -> dict:
     return dict(zip(coded.dictionary.to_pylist(), np.split(kernels.vectors_of(table.column("features")), starts[1:])))
 
 
+def keep_apart(pivots: DataFrame, gap: float) -> DataFrame:
+    """Pivots without those at most `gap` from an earlier one of their partition, numbered anew."""
+    ship(pivots.sparkSession)
+
+    def thin(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pid")
+        close = kernels.within(*[kernels.vectors_of(table.column("features"))] * 2, gap)
+        kept = []
+        for i in range(len(close)):
+            if not close[i, kept].any():
+                kept.append(i)
+        return table.take(kept).set_column(1, "pid", pa.array(range(len(kept)), pa.int32()))
+
+    return pivots.groupBy("path").applyInArrow(thin, "path string, pid int, features array<double>")
+
+
 def child_path(path: Column, index: Column) -> Column:
     return F.when(path == "", index.cast("string")).otherwise(F.concat_ws(".", path, index.cast("string")))
 

@@ -13,6 +13,7 @@ from epsgroup.operators.sizes import dimension_of, join_small, points_fit
 from epsgroup.operators.sums import vector_mean
 from epsgroup.workspace import Workspace
 
+APART = 4.0
 HOT_KEYS = 1000
 HOT_SALTS = 64
 
@@ -24,9 +25,9 @@ class Options:
     threshold: a partition with more original rows is split again, with the same seed and number of pivots.
     pivot_ratio: from the second round on, pivots per partition as a share of its rows instead of num_pivots.
     window: "euclidean" or "metric" (see `border_distance`).
-    shrink, max_growth, max_rounds: a split is cancelled, and its partition grouped unsplit, where it leaves a child
-        above the threshold that holds more than `shrink` of the rows, or leaves one and makes more than `max_growth`
-        copies per row; after max_rounds nothing is split. Without this, rows that no pivots separate never end.
+    shrink, max_growth, max_rounds: a split is given up where it leaves a child above the threshold that holds more
+        than `shrink` of the rows, or leaves one and makes more than `max_growth` copies per row; after max_rounds
+        nothing is split. Without this, rows that no pivots separate never end.
     local_rows: partitions with more distinct vectors are grouped block by block over many tasks.
     block_rows: size of such a block.
     """
@@ -41,7 +42,7 @@ class Options:
     max_growth: float = 4.0
     max_rounds: int = 8
     local_rows: int = 50_000
-    block_rows: int = 16_384
+    block_rows: int = 50_000
 
 
 @dataclass
@@ -125,7 +126,11 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
 def _partitions(groups: Groups):
     """(rows of partitions one task can group, rows of larger ones), each None if there are none.
 
-    Per round: the pivots, one written table of the rows with their targets (no copies yet), and one of the child
+    A partition whose split leaves it stuck is split once more with pivots that lie well apart: where a large share of
+    the rows crowds into one spot, so do the pivots, and every row of the spot is copied to all of them. If that does
+    not help either, the partition is grouped unsplit.
+
+    Per split: the pivots, one written table of the rows with their targets (no copies yet), and one of the child
     counts. Copies are made when a later step reads the rows, and only for splits that are kept.
     """
     o = groups.options
@@ -143,26 +148,40 @@ def _partitions(groups: Groups):
                 kind.append(join_small(rows, names, "path", count).select(*_PLACED))
 
     while True:
-        split, children = _split(groups, active, parts, number)
-        n = _tally(children, o)
         groups.rounds += 1
-        groups.cancelled += n["stuck_local"] + n["stuck_large"]
-        groups.above_threshold += n["stuck_above"]
-        stuck = children.where(~F.col("keep") & F.col("lead"))
-        stuck = stuck.select(F.col("parent").alias("path"), F.col("parent_vectors").alias("vectors"))
-        finish(split, stuck, n["stuck_local"], n["stuck_large"])
-        kept = children.where("keep")
-        copies = partition.copies_of(split)
-        finish(copies, partition.ready(kept, o.threshold), n["ready_local"], n["ready_large"])
-        number = n["over_local"] + n["over_large"]
+        over, over_local, over_large = [], 0, 0
+        for apart in (False, True):
+            split, children = _split(groups, active, parts, number, apart)
+            n = _tally(children, o)
+            kept = children.where("keep")
+            copies = partition.copies_of(split)
+            finish(copies, partition.ready(kept, o.threshold), n["ready_local"], n["ready_large"])
+            if n["over_local"] or n["over_large"]:
+                over_local, over_large = over_local + n["over_local"], over_large + n["over_large"]
+                over.append((copies, partition.oversized(kept, o.threshold).select("path", "rows", "vectors")))
+            number = n["stuck_local"] + n["stuck_large"]
+            if not number:
+                break
+            parts = children.where(~F.col("keep") & F.col("lead")).select(
+                F.col("parent").alias("path"),
+                F.col("parent_rows").alias("rows"),
+                F.col("parent_vectors").alias("vectors"),
+            )
+            active = join_small(split, parts.select("path"), "path", number).select(active.columns)
+        else:
+            groups.cancelled += number
+            groups.above_threshold += n["stuck_above"]
+            finish(active, parts, n["stuck_local"], n["stuck_large"])
+        number = over_local + over_large
         if not number:
             break
-        parts = partition.oversized(kept, o.threshold).select("path", "rows", "vectors")
-        active = join_small(copies, parts.select("path"), "path", number).select(active.columns)
+        columns = active.columns
+        active = [join_small(rows, names.select("path"), "path", number).select(columns) for rows, names in over]
+        active, parts = reduce(DataFrame.unionByName, active), reduce(DataFrame.unionByName, [p for _, p in over])
         if groups.rounds == o.max_rounds:
             groups.cancelled += number
             groups.above_threshold += number
-            finish(active, parts, n["over_local"], n["over_large"])
+            finish(active, parts, over_local, over_large)
             break
     return [reduce(DataFrame.unionByName, rows) if rows else None for rows in (local, large)]
 
@@ -170,14 +189,17 @@ def _partitions(groups: Groups):
 _PLACED = ["path", "id", "weight", "features", "base"]
 
 
-def _split(groups, active, parts, number):
-    """One round: (rows with `near` and `targets`, one row per child partition).
+def _split(groups, active, parts, number, apart):
+    """One split: (rows with `near` and `targets`, one row per child partition).
 
     Children have parent, path, rows, vectors, the number of rows and vectors of their parent, `keep` (the split of
     the parent is kept) and `lead` (first child of its parent).
     """
-    o, ws, r = groups.options, groups.workspace, groups.rounds
-    pivots, most = _pivots(o, active, parts, number)
+    o, ws = groups.options, groups.workspace
+    r = f"{groups.rounds}{'-apart' if apart else ''}"
+    pivots, most = _pivots(o, active, parts if groups.rounds > 1 else None, number)
+    if apart:
+        pivots = partition.keep_apart(pivots, APART * o.eps)
     if points_fit(number * most, groups.dimension):
         split = partition.split_shared(active, partition.collect_pivots(pivots), o.eps, o.window)
     else:

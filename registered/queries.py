@@ -327,7 +327,7 @@ def generated_groups(spark, folder):
 
 def generated_recovered(spark, folder):
     """Similarity group-by finds the generated groups again."""
-    groups = similar.run(_generated(spark, folder), similar.Options(2.0, num_pivots=20, threshold=200))
+    groups = _similar(_generated, 2.0, num_pivots=20, share=0.2)(spark, folder)
     return groups.original_rows().groupBy("group_id").agg(F.min("agg").alias("low"), F.max("agg").alias("high"))
 
 

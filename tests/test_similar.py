@@ -40,7 +40,7 @@ def compare(table, vectors, options):
         dict(eps=0.05, num_pivots=5, threshold=90),
         dict(eps=0.05, num_pivots=4, threshold=90, pivot_ratio=0.05),
         dict(eps=0.05, num_pivots=5, threshold=150, window="metric"),
-        dict(eps=0.05, num_pivots=3, threshold=60, max_rounds=2, local_rows=20, block_rows=40),
+        dict(eps=0.05, num_pivots=3, threshold=60, max_rounds=2, local_rows=40, block_rows=40),
     ],
 )
 def test_like_plain_python(table, options):
@@ -60,7 +60,7 @@ def test_repeated_vectors(table):
 @pytest.mark.parametrize("dimension,eps", [(2, 0.05), (2, 0.3), (10, 0.9), (2, 3.0)])
 def test_partitions_too_large_for_one_task(table, dimension, eps):
     vectors = uniform(220, 3, dimension=dimension)
-    options = similar.Options(eps, num_pivots=1, threshold=MANY, local_rows=10, block_rows=100)
+    options = similar.Options(eps, num_pivots=1, threshold=MANY, local_rows=70, block_rows=70)
     compare(table, vectors, options)
 
 
@@ -69,7 +69,7 @@ def test_large_partitions_in_waves(table, monkeypatch):
 
     monkeypatch.setattr(blockwise, "POINT_BYTES", 1)
     vectors = uniform(200, 4)
-    compare(table, vectors, similar.Options(0.1, num_pivots=2, threshold=MANY, local_rows=50, block_rows=50))
+    compare(table, vectors, similar.Options(0.1, num_pivots=2, threshold=MANY, local_rows=70, block_rows=70))
 
 
 def test_tight_group_is_settled_after_one_block(table, spark):
@@ -92,6 +92,17 @@ def test_a_third_of_the_rows_are_copies(table):
     compare(table, vectors, similar.Options(0.06, num_pivots=6, threshold=170))
 
 
+def test_pivots_crowded_into_one_spot(table):
+    """A third of the rows lie in one spot: pivots apart from each other still split the rest."""
+    crowd = [(5.0 + x * 0.05, 5.0 + y * 0.05) for x, y in uniform(130, 11)]
+    vectors = crowd + [(10 * x, 10 * y) for x, y in uniform(270, 12)]
+    random.Random(1).shuffle(vectors)
+    options = similar.Options(0.2, num_pivots=20, threshold=100, max_growth=1.8)
+    groups = compare(table, vectors, options)
+    assert groups.members.where("path = ''").isEmpty()
+    assert not groups.workspace.spark.read.parquet(f"{groups.workspace.path}/split-1-apart").isEmpty()
+
+
 def test_small_tables(table, spark):
     empty = table([(0.0, 0.0)]).limit(0)
     groups = similar.run(empty, similar.Options(1.0))

@@ -28,14 +28,18 @@ def first_fit(rows, eps):
     return groups
 
 
-def split(rows, k, seed, eps, window):
+def split(rows, k, seed, eps, window, apart):
     draws = {}
     for id_, vec, _ in rows:
         draws.setdefault(vec, []).append((draw(seed, id_), id_))
     ranked = sorted(draws, key=lambda v: (min(draws[v])[0], min(i for _, i in draws[v])))
     pivots = ranked[:k]
+    if apart:
+        pivots = []
+        for p in ranked[:k]:
+            if all(distance(p, q) > 4 * eps for q in pivots):
+                pivots.append(p)
     children = {}
-    own = 0
     for id_, vec, base in rows:
         gaps = [distance(vec, p) for p in pivots]
         near = gaps.index(min(gaps))
@@ -67,10 +71,13 @@ def similar(rows, o):
         k = o.num_pivots
         if o.pivot_ratio is not None and done:
             k = max(1, math.floor(len(rows) * o.pivot_ratio))
-        children = split(rows, k, o.seed, o.eps, o.window)
-        largest = max(len(c) for c in children.values())
-        copies = sum(len(c) for c in children.values())
-        if largest > o.threshold and (largest > o.shrink * len(rows) or copies > o.max_growth * len(rows)):
+        for apart in (False, True):
+            children = split(rows, k, o.seed, o.eps, o.window, apart)
+            largest = max(len(c) for c in children.values())
+            copies = sum(len(c) for c in children.values())
+            if largest <= o.threshold or (largest <= o.shrink * len(rows) and copies <= o.max_growth * len(rows)):
+                break
+        else:
             return finish(path, rows)
         for i, child in children.items():
             name = f"{path}.{i}" if path else str(i)
