@@ -1,6 +1,6 @@
 """Similarity group-by: groups in which every two rows are at most eps apart."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from epsgroup.operators import partition, sampling
 from epsgroup.operators.blockwise import group_blockwise
 from epsgroup.operators.local import MEMBERS, group_partitions
-from epsgroup.operators.sizes import dimension_of, join_small, points_fit
+from epsgroup.operators.sizes import POINT_BYTES, dimension_of, join_small, points_fit
 from epsgroup.operators.sums import vector_mean
 from epsgroup.workspace import Workspace
 
 APART = 4.0
+TASK_BYTES = 256 << 20
 HOT_KEYS = 1000
 HOT_SALTS = 64
 
@@ -28,7 +29,8 @@ class Options:
     shrink, max_growth, max_rounds: a split is given up where it leaves a child above the threshold that holds more
         than `shrink` of the rows, or leaves one and makes more than `max_growth` copies per row; after max_rounds
         nothing is split. Without this, rows that no pivots separate never end.
-    local_rows: partitions with more distinct vectors are grouped block by block over many tasks.
+    local_rows: partitions with more distinct vectors are grouped block by block over many tasks (less if the vectors
+        of that many rows take more than TASK_BYTES).
     block_rows: size of such a block.
     """
 
@@ -110,12 +112,15 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
     """
     ws = workspace or Workspace(rows.sparkSession)
     vectors = ws.save(sampling.distinct_vectors(rows, options.seed), "vectors")
-    groups = Groups(rows, vectors, vectors, dimension_of(vectors), options=options, workspace=ws)
+    dimension = dimension_of(vectors)
+    fitting = TASK_BYTES // (8 * max(1, dimension))
+    blocks = min(options.block_rows, options.local_rows, fitting, POINT_BYTES // (8 * max(1, dimension)))
+    options = replace(options, local_rows=min(options.local_rows, fitting), block_rows=max(1, blocks))
+    groups = Groups(rows, vectors, vectors, dimension, options=options, workspace=ws)
     local, large = _partitions(groups)
     members = group_partitions(local, options.eps) if local is not None else None
     if large is not None:
-        block_rows = min(options.block_rows, options.local_rows)
-        blocks = group_blockwise(large, options.eps, block_rows, groups.dimension, ws, "large")
+        blocks = group_blockwise(large, options.eps, options.block_rows, dimension, ws, "large")
         members = blocks if members is None else members.unionByName(blocks)
     if members is None:
         members = rows.sparkSession.createDataFrame([], MEMBERS)
@@ -197,7 +202,7 @@ def _split(groups, active, parts, number, apart):
     """
     o, ws = groups.options, groups.workspace
     r = f"{groups.rounds}{'-apart' if apart else ''}"
-    pivots, most = _pivots(o, active, parts if groups.rounds > 1 else None, number)
+    pivots, most = _pivots(o, active, parts, number, groups.rounds == 1)
     if apart:
         pivots = partition.keep_apart(pivots, APART * o.eps)
     if points_fit(number * most, groups.dimension):
@@ -241,11 +246,19 @@ def _tally(children, o):
     return children.agg(*[F.count_if(c).alias(name) for name, c in counts.items()]).head().asDict()
 
 
-def _pivots(o, active, parts, number):
-    """(pivots of all partitions of the round, the most one partition can have)."""
-    if o.pivot_ratio is None or parts is None:
-        return sampling.sample_pivots(active, o.num_pivots), o.num_pivots
-    wanted = parts.select("path", sampling.pivot_number(F.col("rows"), o.pivot_ratio).alias("wanted"))
-    most = wanted.agg(F.max("wanted")).head()[0]
-    ranked = sampling.sample_pivots(active, most)
-    return join_small(ranked, wanted, "path", number).where(F.col("pid") < F.col("wanted")).drop("wanted"), most
+def _pivots(o, active, parts, number, first):
+    """(pivots of all partitions of the split, the most one partition can have). Only rows with low draws are ranked."""
+    if o.pivot_ratio is None or first:
+        wanted, most = F.lit(o.num_pivots), o.num_pivots
+    else:
+        wanted = sampling.pivot_number(F.col("rows"), o.pivot_ratio)
+        most = parts.agg(F.max(wanted)).head()[0]
+    if parts is None:
+        cut = sampling.draw_cut(wanted, F.lit(max(1, active.count())))
+        return sampling.sample_pivots(active.where(F.col("draw") < cut), most), most
+    wanted = parts.select("path", wanted.alias("wanted"), sampling.draw_cut(wanted, F.col("vectors")).alias("cut"))
+    low = join_small(active, wanted.select("path", "cut"), "path", number).where(F.col("draw") < F.col("cut"))
+    pivots = sampling.sample_pivots(low, most)
+    if o.pivot_ratio is not None and not first:
+        pivots = join_small(pivots, wanted, "path", number).where(F.col("pid") < F.col("wanted"))
+    return pivots.select("path", "pid", "features"), most

@@ -12,16 +12,20 @@ def read_vectors(spark: SparkSession, path, dimension: int, partitions: int | No
     Reads the first `dimension` coordinates and ignores what follows. Blanks around numbers are allowed; a line that
     does not parse, or has too few coordinates, fails the job.
     """
-    tokens = F.col("tokens")
-    lines = spark.read.text(path).select(F.split("value", ",").alias("tokens"))
-
-    def number(i: int) -> Column:
-        return F.trim(tokens[i]).cast("double")
-
-    rows = lines.select(
-        F.trim(tokens[0]).cast("bigint").alias("id"),
-        number(1).alias("agg"),
-        F.array(*[number(i + 2) for i in range(dimension)]).alias("features"),
+    tokens = F.split("value", ",")
+
+    def number(i: int, kind: str = "double") -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"no {kind} in field {i + 1}: "), F.col("value"))).cast(kind)
+        return F.coalesce(F.trim(F.get("tokens", F.lit(i))).try_cast(kind), bad)
+
+    rows = (
+        spark.read.text(path)
+        .withColumn("tokens", tokens)
+        .select(
+            number(0, "bigint").alias("id"),
+            number(1).alias("agg"),
+            F.array(*[number(i + 2) for i in range(dimension)]).alias("features"),
+        )
     )
     return rows.repartition(partitions) if partitions else rows
 

@@ -38,3 +38,12 @@ def test_pivot_number(spark):
     assert [sampling.pivot_number(n, 0.1) for n in (1, 10, 29)] == [1, 1, 2]
     got = spark.range(1).select(sampling.pivot_number(F.lit(29), 0.1), sampling.pivot_number(F.lit(2), 0.1)).head()
     assert tuple(got) == (2, 1)
+
+
+def test_pivots_below_the_cut_are_the_lowest(table):
+    vectors = sampling.distinct_vectors(table([[i, 0] for i in range(5000)]), 0).withColumn("path", F.lit(""))
+    low = vectors.where(F.col("draw") < sampling.draw_cut(F.lit(5), F.lit(5000)))
+    assert low.count() < 200
+    want = sorted(range(5000), key=lambda i: twin.draw(0, i + 1))[:5]
+    found = sampling.sample_pivots(low, 5).orderBy("pid").collect()
+    assert [r["features"][0] for r in found] == want
