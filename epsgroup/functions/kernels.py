@@ -70,6 +70,15 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return close
 
 
+def distance_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances between the rows of a and the rows of b."""
+    if a.shape[1] <= FEW_DIMENSIONS:
+        gap = np.sqrt(pairwise_sq(a, b))
+        return gap * (1 - 1e-12), gap * (1 + 1e-12)
+    total, error = screened_sq(a, b)
+    return np.sqrt(np.maximum(total - error, 0.0)), np.sqrt(np.maximum(total + error, 0.0))
+
+
 def row_blocks(rows: int, columns: int):
     """Slices of rows small enough for one distance matrix."""
     step = max(1, PAIRS_PER_BLOCK // max(1, columns))

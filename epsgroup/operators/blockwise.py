@@ -37,8 +37,20 @@ class Block:
     groups: np.ndarray
     starts: np.ndarray
     centers: np.ndarray
+    radii: np.ndarray
     fresh: np.ndarray
 
+    def accepts(self, x, needed, eps):
+        """Which groups accept which rows, where needed. Balls around the members decide most pairs."""
+        low, high = kernels.distance_bounds(x, self.centers)
+        result = high + self.radii <= eps * SAFE
+        unsure = needed & ~result & (low - self.radii <= eps / SAFE)
+        ends = np.append(self.starts[1:], len(self.x))
+        for g in np.flatnonzero(unsure.any(axis=0)):
+            rows = np.flatnonzero(unsure[:, g])
+            result[rows, g] = kernels.within(x[rows], self.x[self.starts[g] : ends[g]], eps).all(axis=1)
+        return result
+
 
 def group_blockwise(rows: DataFrame, eps: float, block_rows: int, dimension: int, ws: Workspace, name: str):
     """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`."""
@@ -127,7 +139,9 @@ def _blocks(done):
         keys, starts = np.unique(groups[here], return_index=True)
         counts = np.diff(np.append(starts, here.sum()))
         centers = np.add.reduceat(x[here], starts, axis=0) / counts[:, None]
-        blocks[path] = Block(x[here], keys, starts, centers, np.isin(keys, ids[here]))
+        offsets = np.sqrt(kernels.aligned_sq(x[here], np.repeat(centers, counts, axis=0)))
+        radii = np.maximum.reduceat(offsets, starts) * (1 + 1e-12)
+        blocks[path] = Block(x[here], keys, starts, centers, radii, np.isin(keys, ids[here]))
     return blocks
 
 
@@ -154,12 +168,13 @@ def _updated(rest, blocks, eps):
                 size = max(1, PAIRS // len(block.x))
                 for start in range(0, len(rows_here), size):
                     piece = rows_here[start : start + size]
-                    close = kernels.within(x[piece], block.x, eps)
-                    accepts = np.logical_and.reduceat(close, block.starts, axis=1)
                     held = np.flatnonzero(np.isin(owner, piece))
                     at = np.searchsorted(block.groups, group[held])
                     touched = block.groups[np.minimum(at, len(block.groups) - 1)] == group[held]
                     held, at = held[touched], at[touched]
+                    needed = np.tile(block.fresh, (len(piece), 1))
+                    needed[np.searchsorted(piece, owner[held]), at] = True
+                    accepts = block.accepts(x[piece], needed, eps)
                     stay[held] = accepts[np.searchsorted(piece, owner[held]), at]
                     i, j = np.nonzero(accepts & block.fresh)
                     distance = np.sqrt(kernels.aligned_sq(x[piece[i]], block.centers[j]))
