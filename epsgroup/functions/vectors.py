@@ -41,3 +41,8 @@ def vector(*columns: str | Column) -> Column:
 def first_values(a: Column, dimension: int) -> Column:
     """The first `dimension` coordinates; a shorter vector fails the job."""
     return F.array(*[a[i] for i in range(dimension)])
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once per row wherever the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

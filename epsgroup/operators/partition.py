@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgroup.functions import kernels
-from epsgroup.functions.vectors import distance
+from epsgroup.functions.vectors import distance, let
 from epsgroup.ship import ship
 
 PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(T.IntegerType()))
@@ -35,20 +35,24 @@ def split_joined(rows: DataFrame, pivots: DataFrame, eps: float, window: str = E
     sets = pivots.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pid", "features"))).alias("pivots"))
     sets = sets.withColumn("pivots", F.col("pivots.features"))
     features, points = F.col("features"), F.col("pivots")
-    near = F.col("near")
-    joined = (
-        rows.join(sets.hint("merge"), "path")
-        .withColumn("gaps", F.transform(points, lambda p: distance(features, p)))
-        .withColumn("near", (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int"))
-        .withColumn("near_pivot", points[near])
-    )
     numbered = F.sequence(F.lit(0), F.size(points) - 1)
 
-    def wanted(i):
-        border = border_distance(F.col("gaps")[i], F.col("gaps")[near], distance(points[i], F.col("near_pivot")), window)
-        return (i == near) | F.coalesce(border <= eps, F.lit(False))
+    def targets(at):
+        def wanted(i):
+            border = border_distance(at["gaps"][i], at["gap"], distance(points[i], at["pivot"]), window)
+            return (i == at["near"]) | F.coalesce(border <= eps, F.lit(False))
+
+        return F.struct(at["near"].alias("near"), F.filter(numbered, wanted).alias("targets"))
+
+    def located(gaps):
+        low = F.array_min(gaps)
+        near = (F.array_position(gaps, low) - 1).cast("int")
+        place = F.struct(gaps.alias("gaps"), low.alias("gap"), near.alias("near"), points[near].alias("pivot"))
+        return let(place, targets)
 
-    return joined.withColumn("targets", F.filter(numbered, wanted)).select(*rows.columns, "near", "targets")
+    placed = let(F.transform(points, lambda p: distance(features, p)), located)
+    joined = rows.join(sets.hint("merge"), "path").withColumn("placed", placed)
+    return joined.select(*rows.columns, "placed.near", "placed.targets")
 
 
 def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN) -> DataFrame:
