@@ -35,7 +35,10 @@ def group_partitions(rows: DataFrame, eps: float) -> DataFrame:
         table = table.select(["path", "id", "weight", "features"]).add_column(1, "group_id", pa.array(label))
         return table.filter(pa.array(keep))
 
-    return rows.select("path", "id", "weight", "features", "base").groupBy("path").applyInArrow(group, MEMBERS)
+    # A fixed number of tasks: grouping costs far more per byte than adaptive execution assumes when it merges them.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select("path", "id", "weight", "features", "base").repartition(tasks, "path")
+    return placed.groupBy("path").applyInArrow(group, MEMBERS)
 
 
 def drop_copies(labelled: DataFrame) -> DataFrame:
