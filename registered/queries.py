@@ -63,7 +63,7 @@ def vector_scale(spark, folder):
 
 
 def vector_order(spark, folder):
-    """Lowest and highest vector of every nation, compared coordinate by coordinate from the second one on."""
+    """Lowest and highest vector of seven shares of the rows. The price comes first, so that ties go on to the size."""
     turned = F.reverse("features").alias("features")
     rows = tables.separated_parts(spark, folder).select((F.col("id") % 7).alias("part"), turned)
     ends = rows.groupBy("part").agg(F.min("features").alias("low"), F.max("features").alias("high"))
