@@ -1,6 +1,5 @@
 """Tables a job writes between its steps, in the shared folder the session names."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,15 +7,14 @@ from pyspark.sql import types as T
 
 
 class Workspace:
-    """A folder of Parquet tables. Written steps cut lineage and outlive lost executors."""
+    """A folder of Parquet tables. Written steps cut lineage and outlive lost executors.
+
+    The folder lies in `root`, else in `spark.checkpoint.dir`, else in the warehouse, which all executors share.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        root = root or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            root = tempfile.mkdtemp(prefix="epsgroup-")
+        root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.path = f"{root.rstrip('/')}/epsgroup-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -33,8 +31,9 @@ class Workspace:
         full = T.StructType([*schema.fields, T.StructField("step", T.IntegerType())])
         return self.spark.read.schema(full).parquet(f"{self.path}/{name}")
 
-    def discard(self) -> None:
-        """Delete the folder. Results that still read from it must be written elsewhere before."""
+    def discard(self, *names: str) -> None:
+        """Delete the named tables, or the whole folder. What still reads from them must be written elsewhere before."""
         jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        for name in names or ("",):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
