@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import packing, sharding
+from epsgroup.llm import packing, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,16 @@ def op1_best_fit_packing(spark, folder):
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER), Workspace(spark), SEQUENCE)
 
 
+def op4_warc_revisits(spark, folder):
+    return warc.round_trip(given(spark, folder, "pages"), "page_id", "url", "html", Workspace(spark))
+
+
+def op6_ppm_scoring(spark, folder):
+    """A tenth of the documents is held out: those whose crc32 of the id is divisible by 10."""
+    learnt = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    return scoring.score(given(spark, folder, "documents"), "doc_id", "text", learnt, Workspace(spark))
+
+
 def op9_sharding(spark, folder):
     """Documents over shards of at most 64 MiB of text."""
     docs = given(spark, folder, "documents")
@@ -28,10 +38,23 @@ def op9_sharding(spark, folder):
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op6_ppm_scoring": op6_ppm_scoring,
     "op9_sharding": op9_sharding,
 }
 
 ORACLES = {
+    "op4_warc_revisits": """
+WITH heads AS (
+  SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), known AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original
+  FROM heads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM known
+""",
     "op9_sharding": f"""
 WITH heads AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
