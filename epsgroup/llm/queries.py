@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import packing, scoring, sharding, warc
+from epsgroup.llm import embeddings, packing, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op6_ppm_scoring(spark, folder):
     return scoring.score(given(spark, folder, "documents"), "doc_id", "text", learnt, Workspace(spark))
 
 
+def op8_embedding_duplicates(spark, folder):
+    return embeddings.near_duplicates(given(spark, folder, "embeddings"), "vec_id", "embedding", "label", Workspace(spark))
+
+
 def op9_sharding(spark, folder):
     """Documents over shards of at most 64 MiB of text."""
     docs = given(spark, folder, "documents")
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_ppm_scoring": op6_ppm_scoring,
+    "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_sharding": op9_sharding,
 }
 
