@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import embeddings, packing, scoring, sharding, warc
+from epsgroup.llm import embeddings, jaccard, packing, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,12 +40,17 @@ def op9_sharding(spark, folder):
     return sharding.assign(docs, ["doc_id"], F.octet_length("text"), SHARD_BYTES, Workspace(spark))
 
 
+def op10_jaccard_join(spark, folder):
+    return jaccard.join(given(spark, folder, "documents"), "doc_id", "text", Workspace(spark))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_ppm_scoring": op6_ppm_scoring,
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_sharding": op9_sharding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
@@ -75,5 +80,25 @@ SELECT doc_id, bytes, shard, CAST(depth AS INTEGER) AS depth, CAST(shard_bytes A
 FROM buckets
 WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s
+  FROM split WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """,
 }
