@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import embeddings, jaccard, packing, scoring, sharding, warc
+from epsgroup.llm import decontamination, embeddings, jaccard, packing, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op6_ppm_scoring(spark, folder):
     return scoring.score(given(spark, folder, "documents"), "doc_id", "text", learnt, Workspace(spark))
 
 
+def op7_benchmark_decontamination(spark, folder):
+    docs, items = given(spark, folder, "documents"), given(spark, folder, "benchmark")
+    return decontamination.find(docs, "doc_id", "text", items, "item_id", "text")
+
+
 def op8_embedding_duplicates(spark, folder):
     return embeddings.near_duplicates(given(spark, folder, "embeddings"), "vec_id", "embedding", "label", Workspace(spark))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_ppm_scoring": op6_ppm_scoring,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
