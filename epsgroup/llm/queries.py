@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import decontamination, embeddings, jaccard, packing, scoring, sharding, warc
+from epsgroup.llm import decontamination, embeddings, jaccard, packing, quality, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark, folder):
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER), Workspace(spark), SEQUENCE)
 
 
+def op2_quality_classifier(spark, folder):
+    return quality.classify(given(spark, folder, "documents"), "doc_id", "text")
+
+
 def op4_warc_revisits(spark, folder):
     return warc.round_trip(given(spark, folder, "pages"), "page_id", "url", "html", Workspace(spark))
 
@@ -51,6 +55,7 @@ def op10_jaccard_join(spark, folder):
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_warc_revisits": op4_warc_revisits,
     "op6_ppm_scoring": op6_ppm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,

@@ -22,12 +22,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts, limit: int = SLICE_BYTES):
-    """(first, lowered texts as bytes) for runs of rows of about `limit` bytes; a null text is empty."""
+def slices(texts, limit: int = SLICE_BYTES, table: bytes | None = LOWER):
+    """(first, texts as bytes, lowered by default) for runs of rows of about `limit` bytes; a null text is empty."""
     first, size, out = 0, 0, []
     for row in range(len(texts)):
         scalar = texts[row]
-        text = scalar.as_buffer().to_pybytes().translate(LOWER) if scalar.is_valid else b""
+        text = scalar.as_buffer().to_pybytes().translate(table) if scalar.is_valid else b""
         out.append(text)
         size += len(text)
         if size >= limit:
@@ -37,9 +37,8 @@ def slices(texts, limit: int = SLICE_BYTES):
         yield first, out
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text) of lowered texts."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def hashed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of a buffer that ends with a space."""
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -51,9 +50,14 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     powers = np.cumprod(np.full(max(1, int(long.max(initial=0))), _STEP))
     terms = (buf[~space].astype(np.uint64) + np.uint64(1)) * powers[place]
     sums = np.add.reduceat(terms, of[:-1]) if len(starts) else np.zeros(0, np.uint64)
-    ends_of = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(starts, ends_of)
-    return mix(sums ^ (long.astype(np.uint64) << np.uint64(48))), np.diff(upto, prepend=0)
+    return mix(sums ^ (long.astype(np.uint64) << np.uint64(48))), starts
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
+    hashes, starts = hashed(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
+    upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return hashes, np.diff(upto, prepend=0)
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
