@@ -24,7 +24,7 @@ from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
 ORDER = 5
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 40 << 20
 BLOB_BYTES = 1 << 20
 CLOSE = b"\xff"
 _END_WORD = np.int64(0)  # stands for the end among words
@@ -62,22 +62,29 @@ def _items_of(texts: list[bytes], learnt: np.ndarray):
     yield WORD, _counted(np.concatenate([hashes.view(np.int64), ends]), np.concatenate([np.repeat(learnt, counts), learnt]))
 
 
+def _counts_of(chunk, found):
+    for kind, parts in found.items():
+        keys, n = _merge(parts)
+        for at in range(0, len(keys), 1 << 16):
+            own = keys[at : at + (1 << 16)]
+            head = [pa.array(np.full(len(own), x, t)) for x, t in ((chunk, np.int64), (kind, np.int8))]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(own), pa.array(n[at : at + (1 << 16)])], ["chunk", "kind", "key", "n"])
+
+
 def _items(batches):
-    """Distinct grams and words of each chunk in a task, with training counts. Memory: those of the chunks it meets."""
-    found: dict[tuple[int, int], list] = {}
+    """Distinct grams and words of each chunk in a task, with training counts. Memory: those of one chunk."""
+    current, found = None, {}
     for batch in batches:
         for chunk, learnt, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if chunk != current:
+                yield from _counts_of(current, found)
+                current, found = chunk, {}
             for kind, part in _items_of(unpack(blob), np.frombuffer(learnt, bool)):
-                parts = found.setdefault((chunk, kind), [])
+                parts = found.setdefault(kind, [])
                 parts.append(part)
                 if len(parts) >= 8:
                     parts[:] = [_merge(parts)]
-    for (chunk, kind), parts in found.items():
-        keys, n = _merge(parts)
-        for at in range(0, len(keys), 1 << 16):
-            own = keys[at : at + (1 << 16)]
-            head = [pa.array(np.full(len(own), x, t)) for x, t in ((chunk, np.int64), (kind, np.int8))]
-            yield pa.RecordBatch.from_arrays([*head, pa.array(own), pa.array(n[at : at + (1 << 16)])], ["chunk", "kind", "key", "n"])
+    yield from _counts_of(current, found)
 
 
 _CODEC = pa.Codec("zstd", 3)
@@ -147,8 +154,8 @@ class Lookup:
 def _scored(blobs: pa.Table, costs: pa.Table, total: int, different: int) -> pa.Table:
     """Scores of the texts of one chunk from the costs of its grams and the counts of its words."""
     kind, key, value = (costs.column(c).to_numpy() for c in ("kind", "key", "value"))
-    cost = Lookup(key[kind == GRAM], value[kind == GRAM])
-    count = Lookup(key[kind == WORD], value[kind == WORD])
+    cost, count = (Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD))
+    del costs, kind, key, value
     floor = math.log10(total + 0.1 * (different + 1))
     out = []
     for row in range(blobs.num_rows):
