@@ -16,7 +16,7 @@ from epsgroup.ship import ship
 
 SAMPLE = 4096
 BUCKETS = 1 << 14
-KEEP = 0.3  # texts go only on clear evidence: very short ones give the scorer little to go by
+KEEP = 0.25  # texts go only on clear evidence: very short ones give the scorer little to go by
 BAD, NONE, GOOD = 0, 1, 2
 
 # (property, bad below, good from, good up to, bad above): outside of these a labeller does not vote.
