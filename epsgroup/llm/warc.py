@@ -1,10 +1,11 @@
 """WARC archives: writing with revisit records for repeated payloads, and reading back.
 
 Headers are shuffled by payload digest to find each payload's original. Records are then written by Spark's text writer,
-whose rows are whole records, into archives of about ARCHIVE_BYTES. Reading takes whole archives, cuts them by
-Content-Length, and joins revisits to the responses they refer to.
+whose rows are whole records, into gzipped archives of about ARCHIVE_BYTES before compression. Reading takes whole
+archives, cuts them by Content-Length, and joins revisits to the responses they refer to.
 """
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
     """Write one record per row to archives under `path`.
 
     Of the rows with equal payloads of at least SMALLEST bytes, those with the smallest id become responses and the others
-    revisits of it. A null payload is empty, a null id is empty (and never original to others unless all are null), a null
-    address is left out. Other columns are ignored; an empty table gives no records.
+    revisits of it. A null payload is empty, a row with a null id revisits those
+    with ids (if there are none, all are responses), a null address is left out. Other columns are ignored; an empty table gives no records.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -62,7 +63,7 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block, F.lit("\r\n\r\n"),
         http, F.when(revisit, "").otherwise(F.col("payload")), F.lit("\r\n"),
     )
-    dealt.select(record.alias("value")).write.option("lineSep", "\r\n").text(path)
+    dealt.select(record.alias("value")).write.option("lineSep", "\r\n").text(path, compression="gzip")
 
 
 def records(archive: bytes):
@@ -87,7 +88,7 @@ def _parse(batches, with_payload):
     for batch in batches:
         for archive in batch.column(0):
             rows = []
-            for fields, block in records(archive.as_buffer().to_pybytes()):
+            for fields, block in records(gzip.decompress(archive.as_buffer())):
                 payload = block[block.index(END) + len(END) :]
                 kind, said = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
                 if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
