@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import decontamination, embeddings, jaccard, packing, quality, scoring, sharding, warc
+from epsgroup.llm import chat, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,10 +24,23 @@ def op2_quality_classifier(spark, folder):
     return quality.classify(given(spark, folder, "documents"), "doc_id", "text")
 
 
+def op3_chat_formatting(spark, folder):
+    """Conversations written out as lines, an eighth of the turns without a speaker marker, and recovered from that."""
+    turns = given(spark, folder, "conversations")
+    silent = F.crc32(F.concat_ws(":", "conv_id", "turn")) % 8 == 0
+    lines = chat.transcript(turns, "conv_id", "turn", "role", "text", silent)
+    model = chat.learn(turns, "conv_id", "turn", "role", "text")
+    return chat.render(chat.parse(lines, "conv_id", "line", "text", model, Workspace(spark)))
+
+
 def op4_warc_revisits(spark, folder):
     return warc.round_trip(given(spark, folder, "pages"), "page_id", "url", "html", Workspace(spark))
 
 
+def op5_license_scan(spark, folder):
+    return licenses.scan(given(spark, folder, "documents"), "doc_id", "text")
+
+
 def op6_ppm_scoring(spark, folder):
     """A tenth of the documents is held out: those whose crc32 of the id is divisible by 10."""
     learnt = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
@@ -56,7 +69,9 @@ def op10_jaccard_join(spark, folder):
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_license_scan": op5_license_scan,
     "op6_ppm_scoring": op6_ppm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_embedding_duplicates": op8_embedding_duplicates,
