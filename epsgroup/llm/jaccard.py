@@ -282,7 +282,7 @@ def _placed(tile: pa.Table, pivots: pa.Table) -> pa.Table:
 
 def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """The links (a, b) within crowded regions, given as (crowd, node, n)."""
-    low = members.groupBy("crowd").agg(F.min("node").alias("low"))
+    low = ws.save(members.groupBy("crowd").agg(F.min("node").alias("low")), "crowds-low")
     united = components(members.join(low, "crowd").select(F.col("node").alias("a"), F.col("low").alias("b")), ws, "crowds")
     own = members.select("node", "n").distinct()
     places = ws.save(own.join(united, "node").select(F.col("component").alias("region"), "node", "n"), "places-0")
@@ -358,8 +358,19 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
         sets = sets.join(wanted.withColumnRenamed("a", "node"), "node", "left_semi")
     sets = ws.save(sets, "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    links = ws.save(both.mapInArrow(_verified, "a long, b long"), "links").unionByName(_crowds(members, sets, ws))
+
+    def verified(some: DataFrame, name: str) -> DataFrame:
+        both = some.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+        return ws.save(both.mapInArrow(_verified, "a long, b long"), name)
+
+    # First one pair for each document, then of the others those that do not lie in one group already.
+    lowest = ws.save(pairs.groupBy("b").agg(F.min("a").alias("a")), "lowest")
+    links = verified(lowest, "links").unionByName(_crowds(members, sets, ws))
+    united = ws.save(components(links, ws, "united"), "united")
+    ends = [united.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
+    others = pairs.join(lowest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    others = others.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+    links = links.unionByName(verified(others, "other-links"))
     groups = ws.save(components(links, ws, "groups"), "groups")
     named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"))
     named = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -1,8 +1,8 @@
 """Quality classifier from weak labels: heuristic labellers, their accuracies by expectation-maximisation, a linear scorer.
 
 Labellers look at one property each and vote good, bad or not at all. Texts are counted by their pattern of votes (at most
-3 ** labellers patterns), and the driver estimates from these counts what each labeller votes on good and on bad texts (Dawid and
-Skene) and how likely each pattern is good. With these labels a bounded sample of at most SAMPLE texts, those of
+3 ** labellers patterns), and the driver estimates from these counts what each labeller votes on good texts and on the kinds of bad
+ones (after Dawid and Skene) and how likely each pattern is good. With these labels a bounded sample of at most SAMPLE texts, those of
 the lowest hash, trains a logistic regression over hashed words and word shapes, which then decides on every text.
 """
 
@@ -112,33 +112,37 @@ def code(votes: np.ndarray) -> np.ndarray:
 
 
 def accuracies(patterns: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
-    """(share of good texts, P(vote | class) by labeller, P(good) by pattern) from the counts of patterns.
+    """(share of good texts, P(vote | bad or good) by labeller, P(good) by pattern) from the counts of patterns.
 
-    Starts from "bad if anyone says so" and adds one to every count, so no labeller is ever taken for infallible. A labeller that
-    does not vote says nothing: short texts, on which few vote, are not suspect for that.
+    Bad texts are bad in one of several ways, as many as there are labellers, since labellers that see the same flaw agree. Starts
+    from "bad in the ways that labellers say" and adds one to every count, so no labeller is ever taken for infallible. A
+    labeller that does not vote says nothing: short texts, on which few vote, are not suspect for that.
     """
+    m = len(LABELLERS)
     if not patterns:
-        return 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3), {}
+        return 0.5, np.full((m, 2, 3), 1 / 3), {}
     codes, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
-    votes = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    good = np.where((votes == BAD).any(1), 0.1, 0.9)
+    votes = codes[:, None] // 3 ** np.arange(m) % 3
+    bad = votes == BAD
+    some = bad.any(1)
+    kinds = np.column_stack([np.where(some, 0.1, 0.9), np.where(some[:, None], 0.9 * bad / np.maximum(1, bad.sum(1, keepdims=True)), 0.1 / m)])
     for _ in range(rounds):
-        share = (n @ good + 1) / (n.sum() + 2)
-        said = np.ones((len(LABELLERS), 2, 3))
-        for vote in range(3):
-            hit = votes == vote
-            said[:, 1, vote] += (n * good) @ hit
-            said[:, 0, vote] += (n * (1 - good)) @ hit
+        share = (n @ kinds + 1) / (n.sum() + m + 1)
+        said = np.ones((m, m + 1, 3))
+        for vote in (BAD, GOOD):
+            said[:, :, vote] += ((n[:, None] * kinds).T @ (votes == vote)).T
         said[:, :, NONE] = 0
         said /= said.sum(2, keepdims=True)
         said[:, :, NONE] = 1
-        logs = np.log(said[np.arange(len(LABELLERS)), :, votes]).sum(1)
-        odds = logs[:, 1] - logs[:, 0] + np.log(share / (1 - share))
-        next_ = 1 / (1 + np.exp(-odds))
-        if np.abs(next_ - good).max() < 1e-9:
+        logs = np.log(share) + np.log(said[np.arange(m), :, votes]).sum(1)
+        next_ = np.exp(logs - logs.max(1, keepdims=True))
+        next_ /= next_.sum(1, keepdims=True)
+        if np.abs(next_ - kinds).max() < 1e-9:
             break
-        good = next_
-    return float(share), said, dict(zip(codes.tolist(), good.tolist(), strict=True))
+        kinds = next_
+    worst = (said[:, 1:] * share[1:, None]).sum(1) / share[1:].sum()
+    both = np.stack([worst, said[:, 0]], axis=1)
+    return float(share[0]), both, dict(zip(codes.tolist(), kinds[:, 0].tolist(), strict=True))
 
 
 def train(row, bucket, weight, target, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5) -> np.ndarray:
