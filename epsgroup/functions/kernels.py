@@ -9,6 +9,7 @@ import pyarrow as pa
 
 FEW_DIMENSIONS = 8
 PAIRS_PER_BLOCK = 1 << 17
+PAIRS_PER_PRODUCT = 1 << 22
 
 
 def vectors_of(column, dimension=None) -> np.ndarray:
@@ -45,10 +46,10 @@ def aligned_sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def screened_sq(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+def screened_sq(a: np.ndarray, b: np.ndarray, norm_b=None) -> tuple[np.ndarray, float]:
     """Squared distances by matrix product, and a bound on their rounding error."""
     norm_a = np.einsum("ij,ij->i", a, a)
-    norm_b = np.einsum("ij,ij->i", b, b)
+    norm_b = np.einsum("ij,ij->i", b, b) if norm_b is None else norm_b
     total = a @ b.T
     total *= -2.0
     total += norm_a[:, None]
@@ -79,9 +80,9 @@ def distance_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.sqrt(np.maximum(total - error, 0.0)), np.sqrt(np.maximum(total + error, 0.0))
 
 
-def row_blocks(rows: int, columns: int):
+def row_blocks(rows: int, columns: int, pairs: int = PAIRS_PER_BLOCK):
     """Slices of rows small enough for one distance matrix."""
-    step = max(1, PAIRS_PER_BLOCK // max(1, columns))
+    step = max(1, pairs // max(1, columns))
     for start in range(0, rows, step):
         yield slice(start, min(rows, start + step))
 
@@ -89,12 +90,14 @@ def row_blocks(rows: int, columns: int):
 def nearest(x: np.ndarray, points: np.ndarray, squared: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest point (the lowest index wins ties) and the distance to it."""
     near = np.empty(len(x), dtype=np.int32)
-    for block in row_blocks(len(x), len(points)):
+    few = x.shape[1] <= FEW_DIMENSIONS
+    norms = None if few else np.einsum("ij,ij->i", points, points)
+    for block in row_blocks(len(x), len(points), PAIRS_PER_BLOCK if few else PAIRS_PER_PRODUCT):
         part = x[block]
-        if x.shape[1] <= FEW_DIMENSIONS:
+        if few:
             near[block] = _first_lowest(part, points, squared)
             continue
-        total, error = screened_sq(part, points)
+        total, error = screened_sq(part, points, norms)
         near[block] = total.argmin(axis=1)
         rivals = (total <= total.min(axis=1)[:, None] + 2.0 * error).sum(axis=1) > 1
         if rivals.any():
@@ -109,31 +112,46 @@ def _first_lowest(x, points, squared):
 
 
 def window_copies(x, points, near, near_distance, eps, form) -> np.ndarray:
-    """Which points a row is copied to: the nearest one, and every other whose border with it is at most eps away."""
-    between = np.sqrt(pairwise_sq(points, points))
+    """Which points a row is copied to: the nearest one, and every other whose border with it is at most eps away.
+
+    Distances between points are only taken from those that are nearest to some row, and in many dimensions by matrix
+    product; pairs too close to call are counted again coordinate by coordinate.
+    """
     copies = np.empty((len(x), len(points)), dtype=bool)
-    for block in row_blocks(len(x), len(points)):
+    screened = form == "euclidean" and x.shape[1] > FEW_DIMENSIONS
+    norms = np.einsum("ij,ij->i", points, points)
+    bases, of = np.unique(near, return_inverse=True)
+    for block in row_blocks(len(x), len(points), PAIRS_PER_PRODUCT if screened else PAIRS_PER_BLOCK):
         part, base, d_base = x[block], near[block], near_distance[block]
         rows = np.arange(len(part))
-        if form == "euclidean" and x.shape[1] > FEW_DIMENSIONS:
-            total, error = screened_sq(part, points)
+        own, at = np.unique(of[block], return_inverse=True)
+        if screened:
+            total, error = screened_sq(part, points, norms)
+            apart, apart_error = screened_sq(points[bases[own]], points, norms)
+            # Far apart points have a small relative error; the few close ones are counted exactly.
+            i, j = np.nonzero(apart <= 1e6 * apart_error)
+            apart[i, j] = aligned_sq(points[bases[own[i]]], points[j])
+            between = np.sqrt(apart)[at]
             gap = total - total[rows, base][:, None]
-            reach = 2.0 * eps * between[base]
-            hit = (gap <= reach) & (between[base] > 0)
-            slack = 4.0 * error + 8.0 * np.finfo(float).eps * np.abs(reach)
+            reach = 2.0 * eps * between
+            hit = (gap <= reach) & (between > 0)
+            slack = 4.0 * error + 8.0 * np.finfo(float).eps * np.abs(reach) + 1e-5 * np.abs(reach)
             i, j = np.nonzero(np.abs(gap - reach) <= slack)
             if len(i):
-                d = np.sqrt(aligned_sq(part[i], points[j]))
-                hit[i, j] = _border(d, d_base[i], between[base[i], j], form) <= eps
+                d, exact = np.sqrt(aligned_sq(part[i], points[j])), np.sqrt(aligned_sq(points[base[i]], points[j]))
+                hit[i, j] = border(d, d_base[i], exact, form) <= eps
         else:
             d = np.sqrt(pairwise_sq(part, points))
-            hit = _border(d, d_base[:, None], between[base], form) <= eps
+            between = np.sqrt(pairwise_sq(points[bases[own]], points))[at]
+            hit = border(d, d_base[:, None], between, form) <= eps
         hit[rows, base] = True
         copies[block] = hit
     return copies
 
 
-def _border(d, d_base, between, form):
+def border(d, d_base, between, form):
+    """Distance from a row to the border between its nearest point and another, or its lower bound in a general metric
+    space. Equal points have no border: not a number."""
     if form == "metric":
         return (d - d_base) / 2
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -4,9 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def checked(a: Column, length: int | Column) -> Column:
+    """The vector; one of another length fails the job."""
+    wrong = F.raise_error(F.format_string("a vector has %s coordinates", F.size(a))).cast("array<double>")
+    return F.when(a.isNull() | (F.size(a) == length), a).otherwise(wrong)
+
+
 def distance_sq(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance, summed from the first coordinate to the last."""
-    parts = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    """Squared Euclidean distance, summed from the first coordinate to the last. Vectors of unequal length fail."""
+    parts = F.zip_with(checked(a, F.size(b)), b, lambda x, y: (x - y) * (x - y))
     return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part)
 
 
@@ -15,7 +21,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+    """Coordinate by coordinate. Vectors of unequal length fail."""
+    return F.zip_with(checked(a, F.size(b)), b, lambda x, y: x + y)
 
 
 def scale_down(a: Column, n: Column) -> Column:
@@ -38,11 +45,6 @@ def vector(*columns: str | Column) -> Column:
     return F.array(*[c.cast("double") for c in cols])
 
 
-def first_values(a: Column, dimension: int) -> Column:
-    """The first `dimension` coordinates; a shorter vector fails the job."""
-    return F.array(*[a[i] for i in range(dimension)])
-
-
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once per row wherever the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgroup.functions import kernels
+from epsgroup.functions.vectors import checked
+from epsgroup.operators import sizes
 from epsgroup.operators.sizes import points_fit
 from epsgroup.ship import ship
+from epsgroup.workspace import Workspace
 
 NEAR = T.StructType().add("near", T.IntegerType()).add("near_distance", T.DoubleType())
 UNROLLED_TERMS = 64
@@ -23,18 +26,20 @@ def unrolled_sq(vector: Column, point) -> Column:
     return total
 
 
-def nearest_point(rows: DataFrame, points, squared: bool = True) -> DataFrame:
+def nearest_point(rows: DataFrame, points, squared: bool = True, workspace: Workspace | None = None) -> DataFrame:
     """Adds `near` (index of the nearest point, the lowest index on ties) and `near_distance`. No shuffle.
 
-    `points` is a list of vectors held by the driver. Few short points compile into the stage; more run as
-    numpy blocks on Arrow batches. Both count alike.
+    `points` is a list of vectors held by the driver. Few short points compile into the stage; more run as numpy blocks
+    on Arrow batches; beyond POINT_BYTES they go to the tasks tile by tile, and the nearest so far is written between.
+    All count alike, and all fail on a vector of another length.
     """
     points = np.asarray(points, dtype=float)
     if not len(points):
         raise ValueError("no points")
     if not points_fit(*points.shape):
-        raise ValueError("too many points to send to every task")
+        return _nearest_by_tiles(rows, points, squared, workspace or Workspace(rows.sparkSession))
     if points.size <= UNROLLED_TERMS:
+        rows = rows.withColumn("features", checked(F.col("features"), points.shape[1]))
         gaps = [unrolled_sq(F.col("features"), p) for p in points]
         gaps = F.array(*(gaps if squared else [F.sqrt(g) for g in gaps]))
         ranked = rows.withColumn("gaps", gaps).withColumn("near_distance", F.array_min("gaps"))
@@ -55,3 +60,20 @@ def nearest_point(rows: DataFrame, points, squared: bool = True) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields, *NEAR.fields])
     return rows.mapInArrow(find, schema)
+
+
+def _nearest_by_tiles(rows, points, squared, ws):
+    """Points too many for one broadcast: a tile at a time, keeping the nearest so far."""
+    step = max(1, sizes.POINT_BYTES // (8 * points.shape[1]))
+    found = None
+    for start in range(0, len(points), step):
+        tile = nearest_point(rows if found is None else found, points[start : start + step], squared)
+        if found is not None:
+            closer = F.col("near_distance") < F.col("best_distance")
+            tile = tile.withColumns({
+                "near": F.when(closer, F.col("near") + start).otherwise(F.col("best")),
+                "near_distance": F.least("near_distance", "best_distance"),
+            }).drop("best", "best_distance")
+        name = f"nearest-{start}-{len(points)}"
+        found = ws.save(tile, name).withColumnsRenamed({"near": "best", "near_distance": "best_distance"})
+    return found.withColumnsRenamed({"best": "near", "best_distance": "near_distance"})

@@ -11,48 +11,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgroup.functions import kernels
-from epsgroup.functions.vectors import distance, let
 from epsgroup.ship import ship
+from epsgroup.workspace import Workspace
 
 PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(T.IntegerType()))
 EUCLIDEAN, METRIC = "euclidean", "metric"
 
 
-def border_distance(to_pivot: Column, to_base: Column, between: Column, window: str = EUCLIDEAN) -> Column:
-    """Distance from a row to the border between its nearest pivot and another pivot, or its lower bound in a general
-    metric space. Equal pivots have no border: NULL."""
-    if window == METRIC:
-        return (to_pivot - to_base) / 2
-    return F.try_divide(to_pivot * to_pivot - to_base * to_base, 2 * between)
+def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws: Workspace, name: str, tile_bytes: int) -> DataFrame:
+    """Adds `near` and `targets` (all pivots the row is sent to), with the pivots sent to the tasks tile by tile.
 
-
-def split_joined(rows: DataFrame, pivots: DataFrame, eps: float, window: str = EUCLIDEAN) -> DataFrame:
-    """Adds `near` and `targets` (all pivots the row is sent to), with the pivots joined on by partition.
-
-    For pivot sets too large to send everywhere. The join is a sort-merge join, which Spark splits where one partition
-    holds a large part of the rows.
+    For pivot sets too large to send everywhere at once. The first passes find the nearest pivot, the second ones the other
+    targets; what is known of each row is written between them. No join, so no partition can be hot.
     """
-    sets = pivots.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pid", "features"))).alias("pivots"))
-    sets = sets.withColumn("pivots", F.col("pivots.features"))
-    features, points = F.col("features"), F.col("pivots")
-    numbered = F.sequence(F.lit(0), F.size(points) - 1)
-
-    def targets(at):
-        def wanted(i):
-            border = border_distance(at["gaps"][i], at["gap"], distance(points[i], at["pivot"]), window)
-            return (i == at["near"]) | F.coalesce(border <= eps, F.lit(False))
-
-        return F.struct(at["near"].alias("near"), F.filter(numbered, wanted).alias("targets"))
-
-    def located(gaps):
-        low = F.array_min(gaps)
-        near = (F.array_position(gaps, low) - 1).cast("int")
-        place = F.struct(gaps.alias("gaps"), low.alias("gap"), near.alias("near"), points[near].alias("pivot"))
-        return let(place, targets)
-
-    placed = let(F.transform(points, lambda p: distance(features, p)), located)
-    joined = rows.join(sets.hint("merge"), "path").withColumn("placed", placed)
-    return joined.select(*rows.columns, "placed.near", "placed.targets")
+    ship(rows.sparkSession)
+    size = pivots.agg(F.count("*"), F.max(F.size("features"))).head()
+    tiles = max(1, -(-size[0] * 8 * (size[1] or 0) // tile_bytes))
+    numbered = pivots.withColumn("tile", F.pmod(F.xxhash64("path", "pid"), F.lit(tiles)))
+    state = "best int, gap double, base_features array<double>, found array<int>"
+    known = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(state).fields])
+    for place in (_closer, _bordering):
+        for tile in range(tiles):
+            points = _tile(numbered.where(F.col("tile") == tile))
+            shared = rows.sparkSession.sparkContext.broadcast(points)
+            step = known.mapInArrow(lambda batches, p=place, s=shared: p(batches, s.value, eps, window), known.schema)
+            known = ws.save(step, f"{name}-{place.__name__}-{tile}")
+    targets = F.array_sort(F.array_union(F.array("best"), F.coalesce("found", F.array().cast("array<int>"))))
+    return known.select(*rows.columns, F.col("best").alias("near"), targets.alias("targets"))
+
+
+def _tile(pivots: DataFrame) -> dict:
+    """{path: (pids, matrix)} of one tile."""
+    table = pivots.select("path", "pid", "features").toArrow().sort_by([("path", "ascending"), ("pid", "ascending")])
+    if not len(table):
+        return {}
+    coded = table.column("path").combine_chunks().dictionary_encode()
+    starts = np.flatnonzero(np.diff(coded.indices.to_numpy(), prepend=-1))[1:]
+    pids, points = table.column("pid").to_numpy(), kernels.vectors_of(table.column("features"))
+    return dict(zip(coded.dictionary.to_pylist(), zip(np.split(pids, starts), np.split(points, starts)), strict=True))
+
+
+def _by_path(batch, points):
+    """(vectors, [(rows of a path, its pids, its points)]) for the paths of a batch that are in the tile."""
+    coded = batch.column("path").dictionary_encode()
+    code, x = coded.indices.to_numpy(zero_copy_only=False), kernels.vectors_of(batch.column("features"))
+    paths = [(np.flatnonzero(code == i), *points[p]) for i, p in enumerate(coded.dictionary.to_pylist()) if p in points]
+    if any(p.shape[1] != x.shape[1] for _, _, p in paths):
+        raise ValueError("vectors and pivots differ in length")
+    return x, paths
+
+
+def _replaced(batch, **columns):
+    for name, values in columns.items():
+        at = batch.schema.get_field_index(name)
+        batch = batch.set_column(at, batch.schema.field(at), values)
+    return batch
+
+
+def _closer(batches, points, eps, window):
+    for batch in batches:
+        x, paths = _by_path(batch, points)
+        best, gap = (np.array(batch.column(c).to_pylist(), dtype=float) for c in ("best", "gap"))
+        base = batch.column("base_features").to_pylist()
+        for here, pids, own in paths:
+            near, distance = kernels.nearest(x[here], own, squared=False)
+            new = np.isnan(gap[here]) | (distance < gap[here]) | ((distance == gap[here]) & (pids[near] < best[here]))
+            for row, i in zip(here[new], near[new], strict=True):
+                base[row] = own[i].tolist()
+            best[here[new]], gap[here[new]] = pids[near[new]], distance[new]
+        columns = pa.array(best, pa.float64(), from_pandas=True).cast(pa.int32()), pa.array(gap, from_pandas=True)
+        yield _replaced(batch, best=columns[0], gap=columns[1], base_features=pa.array(base, pa.list_(pa.float64())))
+
+
+def _bordering(batches, points, eps, window):
+    for batch in batches:
+        x, paths = _by_path(batch, points)
+        gap, found = batch.column("gap").to_numpy(zero_copy_only=False), [f or [] for f in batch.column("found").to_pylist()]
+        base = kernels.vectors_of(batch.column("base_features"), x.shape[1]) if paths else x
+        for here, pids, own in paths:
+            for block in kernels.row_blocks(len(here), len(own)):
+                rows = here[block]
+                d, between = (np.sqrt(kernels.pairwise_sq(v[rows], own)) for v in (x, base))
+                for i, j in np.argwhere(kernels.border(d, gap[rows][:, None], between, window) <= eps):
+                    found[rows[i]].append(int(pids[j]))
+        yield _replaced(batch, found=pa.array(found, pa.list_(pa.int32())))
 
 
 def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN) -> DataFrame:

@@ -61,9 +61,9 @@ def sample_pivots(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("path", (F.col("pid") - 1).alias("pid"), "features")
 
 
-def draw_cut(k: Column, vectors: Column) -> Column:
+def draw_cut(k: Column, rows: Column) -> Column:
     """A bound that at least k of so many draws fall below, but for a chance of about e^-40; about k do."""
-    return (k + 10 * F.sqrt(k) + 40) / vectors * DRAWS
+    return (k + 10 * F.sqrt(k) + 40) / rows * DRAWS
 
 
 def sample_bernoulli(rows: DataFrame, frequency: float, k: int, seed: int) -> DataFrame:

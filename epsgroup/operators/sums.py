@@ -3,10 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epsgroup.functions.vectors import checked
+
 
 def vector_sum(rows: DataFrame, keys: list[str], dimension: int, weight=None, extra=()) -> DataFrame:
     """(keys, sums, n, extra...). One plain sum per coordinate, so partial sums form in every task and no row is
-    exploded into its coordinates."""
+    exploded into its coordinates. A vector of another length fails the job."""
+    rows = rows.withColumn("features", checked(F.col("features"), dimension))
     values = [F.col("features")[i] for i in range(dimension)]
     if weight is not None:
         values = [v * F.col(weight) for v in values]

@@ -48,15 +48,13 @@ def initial_centers(rows: DataFrame, k: int, seed: int, frequency: float | None
     return [r[0] for r in drawn.select("features", "draw", "id").orderBy("draw", "id").select("features").collect()]
 
 
-def update(rows: DataFrame, centers: list) -> DataFrame:
+def update(rows: DataFrame, centers: list, workspace: Workspace | None = None) -> DataFrame:
     """One iteration: (cid, center, n, cost). A centre without rows is dropped. One scan and one shuffle of at most k
-    rows per task."""
+    rows per task. Centres beyond POINT_BYTES are compared tile by tile (see `nearest_point`)."""
     points = np.asarray(centers, dtype=float)
     k, dimension = points.shape
-    if not points_fit(k, dimension):
-        raise ValueError("too many centres to send to every task")
-    if points.size <= UNROLLED_TERMS:
-        near = nearest_point(rows.select("features"), points).withColumnRenamed("near", "cid")
+    if points.size <= UNROLLED_TERMS or not points_fit(k, dimension):
+        near = nearest_point(rows.select("features"), points, workspace=workspace).withColumnRenamed("near", "cid")
         sums = vector_sum(near, ["cid"], dimension, extra=[F.sum("near_distance").alias("cost")])
     else:
         parts = _partial_sums(rows.select("features"), points)
@@ -114,17 +112,18 @@ def fit(
     k at most, are all that passes through the driver.
     """
     spark = rows.sparkSession
-    centers = initial_centers(rows, k, seed, frequency)
+    features = rows.select("id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    centers = initial_centers(features, k, seed, frequency)
     ws = (workspace or Workspace(spark)) if keep_history else None
     if not centers:
+        features.unpersist()
         return Clusters(_center_table(spark, []), 0.0, 0, False, None)
     state = [(cid, center, None, None) for cid, center in enumerate(centers)]
     if ws:
         ws.save_step(_center_table(spark, state), "centers", 0)
-    features = rows.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     previous, cost, iteration, converged = sys.float_info.max, 0.0, 0, False
     while iteration < max_iterations and not converged:
-        updated = sorted(update(features, [row[1] for row in state]).collect())
+        updated = sorted(update(features, [row[1] for row in state], workspace).collect())
         state = [(cid, list(row["center"]), row["n"], row["cost"]) for cid, row in enumerate(updated)]
         cost = sum(row["cost"] for row in updated)
         converged = abs(previous - cost) < error

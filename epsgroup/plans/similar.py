@@ -6,7 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epsgroup.operators import partition, sampling
+from epsgroup.functions.vectors import checked
+from epsgroup.operators import partition, sampling, sizes
 from epsgroup.operators.blockwise import group_blockwise
 from epsgroup.operators.local import MEMBERS, group_partitions
 from epsgroup.operators.sizes import POINT_BYTES, dimension_of, join_small, points_fit
@@ -25,10 +26,11 @@ class Options:
 
     threshold: a partition with more original rows is split again, with the same seed and number of pivots.
     pivot_ratio: from the second round on, pivots per partition as a share of its rows instead of num_pivots.
-    window: "euclidean" or "metric" (see `border_distance`).
+    window: "euclidean" or "metric" (see `kernels.border`).
     shrink, max_growth, max_rounds: a split is given up where it leaves a child above the threshold that holds more
-        than `shrink` of the rows, or leaves one and makes more than `max_growth` copies per row; after max_rounds
-        nothing is split. Without this, rows that no pivots separate never end.
+        than `shrink` of the rows, or leaves one and makes more than `max_growth` copies per row. Without this, rows
+        that no pivots separate never end; with it, every round shrinks each partition that is split on, so the number
+        of rounds needs no bound. max_rounds sets one, after which nothing is split.
     local_rows: partitions with more distinct vectors are grouped block by block over many tasks (less if the vectors
         of that many rows take more than TASK_BYTES).
     block_rows: size of such a block.
@@ -42,7 +44,7 @@ class Options:
     window: str = partition.EUCLIDEAN
     shrink: float = 0.9
     max_growth: float = 4.0
-    max_rounds: int = 8
+    max_rounds: int | None = None
     local_rows: int = 50_000
     block_rows: int = 50_000
 
@@ -50,7 +52,8 @@ class Options:
 @dataclass
 class Groups:
     """Outcome of a run: `members` has (path, group_id, id, weight, features), one row per distinct vector and group;
-    `weight` counts the original rows, `id` is the lowest of them and `group_id` the lowest id of the group."""
+    `weight` counts the original rows, `id` is the lowest of them and `group_id` the lowest id of the group. Where
+    different vectors share an id, `group_id` is the place of its first vector in the order of id and vector."""
 
     rows: DataFrame
     vectors: DataFrame
@@ -89,8 +92,8 @@ class Groups:
     def lost_and_doubled(self) -> DataFrame:
         """One row: original rows in no group, and extra appearances of rows in several groups. Both are 0 on
         separated data and with one pivot; elsewhere neighbouring partitions may group the same rows differently."""
-        shown = self.members.groupBy("id").agg(F.count("*").alias("shown"))
-        joined = self.vectors.select("id", "weight").join(shown, "id", "left").fillna(0, ["shown"])
+        shown = self.members.groupBy("features").agg(F.count("*").alias("shown"))
+        joined = self.vectors.select("features", "weight").join(shown, "features", "left").fillna(0, ["shown"])
         lost = F.sum(F.when(F.col("shown") == 0, F.col("weight")).otherwise(0))
         doubled = F.sum(F.col("weight") * F.greatest(F.col("shown") - 1, F.lit(0)))
         return joined.agg(
@@ -99,7 +102,8 @@ class Groups:
 
 
 def sim_group_by(rows: DataFrame, eps: float, output: str = "centroids", workspace=None, **options) -> DataFrame:
-    """Similarity group-by of (id, agg, features); `id` must be unique. Output "centroids" or "members"."""
+    """Similarity group-by of (id, agg, features), in the order of `id` (and of the vectors where ids repeat). Output
+    "centroids" or "members"."""
     groups = run(rows, Options(eps, **options), workspace)
     return groups.centroids() if output == "centroids" else groups.original_rows()
 
@@ -111,10 +115,17 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
     from growing any partition.
     """
     ws = workspace or Workspace(rows.sparkSession)
+    dimension = dimension_of(rows)
+    rows = rows.withColumn("features", checked(F.col("features"), dimension))
     vectors = ws.save(sampling.distinct_vectors(rows, options.seed), "vectors")
-    dimension = dimension_of(vectors)
+    keyed = None
+    if not vectors.groupBy("id").count().where("count > 1").isEmpty():
+        # Several vectors share an id: they are told apart by their place in the order of id and vector.
+        ordered = vectors.repartitionByRange("id", "features").sortWithinPartitions("id", "features")
+        keyed = ws.save(ordered.withColumn("place", F.monotonically_increasing_id()), "keyed")
+        vectors = keyed.drop("id").withColumnRenamed("place", "id").select(vectors.columns)
     fitting = TASK_BYTES // (8 * max(1, dimension))
-    blocks = min(options.block_rows, options.local_rows, fitting, POINT_BYTES // (8 * max(1, dimension)))
+    blocks = min(options.block_rows, options.local_rows, fitting, sizes.POINT_BYTES // (8 * max(1, dimension)))
     options = replace(options, local_rows=min(options.local_rows, fitting), block_rows=max(1, blocks))
     groups = Groups(rows, vectors, vectors, dimension, options=options, workspace=ws)
     local, large = _partitions(groups)
@@ -124,6 +135,11 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
         members = blocks if members is None else members.unionByName(blocks)
     if members is None:
         members = rows.sparkSession.createDataFrame([], MEMBERS)
+    if keyed is not None:
+        names = keyed.select(F.col("place").alias("id"), F.col("id").alias("named"))
+        members = members.join(names, "id").drop("id").withColumnRenamed("named", "id")
+        members = members.select("path", "group_id", "id", "weight", "features")
+        groups.vectors = keyed.drop("place")
     groups.members = ws.save(members, "members")
     return groups
 
@@ -144,12 +160,12 @@ def _partitions(groups: Groups):
     parts, number = None, 1
     local, large = [], []
 
-    def finish(rows, sizes, count_local, count_large):
-        """Hand the rows of the partitions in `sizes` (path, vectors) to the right kind of grouping."""
+    def finish(rows, counts, count_local, count_large):
+        """Hand the rows of the partitions in `counts` (path, vectors) to the right kind of grouping."""
         is_large = F.col("vectors") > o.local_rows
         for kind, count, wanted in ((local, count_local, ~is_large), (large, count_large, is_large)):
             if count:
-                names = sizes.where(wanted).select("path")
+                names = counts.where(wanted).select("path")
                 kind.append(join_small(rows, names, "path", count).select(*_PLACED))
 
     while True:
@@ -208,7 +224,7 @@ def _split(groups, active, parts, number, apart):
     if points_fit(number * most, groups.dimension):
         split = partition.split_shared(active, partition.collect_pivots(pivots), o.eps, o.window)
     else:
-        split = partition.split_joined(active, ws.save(pivots, f"pivots-{r}"), o.eps, o.window)
+        split = partition.split_tiled(active, ws.save(pivots, f"pivots-{r}"), o.eps, o.window, ws, f"tiles-{r}", POINT_BYTES)
     split = ws.save(split, f"split-{r}")
     family = Window.partitionBy("path")
     counts = partition.partition_counts(split).select(
@@ -247,17 +263,25 @@ def _tally(children, o):
 
 
 def _pivots(o, active, parts, number, first):
-    """(pivots of all partitions of the split, the most one partition can have). Only rows with low draws are ranked."""
+    """(pivots of all partitions of the split, the most one partition can have). Only rows with low draws are ranked: about
+    as many original rows as pivots are wanted, and more until every partition has its pivots, however often rows repeat."""
     if o.pivot_ratio is None or first:
         wanted, most = F.lit(o.num_pivots), o.num_pivots
     else:
         wanted = sampling.pivot_number(F.col("rows"), o.pivot_ratio)
         most = parts.agg(F.max(wanted)).head()[0]
     if parts is None:
-        cut = sampling.draw_cut(wanted, F.lit(max(1, active.count())))
-        return sampling.sample_pivots(active.where(F.col("draw") < cut), most), most
-    wanted = parts.select("path", wanted.alias("wanted"), sampling.draw_cut(wanted, F.col("vectors")).alias("cut"))
-    low = join_small(active, wanted.select("path", "cut"), "path", number).where(F.col("draw") < F.col("cut"))
+        whole = active.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("rows"), F.count("*").alias("vectors"))
+        parts = whole.withColumn("path", F.lit(""))
+    wanted = parts.select("path", "vectors", wanted.alias("wanted"), sampling.draw_cut(wanted, F.greatest("rows", F.lit(1))).alias("cut"))
+    widen = 1
+    while True:
+        cuts = join_small(active, wanted.select("path", "cut"), "path", number)
+        low = cuts.where(F.col("draw") < F.col("cut") * widen)
+        drawn = wanted.join(low.groupBy("path").count(), "path", "left")
+        if drawn.where(F.coalesce("count", F.lit(0)) < F.least("wanted", "vectors")).isEmpty():
+            break
+        widen *= 8
     pivots = sampling.sample_pivots(low, most)
     if o.pivot_ratio is not None and not first:
         pivots = join_small(pivots, wanted, "path", number).where(F.col("pid") < F.col("wanted"))

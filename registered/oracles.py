@@ -94,6 +94,42 @@ def first_fit(copies, eps):
     )
 
 
+def near_in_parts(rows, points):
+    """One row per row of `rows` (part, id, f): index of the nearest of its part's points (part, pid, p)."""
+    return (
+        f"SELECT part, id, pid near, d FROM (SELECT part, id, pid, list_distance(f, p) d FROM {rows} JOIN {points} USING (part)) "
+        "QUALIFY row_number() OVER (PARTITION BY part, id ORDER BY d, pid) = 1"
+    )
+
+
+def two_rounds(table, k, eps, share, window="euclidean", ratio=None):
+    """Similarity group-by in at most two rounds, none of whose splits is given up: (path, group_id, id)."""
+    wanted = f"greatest(1, floor(r * {ratio}))" if ratio else str(k)
+    border = (
+        "(list_distance(a2.f, q.p) ** 2 - n2.d ** 2) / (2 * list_distance(q.p, b.p))"
+        if window == "euclidean"
+        else "(list_distance(a2.f, q.p) - n2.d) / 2"
+    )
+    return (
+        f"WITH RECURSIVE {placed(table, k, eps, window)}, "
+        "cnt AS (SELECT child, sum(weight) r FROM c GROUP BY child), "
+        f"few AS (SELECT least(50000, greatest(1, floor(count(*) * {share}))) few FROM {table}), "
+        "a2 AS MATERIALIZED (SELECT child part, r, c.id, c.f, base, v.draw FROM c JOIN cnt USING (child) JOIN v USING (id), few WHERE r > few), "
+        "p2 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY draw, id) - 1 pid, f p FROM a2 "
+        f"QUALIFY row_number() OVER (PARTITION BY part ORDER BY draw, id) <= {wanted}), "
+        f"n2 AS MATERIALIZED ({near_in_parts('a2', 'p2')}), "
+        "c2 AS MATERIALIZED (SELECT concat(a2.part, '.', q.pid) part, a2.id, a2.f, [a2.base, n2.near] base FROM a2 JOIN n2 USING (part, id) "
+        f"JOIN p2 b ON b.part = a2.part AND b.pid = n2.near JOIN p2 q ON q.part = a2.part AND (q.pid = n2.near OR {border} <= {eps})), "
+        "both_ AS MATERIALIZED (SELECT child::VARCHAR part, c.id, c.f, [base] base FROM c JOIN cnt USING (child), few WHERE r <= few "
+        "UNION ALL SELECT * FROM c2), "
+        f"{first_fit('both_', eps)}, "
+        "k AS (SELECT *, string_split(part, '.') s FROM g "
+        "QUALIFY min(base[1]) OVER (PARTITION BY part, founder) = string_split(part, '.')[1]::BIGINT "
+        "AND coalesce(min(base[2]) OVER (PARTITION BY part, founder) = string_split(part, '.')[2]::BIGINT, true)) "
+        f"SELECT part AS path, founder AS group_id, r.id AS id FROM k JOIN {table} r USING (f)"
+    )
+
+
 def labelled(table, key, columns):
     return f"SELECT min(id) OVER (PARTITION BY {key}) AS group_id, {columns} FROM {table}"
 
@@ -178,8 +214,8 @@ ORACLES = {
     "vector_distance_sq": f"SELECT id, round((f[1] - 100.0) ** 2 + (f[2] - 0.5) ** 2, 6) AS distance FROM {CUSTOMERS}",
     "vector_add": f"SELECT id, round(f[1] + 100.0::DOUBLE, 9) AS x1, round(f[2] + 0.5::DOUBLE, 9) AS x2 FROM {CUSTOMERS}",
     "vector_scale": f"SELECT id, round(f[1] / 7.0::DOUBLE, 9) AS x1, round(f[2] / 7.0::DOUBLE, 9) AS x2 FROM {CUSTOMERS}",
-    "vector_order": "SELECT part, low[1] AS low1, low[2] AS low2, high[1] AS high1, high[2] AS high2 FROM "
-    f"(SELECT id % 7 part, min(list_reverse(f)) low, max(list_reverse(f)) high FROM {PARTS} GROUP BY 1)",
+    "vector_order": "SELECT id, id % 97 AS part, row_number() OVER (PARTITION BY id % 97 ORDER BY f[2], f[1], id) AS place "
+    f"FROM {PARTS}",
     "vector_text": "SELECT concat_ws(',', l_quantity::VARCHAR, l_discount::VARCHAR, l_tax::VARCHAR) AS vector, "
     "count(*) AS n FROM lineitem GROUP BY 1",
     "csv_scan": f"SELECT id, agg, {xs(2)} FROM {CUSTOMERS}",
@@ -212,6 +248,10 @@ ORACLES = {
     "sim_rounds": centroids(PARTS, "f[1]"),
     "sim_ratio": labelled(CUSTOMERS, "f[1]", f"id, agg, {xs(2)}"),
     "sim_metric": labelled(CUSTOMERS, "f[1]", f"id, agg, {xs(2)}"),
+    "sim_mixed": two_rounds(MIXED, 8, 40.0, 0.2),
+    "sim_mixed_metric": two_rounds(MIXED, 8, 12.0, 0.2, window="metric"),
+    "sim_mixed_ratio": two_rounds(MIXED, 8, 40.0, 0.2, ratio=0.02),
+    "sim_public": centroids(PARTS, "f[1]"),
     "sim_zero_eps": centroids(CLUSTER, "f"),
     "sim_wide": "SELECT vec_id AS group_id, vec_id AS id FROM embeddings",
     "kmeans_assign": f"WITH v AS MATERIALIZED (SELECT * FROM {CLUSTER}), p AS MATERIALIZED {centers(CLUSTER, 4, 0)} "
@@ -220,6 +260,13 @@ ORACLES = {
     "kmeans_step_wide": lloyd(EMBEDDINGS, 8, 1, dimension=64) + center_rows("c1", 64),
     "kmeans_cost": lloyd(CLUSTER, 4, 1) + " SELECT round(sum(cost), 4) AS cost FROM c1",
     "kmeans_fit": lloyd(CLUSTER, 4, 3) + center_rows("c3"),
+    "kmeans_converged": lloyd(CLUSTER, 4, 20)
+    + ", costs AS ("
+    + " UNION ALL ".join(f"SELECT {i} i, sum(cost) cost FROM c{i}" for i in range(1, 21))
+    + "), ended AS (SELECT coalesce(min(i), 20)::BIGINT e, count(*) > 0 converged FROM (SELECT i, abs(cost - lag(cost) OVER (ORDER BY i)) gap "
+    "FROM costs) WHERE gap < 0.02 * (SELECT count(*) FROM part)), every_ AS ("
+    + " UNION ALL ".join(f"SELECT {i} i, * FROM c{i}" for i in range(1, 21))
+    + f") SELECT pid AS cid, {xs(2, 'p', 6)}, n, round(cost, 4) AS cost, e AS iterations, converged FROM every_ JOIN ended ON i = e",
     "kmeans_bernoulli": lloyd(CLUSTER, 4, 2, where=f"{fraction(0)} < 0.3") + center_rows("c2"),
     "kmeans_history": lloyd(CLUSTER, 4, 3) + " " + HISTORY,
     "kmeans_drop_empty": "WITH v AS (SELECT *, (f[1] - 10) ** 2 + (f[2] - 95) ** 2 a, (f[1] - 40) ** 2 + "
@@ -232,10 +279,19 @@ ORACLES = {
     "generated_recovered": f"SELECT min(id) AS group_id, agg AS low, agg AS high FROM ({generated()}) GROUP BY agg",
     "run_summary": "SELECT 2.0::DOUBLE AS eps, 2::BIGINT AS dimension, count(DISTINCT p_size) AS groups, "
     "0::BIGINT AS lost_rows, 0::BIGINT AS doubled_rows FROM part",
+    "sink_summary": f"SELECT unnest([2, 3])::BIGINT AS choice, count(*) AS groups FROM (SELECT DISTINCT f FROM {LINEITEM})",
+    "sink_table": group_by("round(min(agg), 6)"),
     "sink_groups": "SELECT concat(l_quantity, ',', l_discount, ',', l_tax, chr(9), max(l_extendedprice)) AS line "
     "FROM lineitem GROUP BY l_quantity, l_discount, l_tax",
     "sink_centroids": f"SELECT round(avg(f[1]), 6) AS x1, round(avg(f[2]), 6) AS x2 FROM {CUSTOMERS} GROUP BY f[1]",
     "sink_members": labelled(CUSTOMERS, "f[1]", f"id, agg, {xs(2)}"),
     "sink_centers": lloyd(CLUSTER, 4, 2) + f" SELECT round(cost, 4) AS cost, {xs(2, 'p', 6)} FROM c2",
 }
+_FOURTHS = MIXED.replace("p_partkey id", "p_partkey // 4 id")
+ORACLES["sim_repeated_ids"] = (
+    "WITH RECURSIVE w AS MATERIALIZED (SELECT min(id) low, count(*) n, sum(agg) agg, f FROM "
+    f"{_FOURTHS} GROUP BY f), "
+    + first_fit("(SELECT 0 part, 0 base, row_number() OVER (ORDER BY low, f) id, f FROM w)", 200.0)
+    + "SELECT min(low) AS low, sum(n)::BIGINT AS n, round(sum(agg), 6) AS agg FROM g JOIN w USING (f) GROUP BY founder"
+)
 ORACLES["sim_blocks"] = ORACLES["sim_local"]

@@ -1,5 +1,6 @@
 """One query per operator, over whole tables. Every query takes (spark, folder) and returns a DataFrame of scalars."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epsgroup.functions import vectors as V
@@ -11,7 +12,7 @@ from epsgroup.sources import generator, sinks, text
 from epsgroup.workspace import Workspace
 from registered import tables
 
-NO_THRESHOLD = 1 << 40
+THRESHOLD = 50_000  # no partition is larger than what one task groups, whatever share of the rows is asked for
 ORIGIN = [100.0, 0.5]
 
 
@@ -63,13 +64,11 @@ def vector_scale(spark, folder):
 
 
 def vector_order(spark, folder):
-    """Lowest and highest vector of seven shares of the rows. The price comes first, so that ties go on to the size."""
-    turned = F.reverse("features").alias("features")
-    rows = tables.separated_parts(spark, folder).select((F.col("id") % 7).alias("part"), turned)
-    ends = rows.groupBy("part").agg(F.min("features").alias("low"), F.max("features").alias("high"))
-    return ends.select(
-        "part", *[F.col(c)[i].alias(f"{c}{i + 1}") for c in ("low", "high") for i in range(2)]
-    )
+    """Place of every row in the order of the vectors, within 97 shares of the rows. The price comes first, so that ties go
+    on to the size, and then to the id."""
+    rows = tables.separated_parts(spark, folder).select("id", (F.col("id") % 97).alias("part"), F.reverse("features").alias("features"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(V.order_key(F.col("features")), "id"))
+    return rows.select("id", "part", place.cast("bigint").alias("place"))
 
 
 def vector_text(spark, folder):
@@ -156,10 +155,11 @@ def window_wide(spark, folder):
 
 
 def window_joined(spark, folder):
-    """The SQL form of the Euclidean window, with the pivots joined on by partition."""
+    """The Euclidean window with the pivots sent tile by tile, here three at a time."""
     distinct = sampling.distinct_vectors(tables.mixed_parts(spark, folder), 0).withColumn("path", F.lit(""))
     distinct = distinct.withColumn("base", F.array().cast("array<int>"))
-    return _copies(partition.split_joined(distinct, sampling.sample_pivots(distinct, 9), 30.0))
+    pivots, ws = sampling.sample_pivots(distinct, 9), Workspace(spark)
+    return _copies(partition.split_tiled(distinct, pivots, 30.0, partition.EUCLIDEAN, ws, "tiles", tile_bytes=48))
 
 
 def vector_sums(spark, folder):
@@ -181,8 +181,9 @@ def _similar(table, eps, share=None, block_share=None, **options):
     def run(spark, folder):
         rows = table(spark, folder)
         total = rows.count() if share or block_share else 0
-        threshold = max(1, int(total * share)) if share else NO_THRESHOLD
-        sizes = {"local_rows": int(total * block_share), "block_rows": int(total * block_share)} if block_share else {}
+        threshold = min(THRESHOLD, max(1, int(total * share))) if share else THRESHOLD
+        size = min(THRESHOLD, int(total * block_share)) if block_share else 0
+        sizes = {"local_rows": size, "block_rows": size} if block_share else {}
         return similar.run(rows, similar.Options(eps, threshold=threshold, **sizes, **options))
 
     return run
@@ -197,6 +198,8 @@ parts_rounds = _similar(tables.separated_parts, 2.0, num_pivots=6, share=0.15)
 ratio_rounds = _similar(tables.separated_customers, 2.0, num_pivots=4, share=0.13, pivot_ratio=0.02)
 metric_rounds = _similar(tables.separated_customers, 2.0, num_pivots=5, share=0.2, window=partition.METRIC)
 mixed_rounds = _similar(tables.mixed_parts, 40.0, num_pivots=8, share=0.2)
+mixed_metric = _similar(tables.mixed_parts, 12.0, num_pivots=8, share=0.2, window=partition.METRIC)
+mixed_ratio = _similar(tables.mixed_parts, 40.0, num_pivots=8, share=0.2, pivot_ratio=0.02)
 equal_vectors = _similar(tables.cluster_parts, 0.0, num_pivots=4)
 wide_vectors = _similar(tables.embeddings, 0.5, num_pivots=16, share=0.2)
 
@@ -219,6 +222,8 @@ def sim_blocks(spark, folder):
 
 
 def sim_owner(spark, folder):
+    """Four partitions of data that is not separated: the ownership rule leaves out rows whose groups cross a border, and
+    `lost_and_doubled` counts them."""
     return four_partitions(spark, folder).original_rows().select("path", "group_id", "id")
 
 
@@ -247,10 +252,36 @@ def sim_metric(spark, folder):
 
 
 def sim_mixed(spark, folder):
-    """Several rounds on data that is not separated."""
+    """Several rounds on data that is not separated: some rows are lost and some are in several groups (see `sim_owner`)."""
     return mixed_rounds(spark, folder).original_rows().select("path", "group_id", "id")
 
 
+def sim_mixed_metric(spark, folder):
+    """As sim_mixed, with the window of a general metric space."""
+    return mixed_metric(spark, folder).original_rows().select("path", "group_id", "id")
+
+
+def sim_mixed_ratio(spark, folder):
+    """As sim_mixed, with pivots of later rounds by a ratio."""
+    return mixed_ratio(spark, folder).original_rows().select("path", "group_id", "id")
+
+
+def sim_repeated_ids(spark, folder):
+    """Four vectors share each id. A group is named by its lowest id here; several groups can have the same one."""
+    rows = tables.mixed_parts(spark, folder).withColumn("id", F.expr("id div 4"))
+    groups = similar.run(rows, similar.Options(200.0, num_pivots=1))
+    named = groups.original_rows().groupBy("path", "group_id").agg(
+        F.min("id").alias("low"), F.count("*").alias("n"), F.round(F.sum("agg"), 6).alias("agg")
+    )
+    return named.select("low", "n", "agg")
+
+
+def sim_public(spark, folder):
+    """The one-call form, with centroids."""
+    centroids = similar.sim_group_by(tables.separated_parts(spark, folder), 2.0, num_pivots=5)
+    return centroids.select("group_id", *coordinates(2, 6, "center"), "n")
+
+
 def sim_zero_eps(spark, folder):
     groups = equal_vectors(spark, folder)
     return groups.centroids().select("group_id", *coordinates(2, 6, "center"), "n")
@@ -296,6 +327,13 @@ def kmeans_fit(spark, folder):
     return _centers(kmeans.fit(tables.cluster_parts(spark, folder), 4, 3, 0.0).centers)
 
 
+def kmeans_converged(spark, folder):
+    """Stopped by the change of the cost, before the iterations run out."""
+    clusters = kmeans.fit(tables.cluster_parts(spark, folder), 4, 20, 0.02 * tables.given(spark, folder, "part").count())
+    iterations = F.lit(clusters.iterations).cast("bigint").alias("iterations")
+    return _centers(clusters.centers).select("*", iterations, F.lit(clusters.converged).alias("converged"))
+
+
 def kmeans_bernoulli(spark, folder):
     return _centers(kmeans.fit(tables.cluster_parts(spark, folder), 4, 2, 0.0, frequency=0.3).centers)
 
@@ -353,6 +391,21 @@ def _parsed(column, digits=6):
     return [F.round(numbers[i].cast("double"), digits).alias(f"x{i + 1}") for i in range(2)]
 
 
+def sink_summary(spark, folder):
+    """Summaries of two runs in one table."""
+    path = f"{Workspace(spark).path}/summaries"
+    for choice in (exact.COUNT, exact.MAXIMUM):
+        groups = exact.group_by_vector(tables.lineitem(spark, folder), choice, dimension=3)
+        sinks.append_summary(report.exact_summary(groups, choice), path)
+    return spark.read.parquet(path).select(F.col("choice").cast("bigint").alias("choice"), "groups")
+
+
+def sink_table(spark, folder):
+    path = f"{Workspace(spark).path}/table"
+    sinks.write_table(exact.group_by_vector(tables.lineitem(spark, folder), exact.MINIMUM, dimension=3), path)
+    return spark.read.parquet(path).select(*coordinates(3), F.round("value", 6).alias("value"))
+
+
 def sink_centroids(spark, folder):
     lines = _written(spark, sinks.centroid_lines(customers_one_round(spark, folder).centroids()))
     return lines.select(*_parsed(F.col("value")))
@@ -416,6 +469,10 @@ QUERIES = {
     "sim_ratio": sim_ratio,
     "sim_metric": sim_metric,
     "sim_mixed": sim_mixed,
+    "sim_mixed_metric": sim_mixed_metric,
+    "sim_mixed_ratio": sim_mixed_ratio,
+    "sim_repeated_ids": sim_repeated_ids,
+    "sim_public": sim_public,
     "sim_zero_eps": sim_zero_eps,
     "sim_wide": sim_wide,
     "kmeans_assign": kmeans_assign,
@@ -424,6 +481,7 @@ QUERIES = {
     "kmeans_cost": kmeans_cost,
     "kmeans_fit": kmeans_fit,
     "kmeans_bernoulli": kmeans_bernoulli,
+    "kmeans_converged": kmeans_converged,
     "kmeans_history": kmeans_history,
     "kmeans_drop_empty": kmeans_drop_empty,
     "summary_kmeans": summary_kmeans,
@@ -431,6 +489,8 @@ QUERIES = {
     "generated_recovered": generated_recovered,
     "run_summary": run_summary,
     "sink_groups": sink_groups,
+    "sink_summary": sink_summary,
+    "sink_table": sink_table,
     "sink_centroids": sink_centroids,
     "sink_members": sink_members,
     "sink_centers": sink_centers,

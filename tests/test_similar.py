@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from epsgroup.operators import partition, sampling
 from epsgroup.plans import report, similar
+from epsgroup.workspace import Workspace
 from tests import twin
 
 MANY = 1 << 40
@@ -148,18 +149,38 @@ def test_outputs_and_summary(table):
     groups.workspace.discard()
 
 
-def test_both_forms_of_the_split_agree(table):
+def test_both_forms_of_the_split_agree(table, tmp_path):
     vectors = sampling.distinct_vectors(table(uniform(300, 9, grid=9)), 0)
     vectors = vectors.withColumn("path", F.when(F.col("id") % 2 == 0, "0").otherwise("1"))
     vectors = vectors.withColumn("base", F.array(F.lit(0)))
     pivots = sampling.sample_pivots(vectors, 6)
     for window in ("euclidean", "metric"):
-        joined = partition.split_joined(vectors, pivots, 0.1, window)
         shared = partition.split_shared(vectors, partition.collect_pivots(pivots), 0.1, window)
-        assert sorted(joined.collect()) == sorted(shared.select(joined.columns).collect())
+        for tile_bytes in (1 << 20, 40):
+            ws = Workspace(vectors.sparkSession, str(tmp_path))
+            tiled = partition.split_tiled(vectors, pivots, 0.1, window, ws, "t", tile_bytes)
+            assert sorted(tiled.collect()) == sorted(shared.select(tiled.columns).collect())
+            assert "Join" not in tiled._jdf.queryExecution().executedPlan().toString()
 
 
-def test_pivots_too_large_to_send_are_joined(table, monkeypatch):
+def test_pivots_too_large_to_send_go_in_tiles(table, monkeypatch):
     monkeypatch.setattr(similar, "points_fit", lambda *_: False)
     vectors = uniform(200, 10)
-    compare(table, vectors, similar.Options(0.05, num_pivots=4, threshold=80))
+    monkeypatch.setattr(similar, "POINT_BYTES", 32)
+    compare(table, vectors, similar.Options(0.05, num_pivots=4, threshold=80, local_rows=80, block_rows=40))
+
+
+@pytest.mark.parametrize("local_rows", [50_000, 7])
+def test_vectors_that_share_an_id(table, local_rows):
+    """Different vectors with one id are different rows, in one task and block by block."""
+    vectors = uniform(40, 12)
+    ids = [i // 4 for i in range(40)]
+    options = similar.Options(0.3, num_pivots=1, local_rows=local_rows, block_rows=local_rows)
+    got = similar.run(table(vectors, [i + 1 for i in ids]), options).members.collect()
+    order = sorted(range(40), key=lambda i: (ids[i], list(vectors[i])))
+    plain = similar.run(table([vectors[i] for i in order]), options).members.collect()
+    groups = [sorted(sorted(tuple(r["features"]) for r in rows if r["group_id"] == g) for g in {r["group_id"] for r in rows}) for rows in (got, plain)]
+    assert groups[0] == groups[1]
+    assert sorted(r["id"] for r in got) == sorted(i + 1 for i in ids)
+    far = similar.run(table([[0.0], [100.0]], [1, 1]), similar.Options(1.0, num_pivots=1)).members
+    assert far.select("group_id").distinct().count() == 2

@@ -66,7 +66,7 @@ def similar(rows, o):
                 result[path, group[0][0]] = sorted(m[0] for m in group)
 
     def work(path, rows, done):
-        if done == o.max_rounds:
+        if o.max_rounds is not None and done == o.max_rounds:
             return finish(path, rows)
         k = o.num_pivots
         if o.pivot_ratio is not None and done:
