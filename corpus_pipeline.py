@@ -9,28 +9,31 @@ from epsgroup.llm.queries import SEQUENCE, TOKENIZER
 from epsgroup.workspace import Workspace
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids (not null, without repeats)."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id")).drop("kept_id")
+def without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents but those with these ids."""
+    gone = Workspace(spark).save(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps. Rows with a null id go."""
-    return only(docs, quality.classify(docs, "doc_id", "text").where("kept").select("doc_id").distinct())
+    return quality.keep(docs.where("doc_id IS NOT NULL"), "doc_id", "text")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    groups = jaccard.join(docs, "doc_id", "text", Workspace(spark))
-    return only(docs, groups.where("doc_id = component_id").select("doc_id").distinct())
+    """One document of each group of near-duplicates: that with the smallest id (of rows with that id any one)."""
+    ws = Workspace(spark)
+    groups = ws.save(jaccard.join(docs, "doc_id", "text", ws), "duplicates")
+    kept = without(spark, docs, groups.where("doc_id <> component_id"))
+    repeated = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.find(docs, "doc_id", "text", items, "item_id", "text")
-    found = Workspace(spark).save(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"] == found["leak"], "left_anti")
+    return without(spark, docs, found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,14 +54,14 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _described(batches, kind):
+def _described(batches, kind, seen_in_run):
     """A row (doc, node, n) for each text, and rows (shingle, seen) for the frequent shingles of each run."""
     schema = pa.schema([("doc", kind), ("node", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
     run, size = [], 0
 
     def frequent():
         keys, seen = np.unique(np.concatenate(run), return_counts=True) if run else (np.zeros(0, np.uint64),) * 2
-        keys, seen = keys[seen >= SEEN_IN_RUN].view(np.int64), seen[seen >= SEEN_IN_RUN].astype(np.int64)
+        keys, seen = keys[seen >= seen_in_run].view(np.int64), seen[seen >= seen_in_run].astype(np.int64)
         none = [pa.nulls(len(keys), t) for t in (kind, pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(seen)], schema=schema)
 
@@ -130,7 +130,7 @@ def similar_sizes(n, m):
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()), ("crowd", pa.int64()), ("n", pa.int64())])
 
 
-def _met(batches):
+def _met(batches, most):
     """From rows sorted by shingle: the pairs (a, b, need) of small regions, the members (crowd, a, n) of crowded ones.
 
     Only the last, unfinished region is kept between batches, and once it is crowded nothing of it but its shingle.
@@ -170,9 +170,9 @@ def _met(batches):
             s, node, n, crowded = s[~more], node[~more], n[~more], None
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         many = np.diff(np.append(first, len(s)))
-        big = np.repeat(many > SMALL, many)
+        big = np.repeat(many > most, many)
         yield members(s[big], node[big], n[big])
-        if many[-1] > SMALL:
+        if many[-1] > most:
             held, crowded = [np.zeros(0, np.int64)] * 3, s[-1]
         else:
             held = [x[first[-1] :] for x in (s, node, n)]
@@ -257,9 +257,14 @@ def join_tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[other], "b": nodes[ends[other]]})
 
 
+_SPLIT = pa.schema([("region", pa.int64()), ("child", pa.int32()), ("node", pa.int64()), ("n", pa.int64())])
+
+
 def _placed(tile: pa.Table, pivots: pa.Table) -> pa.Table:
-    """(region, child, node, n): the pivots' regions each set of a tile goes to; child PIVOTS is the one far from all."""
+    """(region, child, node, n): the pivots' regions each set of a tile goes to; the last child is the one far from all."""
     eps = 1 - NUMERATOR / DENOMINATOR
+    if not tile.num_rows:
+        return pa.table([pa.array([], k) for k in _SPLIT.types], _SPLIT.names)
     raw = [np.frombuffer(r, np.uint64) for r in tile.column("shingles").to_pylist()]
     n = np.array([len(r) for r in raw])
     every, of = np.concatenate(raw), np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -271,9 +276,10 @@ def _placed(tile: pa.Table, pivots: pa.Table) -> pa.Table:
         gaps.append(1 - common / (n + len(p) - common))
     gaps = np.array(gaps).T
     near, base = gaps.min(1), gaps.argmin(1)
-    home = np.where(near <= 0.5, base, PIVOTS)
+    far = gaps.shape[1]
+    home = np.where(near <= 0.5, base, far)
     goes = (gaps <= near[:, None] + 2 * eps + 1e-9) & (gaps <= 0.5 + eps + 1e-9)
-    goes = np.column_stack([goes, home == PIVOTS])
+    goes = np.column_stack([goes, home == far])
     goes[np.arange(len(n)), home] = True
     row, child = np.nonzero(goes)
     region = tile.column("region").to_numpy()[row]
@@ -302,7 +308,7 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
         turn = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(step)), "node"))
         pivots = rows.withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
         pivots = pivots.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        pivots = pivots.join(sets, "node").select("region", "tile", "shingles")
+        pivots = ws.save(pivots.join(sets, "node").select("region", "tile", "shingles"), f"pivots-{step}")
         whole = rows.join(sets, "node").select("region", "tile", "node", "shingles")
         split = whole.groupBy("region", "tile").cogroup(pivots.groupBy("region", "tile"))
         split = ws.save(split.applyInArrow(_placed, "region long, child int, node long, n long"), f"split-{step}")
@@ -337,14 +343,15 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     schema = "doc long, node long, n long, shingle long, seen long"
-    seen = ws.save(rows.mapInArrow(lambda b: _described(b, pa.int64()), schema), "described")
+    in_run, most = SEEN_IN_RUN, SMALL  # values for the workers, which do not share this module's state
+    seen = ws.save(rows.mapInArrow(lambda b: _described(b, pa.int64(), in_run), schema), "described")
     described = seen.where("shingle IS NULL").select("doc", "node", "n")
     often = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= SEEN)
     often = often.orderBy(F.desc("seen"), "shingle").limit(LISTED).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)
     texts = rows.select("text")
     entered = texts.mapInArrow(lambda b: _entered(b, often), "shingle long, node long, n long")
     met = entered.repartition("shingle").sortWithinPartitions("shingle", "node")
-    met = ws.save(met.mapInArrow(_met, "a long, b long, need long, crowd long, n long"), "met")
+    met = ws.save(met.mapInArrow(lambda b: _met(b, most), "a long, b long, need long, crowd long, n long"), "met")
     pairs = met.where("crowd IS NULL").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need"))
     pairs = ws.save(pairs.where("times >= need").select("a", "b"), "pairs")
     members = met.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("node"), "n")

@@ -174,13 +174,23 @@ def _featured(batches):
             yield pa.RecordBatch.from_arrays([pa.array(code(own.votes())), *lists], ["code", "bucket", "weight"])
 
 
+def _score(own: Texts, weights: np.ndarray) -> np.ndarray:
+    text, bucket, weight = own.features()
+    margin = np.bincount(text, weights[bucket] * weight, len(own.n)) + weights[-1]
+    return np.where(own.n > 0, 1 / (1 + np.exp(-margin)), 0.0)
+
+
+def _kept(batches, at, weights):
+    for batch in batches:
+        for first, texts in slices(batch.column(at), table=None):
+            yield batch.slice(first, len(texts)).filter(pa.array(_score(Texts(texts), weights) >= KEEP))
+
+
 def _scored(batches, weights, likely):
     for batch in batches:
         for first, texts in slices(batch.column(1), table=None):
             own = Texts(texts)
-            text, bucket, weight = own.features()
-            margin = np.bincount(text, weights[bucket] * weight, len(texts)) + weights[-1]
-            score = np.where(own.n > 0, 1 / (1 + np.exp(-margin)), 0.0)
+            score = _score(own, weights)
             votes = own.votes()
             label = [likely[c] for c in code(votes).tolist()]
             bad = (votes == BAD).sum(1).astype(np.int64)
@@ -188,12 +198,8 @@ def _scored(batches, weights, likely):
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "bad_votes", "weak_label", "score"])
 
 
-def classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, bad_votes, weak_label, score, kept), one row per input row; kept means score >= KEEP.
-
-    `weak_label` is the probability of good given the votes. A null, empty or blank text gets no votes, score 0, and is not
-    kept. Equal texts get equal scores; null and repeated ids and other columns do not matter; an empty table gives no rows.
-    """
+def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, dict[int, float]]:
+    """(weights of the scorer, P(good) by pattern of votes)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     counts = rows.select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
@@ -204,7 +210,24 @@ def classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     many = np.array([len(x) for x in lists[0]], np.int64)
     values = [x.flatten().to_numpy() for x in lists]
     target = np.array([likely[c] for c in sample.column("code").to_pylist()])
-    weights = train(np.repeat(np.arange(len(many)), many), *values, target)
+    return train(np.repeat(np.arange(len(many)), many), *values, target), likely
+
+
+def keep(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `classify` keeps, with all their columns and without a shuffle."""
+    weights, _ = fit(docs, id_col, text_col)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda b: _kept(b, at, weights), docs.schema)
+
+
+def classify(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, bad_votes, weak_label, score, kept), one row per input row; kept means score >= KEEP.
+
+    `weak_label` is the probability of good given the votes. A null, empty or blank text gets no votes, score 0, and is not
+    kept. Equal texts get equal scores; null and repeated ids and other columns do not matter; an empty table gives no rows.
+    """
+    weights, likely = fit(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc {kind}, bad_votes long, weak_label double, score double"
     scored = rows.mapInArrow(lambda b: _scored(b, weights, likely), schema)

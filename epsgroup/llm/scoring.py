@@ -103,11 +103,11 @@ def unpack(blob: bytes) -> list[bytes]:
     return [raw[end - size : end] for size, end in zip(np.frombuffer(raw, np.int64, n, 8), ends, strict=True)]
 
 
-def _staged(batches):
-    """Rows of packed texts: (chunk, learnt, texts, docs). A task starts a new chunk after CHUNK_BYTES."""
+def _staged(batches, blob_bytes, chunk_bytes):
+    """Rows of packed texts: (chunk, learnt, texts, docs). A task starts a new chunk after chunk_bytes."""
     chunk, size = TaskContext.get().partitionId() << 20, 0
     for batch in batches:
-        for first, texts in slices(batch.column(1), BLOB_BYTES):
+        for first, texts in slices(batch.column(1), blob_bytes):
             own = batch.slice(first, len(texts))
             learnt = np.array(own.column(2).to_pylist(), bool).tobytes()
             docs = pa.array([own.column(0).to_pylist()], pa.list_(own.column(0).type))
@@ -116,7 +116,7 @@ def _staged(batches):
                 ["chunk", "learnt", "texts", "docs"],
             )
             size += sum(map(len, texts))
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 chunk, size = chunk + 1, 0
 
 
@@ -236,7 +236,8 @@ def score(docs: DataFrame, id_col: str, text_col: str, learnt: Column, ws: Works
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     schema = f"chunk long, learnt binary, texts binary, docs array<{kind}>"
-    staged = ws.save(rows.coalesce(chunks).mapInArrow(_staged, schema), "staged")
+    blob_bytes, chunk_bytes = BLOB_BYTES, CHUNK_BYTES
+    staged = ws.save(rows.coalesce(chunks).mapInArrow(lambda b: _staged(b, blob_bytes, chunk_bytes), schema), "staged")
     items = staged.select("chunk", "learnt", "texts").mapInArrow(_items, "chunk long, kind byte, key long, n long")
     items = ws.save(items, "items")
     lists = items.groupBy("kind", "key", F.shiftright("chunk", 30).alias("block"))

@@ -55,14 +55,18 @@ def test_small_regions(frame, ws, seed):
     check(frame, ws, [*corpus(seed), (900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "a b c d"), (906, "a b c d"), (907, "b a c d")])
 
 
-@pytest.mark.parametrize("tile", [1 << 20, 3000])
+@pytest.mark.parametrize("tile", [1 << 20, 500, 60])
 def test_crowded_regions(frame, ws, monkeypatch, tile):
     """Regions of more than 4 documents are crowded; with small tiles they are split by pivots, or in blocks."""
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    placed = []
+    save = ws.save
+    monkeypatch.setattr(ws, "save", lambda df, name: placed.append(name) or save(df, name))
     passage = [f"p{i}" for i in range(40)]
     check(frame, ws, corpus(7, groups=10, most=25, common=[passage, passage[:25]]))
+    assert ("split-1" in placed) == (tile < 1000)
 
 
 def test_frequent_shingles_come_last(frame, ws, monkeypatch):

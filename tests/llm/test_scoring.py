@@ -49,6 +49,7 @@ TEXTS = ["The cat sat on the mat.", "the hat, the BAT\n\nand the rat", None, "",
 @pytest.mark.parametrize("learnt", ["doc_id % 3 <> 0", "false", "true", "cast(null as boolean)"])
 def test_scores(frame, ws, learnt, monkeypatch):
     monkeypatch.setattr(scoring, "BLOB_BYTES", 40)
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 60)
     learnt = F.expr(learnt)
     rows = list(enumerate(TEXTS))
     docs = frame(rows, "doc_id long, text string")
