@@ -64,3 +64,11 @@ def test_generator_blocks(spark, monkeypatch):
     want = sorted(generator.generate(spec, 2, 4, 9, 1.5, seed=2).collect())
     monkeypatch.setattr(generator, "GROUPS_PER_BLOCK", 7)
     assert sorted(generator.generate(spec, 2, 4, 9, 1.5, seed=2).collect()) == want
+    monkeypatch.setattr(generator, "POINTS_PER_CHUNK", 3)
+    assert sorted(generator.generate(spec, 2, 4, 9, 1.5, seed=2).collect()) == want
+
+
+def test_generator_plan(spark):
+    spec = spark.createDataFrame([(1, 300), (2, 250)], "sf int, points bigint")
+    plan = generator.generate(spec, 2, 4, 9, 1.5, seed=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
