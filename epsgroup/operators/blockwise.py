@@ -1,10 +1,10 @@
 """First-fit grouping of partitions too large for one task, with the same result as grouping them in one pass.
 
 Rows are taken in ascending id, one block per partition and step. A block is small enough for one task; it is grouped
-there, and its members are sent to all tasks, where every row still waiting notes which groups accept it so far. A
-refusal is final, because groups only grow. So a waiting row is settled early if the first group that still accepts it
-lies in a ball so small that none of the rows this group may yet take can be further than eps from it. Tight groups of
-any size are settled after their first block this way, everything else in its turn.
+there, and its members meet all rows still waiting, which note which groups accept them so far. A refusal is final,
+because groups only grow. So a waiting row is settled early if the first group that still accepts it lies in a ball so
+small that none of the rows this group may yet take can be further than eps from it. Tight groups of any size are
+settled after their first block this way, everything else in its turn.
 """
 
 from dataclasses import dataclass
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from epsgroup.functions import kernels
 from epsgroup.functions.firstfit import SAFE, first_fit
 from epsgroup.operators.local import drop_copies
-from epsgroup.operators.sizes import POINT_BYTES, join_small
+from epsgroup.operators.sizes import join_small
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
@@ -52,25 +52,14 @@ class Block:
         return result
 
 
-def group_blockwise(rows: DataFrame, eps: float, block_rows: int, dimension: int, ws: Workspace, name: str):
-    """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`."""
-    waiting = ws.save(rows.select("path", "id", "weight", "features", "base"), f"{name}-rows")
-    per_wave = max(1, POINT_BYTES // (block_rows * max(1, dimension) * 8))
-    order = Window.orderBy("path")
-    waves = waiting.groupBy("path").count().withColumn("wave", F.floor((F.row_number().over(order) - 1) / per_wave))
-    waves = ws.save(waves.select("path", F.col("wave").cast("int").alias("wave"), "count"), f"{name}-waves")
-    step = 0
-    for wave, paths, total in waves.groupBy("wave").agg(F.count("*"), F.sum("count")).orderBy("wave").collect():
-        here = join_small(waiting, waves.where(F.col("wave") == wave).select("path"), "path", paths)
-        step = _group_wave(here, total, eps, block_rows, ws, name, step)
-    schema = T.StructType([*waiting.schema.fields, T.StructField("group_id", T.LongType())])
-    labelled = ws.steps(f"{name}-labelled", schema)
-    return drop_copies(labelled).select("path", "group_id", "id", "weight", "features")
-
-
-def _group_wave(rows, total, eps, block_rows, ws, name, step):
+def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str):
+    """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`. All partitions take their
+    steps together, and no member passes through the driver."""
     ship(rows.sparkSession)
-    cell_rows = max(1, block_rows // CELLS_PER_BLOCK)
+    rows = ws.save(rows.select("path", "id", "weight", "features", "base"), f"{name}-rows")
+    shares = rows.groupBy("path").agg(F.count("*").alias("total"))
+    shares = ws.save(shares.select("path", F.ceil(F.col("total") / block_rows).cast("int").alias("shares")), f"{name}-shares")
+    total, cell_rows = rows.count(), max(1, block_rows // CELLS_PER_BLOCK)
     slot = F.col("slot")
     waiting = (
         rows.repartitionByRange(max(1, total // block_rows), "path", "id")
@@ -79,27 +68,31 @@ def _group_wave(rows, total, eps, block_rows, ws, name, step):
         .withColumn("cell", slot - slot % F.lit(1 << 33) + F.floor(slot % F.lit(1 << 33) / cell_rows).cast("bigint"))
         .drop("slot")
         .withColumn("offers", F.array().cast("array<struct<group_id:bigint,gap:double>>"))
+        .join(shares, "path")
+        .withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+        .drop("shares")
     )
-    waiting = ws.save(waiting, f"{name}-waiting-{step}")
-    founded = 0
+    waiting = ws.save(waiting, f"{name}-waiting-0")
+    founded = step = 0
     while True:
-        last = _next_cells(waiting, block_rows).toArrow()
-        if not len(last):
-            return step
-        ends = rows.sparkSession.createDataFrame(last)
-        marked = waiting.join(F.broadcast(ends), "path")
-        block = marked.where(F.col("cell") <= F.col("end")).drop("end", "cell")
+        ends = ws.save(_next_cells(waiting, block_rows), f"{name}-ends-{step}")
+        if ends.isEmpty():
+            break
+        marked = waiting.join(ends, "path")
+        block = marked.where(F.col("cell") <= F.col("end")).drop("end", "cell", "share")
         grouped = block.groupBy("path").applyInArrow(_grouper(eps), LABELLED)
         ws.save_step(grouped, f"{name}-labelled", step)
         done = ws.steps(f"{name}-labelled", grouped.schema).where(F.col("step") == step)
-        blocks = _blocks(done)
         rest = marked.where(F.col("cell") > F.col("end")).drop("end")
-        waiting = ws.save(_updated(rest, blocks, eps), f"{name}-waiting-{step + 1}")
-        founded += sum(int(block.fresh.sum()) for block in blocks.values())
+        waiting = ws.save(_updated(rest, done, shares, eps), f"{name}-waiting-{step + 1}")
+        founded += done.where("group_id = id").count()
         settled, waiting = _settle(waiting, eps, founded)
         ws.save_step(settled, f"{name}-labelled", step + 1)
         waiting = waiting.select(rest.columns)
         step += 2
+    schema = T.StructType([*rows.schema.fields, T.StructField("group_id", T.LongType())])
+    labelled = ws.steps(f"{name}-labelled", schema)
+    return drop_copies(labelled).select("path", "group_id", "id", "weight", "features")
 
 
 def _next_cells(waiting, block_rows):
@@ -125,70 +118,61 @@ def _grouper(eps):
     return group
 
 
-def _blocks(done):
-    """{path: Block} of one step; bounded by the block size and the partitions of a wave."""
-    table = done.select("path", "id", "features", "group_id").toArrow()
-    table = table.sort_by([(name, "ascending") for name in ("path", "group_id", "id")])
-    coded = table.column("path").combine_chunks().dictionary_encode()
-    codes = coded.indices.to_numpy()
-    x, ids = kernels.vectors_of(table.column("features")), table.column("id").to_numpy()
-    groups = table.column("group_id").to_numpy()
-    blocks = {}
-    for number, path in enumerate(coded.dictionary.to_pylist()):
-        here = codes == number
-        keys, starts = np.unique(groups[here], return_index=True)
-        counts = np.diff(np.append(starts, here.sum()))
-        centers = np.add.reduceat(x[here], starts, axis=0) / counts[:, None]
-        offsets = np.sqrt(kernels.aligned_sq(x[here], np.repeat(centers, counts, axis=0)))
-        radii = np.maximum.reduceat(offsets, starts) * (1 + 1e-12)
-        blocks[path] = Block(x[here], keys, starts, centers, radii, np.isin(keys, ids[here]))
-    return blocks
-
-
-def _updated(rest, blocks, eps):
-    """Waiting rows with their offers brought up to date: groups of the block that refuse a row are taken out of its
-    list, new groups that accept it are added with the distance to their centre."""
-    shared = rest.sparkSession.sparkContext.broadcast(blocks)
-
-    def update(batches):
-        for batch in batches:
-            coded = batch.column("path").dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            x = kernels.vectors_of(batch.column("features"))
-            offers = batch.column("offers")
-            entries = offers.flatten()
-            owner = np.repeat(np.arange(len(x)), offers.value_lengths().to_numpy(zero_copy_only=False))
-            group = entries.field("group_id").to_numpy(zero_copy_only=False)
-            gap = entries.field("gap").to_numpy(zero_copy_only=False)
-            stay = np.ones(len(group), dtype=bool)
-            added = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
-            for number, path in enumerate(coded.dictionary.to_pylist()):
-                block = shared.value[path]
-                rows_here = np.flatnonzero(code == number)
-                size = max(1, PAIRS // len(block.x))
-                for start in range(0, len(rows_here), size):
-                    piece = rows_here[start : start + size]
-                    held = np.flatnonzero(np.isin(owner, piece))
-                    at = np.searchsorted(block.groups, group[held])
-                    touched = block.groups[np.minimum(at, len(block.groups) - 1)] == group[held]
-                    held, at = held[touched], at[touched]
-                    needed = np.tile(block.fresh, (len(piece), 1))
-                    needed[np.searchsorted(piece, owner[held]), at] = True
-                    accepts = block.accepts(x[piece], needed, eps)
-                    stay[held] = accepts[np.searchsorted(piece, owner[held]), at]
-                    i, j = np.nonzero(accepts & block.fresh)
-                    distance = np.sqrt(kernels.aligned_sq(x[piece[i]], block.centers[j]))
-                    added.append((piece[i], block.groups[j], distance))
-            owner = np.concatenate([owner[stay], *[a[0] for a in added]])
-            group = np.concatenate([group[stay], *[a[1] for a in added]])
-            gap = np.concatenate([gap[stay], *[a[2] for a in added]])
-            order = np.lexsort((group, owner))
-            fields = pa.StructArray.from_arrays([pa.array(group[order]), pa.array(gap[order])], ["group_id", "gap"])
-            offsets = np.searchsorted(owner[order], np.arange(len(x) + 1))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)
-            yield batch.set_column(batch.schema.get_field_index("offers"), "offers", column)
-
-    return rest.mapInArrow(update, rest.schema)
+def _block(table: pa.Table) -> Block:
+    """The members of one partition's block."""
+    table = table.sort_by([(name, "ascending") for name in ("group_id", "id")])
+    x, ids, groups = kernels.vectors_of(table.column("features")), table.column("id").to_numpy(), table.column("group_id").to_numpy()
+    keys, starts = np.unique(groups, return_index=True)
+    counts = np.diff(np.append(starts, len(x)))
+    centers = np.add.reduceat(x, starts, axis=0) / counts[:, None]
+    offsets = np.sqrt(kernels.aligned_sq(x, np.repeat(centers, counts, axis=0)))
+    radii = np.maximum.reduceat(offsets, starts) * (1 + 1e-12)
+    return Block(x, keys, starts, centers, radii, np.isin(keys, ids))
+
+
+def _updated(rest, done, shares, eps):
+    """Waiting rows with their offers brought up to date: groups of the block that refuse a row are taken out of its list,
+    new groups that accept it are added with the distance to their centre.
+
+    The waiting rows of a partition are dealt to shares of about a block each, and every share gets the block's members.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    members = done.select("path", "id", "features", "group_id").join(shares, "path").select("path", every, "id", "features", "group_id")
+
+    def update(rows: pa.Table, members: pa.Table) -> pa.Table:
+        if not rows.num_rows or not members.num_rows:
+            return rows
+        block, x = _block(members), kernels.vectors_of(rows.column("features"))
+        offers = rows.column("offers").combine_chunks()
+        entries = offers.flatten()
+        owner = np.repeat(np.arange(len(x)), offers.value_lengths().to_numpy(zero_copy_only=False))
+        group = entries.field("group_id").to_numpy(zero_copy_only=False)
+        gap = entries.field("gap").to_numpy(zero_copy_only=False)
+        stay = np.ones(len(group), dtype=bool)
+        added = []
+        for piece in kernels.row_blocks(len(x), len(block.x), PAIRS):
+            held = np.flatnonzero((owner >= piece.start) & (owner < piece.stop))
+            at = np.searchsorted(block.groups, group[held])
+            touched = block.groups[np.minimum(at, len(block.groups) - 1)] == group[held]
+            held, at = held[touched], at[touched]
+            needed = np.tile(block.fresh, (piece.stop - piece.start, 1))
+            needed[owner[held] - piece.start, at] = True
+            accepts = block.accepts(x[piece], needed, eps)
+            stay[held] = accepts[owner[held] - piece.start, at]
+            i, j = np.nonzero(accepts & block.fresh)
+            distance = np.sqrt(kernels.aligned_sq(x[piece][i], block.centers[j]))
+            added.append((i + piece.start, block.groups[j], distance))
+        owner = np.concatenate([owner[stay], *[a[0] for a in added]])
+        group = np.concatenate([group[stay], *[a[1] for a in added]])
+        gap = np.concatenate([gap[stay], *[a[2] for a in added]])
+        order = np.lexsort((group, owner))
+        fields = pa.StructArray.from_arrays([pa.array(group[order]), pa.array(gap[order])], ["group_id", "gap"])
+        ends = np.searchsorted(owner[order], np.arange(len(x) + 1))
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+        return rows.set_column(rows.schema.get_field_index("offers"), "offers", column)
+
+    together = rest.groupBy("path", "share").cogroup(members.groupBy("path", "share"))
+    return together.applyInArrow(update, rest.schema)
 
 
 def _settle(waiting, eps, groups):

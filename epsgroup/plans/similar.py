@@ -131,7 +131,7 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
     local, large = _partitions(groups)
     members = group_partitions(local, options.eps) if local is not None else None
     if large is not None:
-        blocks = group_blockwise(large, options.eps, options.block_rows, dimension, ws, "large")
+        blocks = group_blockwise(large, options.eps, options.block_rows, ws, "large")
         members = blocks if members is None else members.unionByName(blocks)
     if members is None:
         members = rows.sparkSession.createDataFrame([], MEMBERS)

@@ -65,10 +65,7 @@ def test_partitions_too_large_for_one_task(table, dimension, eps):
     compare(table, vectors, options)
 
 
-def test_large_partitions_in_waves(table, monkeypatch):
-    from epsgroup.operators import blockwise
-
-    monkeypatch.setattr(blockwise, "POINT_BYTES", 1)
+def test_large_partitions_take_their_steps_together(table):
     vectors = uniform(200, 4)
     compare(table, vectors, similar.Options(0.1, num_pivots=2, threshold=MANY, local_rows=70, block_rows=70))
 
