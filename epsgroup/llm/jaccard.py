@@ -288,6 +288,8 @@ def _placed(tile: pa.Table, pivots: pa.Table) -> pa.Table:
 
 def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """The links (a, b) within crowded regions, given as (crowd, node, n)."""
+    if members.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
     low = ws.save(members.groupBy("crowd").agg(F.min("node").alias("low")), "crowds-low")
     united = components(members.join(low, "crowd").select(F.col("node").alias("a"), F.col("low").alias("b")), ws, "crowds")
     own = members.select("node", "n").distinct()
@@ -377,8 +379,8 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     ends = [united.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
     others = pairs.join(lowest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     others = others.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
-    links = links.unionByName(verified(others, "other-links"))
-    groups = ws.save(components(links, ws, "groups"), "groups")
+    others = verified(others, "other-links")
+    groups = united if others.isEmpty() else ws.save(components(links.unionByName(others), ws, "groups"), "groups")
     named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"))
     named = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = ws.save(named.select("node", "component", "first"), "named")
