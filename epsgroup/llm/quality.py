@@ -206,7 +206,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, dict[i
     likely = accuracies({r["code"]: r["n"] for r in counts})[2]
     # Only rows below a cut that leaves a few more than SAMPLE are sorted.
     share = min(1.0, (SAMPLE + 10 * SAMPLE**0.5 + 40) / max(1, sum(r["n"] for r in counts)))
-    low = rows.where(F.shiftrightunsigned(F.xxhash64("doc", "text"), 1) <= int(share * ((1 << 63) - 1)))
+    low = rows.where(F.shiftrightunsigned(F.xxhash64("doc", "text"), 1) <= min((1 << 63) - 1, int(share * (1 << 63))))
     sample = low.orderBy(F.xxhash64("doc", "text"), "doc", "text").limit(SAMPLE).select("text")
     sample = sample.mapInArrow(_featured, "code long, bucket array<long>, weight array<double>").toArrow()
     lists = sample.column("bucket").combine_chunks(), sample.column("weight").combine_chunks()
