@@ -59,3 +59,37 @@ def test_every_template_covers_itself(frame):
     docs = [(i, f"before\n{text}\nafter") for i, (_, text) in enumerate(licenses.TEMPLATES)]
     got = {(r["doc_id"], r["template"]): r["coverage"] for r in licenses.scan(frame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
     assert all(got[i, i] == 1.0 for i in range(len(docs)))
+
+
+def names(frame, texts):
+    """Licenses found in each text."""
+    rows = licenses.scan(frame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    return [sorted({r["license"] for r in rows if r["doc_id"] == i}) for i in range(len(texts))]
+
+
+def test_siblings_are_told_apart(frame):
+    texts = [f"before\n{text}\nafter" for _, text in licenses.TEMPLATES]
+    assert names(frame, texts) == [[name] for name, _ in licenses.TEMPLATES]
+    gpl, cc = "This work is licensed under the GNU General Public License, version", "This work is licensed under a Creative Commons Attribution"
+    long_gpl = next(text for name, text in licenses.TEMPLATES if text.startswith("This program is free"))
+    bsd = dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    others = [f"{gpl} 2.", f"{gpl} 3+.", f"{gpl} 3 or newer.", f"{gpl} 3, or any later version", f"{cc}-NoDerivatives 4.0 International License.", f"{cc} 3.0 International License."]
+    others += [f"{cc}-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-ND 4.0.", "Licensed under the Apache License, Version 1.1."]
+    others += [long_gpl.replace("version 3", "version 2"), long_gpl.replace("GNU General", "GNU Lesser General"), gpl.replace("GNU", "GNU Affero") + " 3."]
+    others += [bsd.split("met:")[0] + "met:", bsd.replace("THIS SOFTWARE IS", "NO PATENT RIGHTS ARE GRANTED. THIS SOFTWARE IS", 1)]
+    assert names(frame, others) == [[] for _ in others]
+
+
+def test_signs_lists_and_short_notices(frame):
+    two, three = dict(licenses.TEMPLATES)["BSD-2-Clause"], dict(licenses.TEMPLATES)["BSD-3-Clause"]
+    listed = three.replace("Redistributions of", "\n 1. Redistributions of").replace("Redistributions in", "\n 2. Redistributions in").replace("Neither", "\n 3. Neither")
+    texts = {
+        "(Licensed under CC BY 4.0)": ["CC-BY-4.0"], "licensed under cc by 4.0; see": ["CC-BY-4.0"], "Released under MIT License": ["MIT"],
+        "It is under the MIT License!": ["MIT"], "\u201call rights reserved\u201d": ["LicenseRef-all-rights-reserved"], "all my rights reserved": [],
+        "# Licensed under the\n# Apache License,\n# Version 2.0 and": ["Apache-2.0"],
+        "\n".join(f" * {line}" for line in listed.splitlines()): ["BSD-3-Clause"], f"{three}\n\n{two}": ["BSD-2-Clause", "BSD-3-Clause"],
+        "Licensed under CC BY 4.0. Released under the MIT License. Licensed under CC BY-NC 4.0.": ["CC-BY-4.0", "CC-BY-NC-4.0", "MIT"],
+    }
+    assert names(frame, texts) == list(texts.values())
+    place = licenses.scan(frame([(1, "-- * x, -- (Licensed under CC BY 4.0) !")], "doc_id long, text string"), "doc_id", "text").first()
+    assert (place["first_word"], place["end_word"]) == (4, 9)
