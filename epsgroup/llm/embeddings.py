@@ -69,7 +69,7 @@ def _cells(batches, kind, cosine, seed, grid, with_vectors):
 
 
 def _met(table: pa.Table, kind: str, cosine: float, seed: int) -> pa.Table:
-    """Links among the rows of one tile, or between two: (id, links) sums and (id, other) of a spanning forest."""
+    """Links among the rows of one tile, or between two: (id, links) sums and (id, other) of a spanning forest, by number of the folded vector."""
     length, block = table.column("length")[0].as_py(), table.column("block")[0].as_py()
     blocks = Blocks(length, cosine, seed)
     vectors = _vectors(table.column("vector"), length, kind)
@@ -136,8 +136,10 @@ def near_duplicates(
         & F.exists(wide, lambda x: x != 0), F.lit(False),
     )
     flat = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("part"), F.col(vector_col).alias("vector"), usable.alias("usable"))
-    keys = flat.where("usable").groupBy("part", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    keys = ws.save(keys, "keys")
+    # Folded vectors have a number of their own, since an id may stand for several; it holds once it is written.
+    keys = flat.where("usable").groupBy("part", "vector").agg(F.count("*").alias("copies"))
+    keys = ws.save(keys.withColumn("rep", F.monotonically_increasing_id()), "keys")
+    owned = ws.save(flat.where("usable").join(keys, ["part", "vector"]).select("id", "rep"), "owned")
     packed = keys.select(F.xxhash64("part").alias("part"), F.size("vector").alias("length"), F.col("rep").alias("id"), "copies", "vector")
 
     def to_bytes(batches):
@@ -164,11 +166,16 @@ def near_duplicates(
     met = placed.groupBy(*at, "low", "high").applyInArrow(lambda t: _met(t, kind, cosine, seed), "id long, links long, other long")
     met = ws.save(met, "met")
     links = met.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(met.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), ws)
-    found = keys.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    edges = met.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    shared = owned.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a <> high").select("id", "a")
+    edges = edges.unionByName(shared.join(owned.withColumnRenamed("rep", "b"), "id").select("a", "b").distinct())
+    groups = components(edges, ws)
+    found = keys.select("rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
-    found = ws.save(found.select("part", "vector", n_links.alias("n_links"), F.coalesce("component", "rep").alias("component")), "found")
-    out = flat.where("usable").join(found, ["part", "vector"]).select("id", "n_links", "component")
+    found = found.select("rep", n_links.alias("n_links"), F.coalesce("component", "rep").alias("group"))
+    found = ws.save(owned.join(found, "rep").select("id", "n_links", "group"), "found")
+    lowest = ws.save(found.groupBy("group").agg(F.min("id").alias("component")), "lowest")
+    out = found.join(lowest, "group").select("id", "n_links", "component")
     out = out.unionByName(flat.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))

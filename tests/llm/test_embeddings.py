@@ -55,3 +55,12 @@ def test_doubles_and_empty(frame, ws):
     got = sorted(tuple(r) for r in embeddings.near_duplicates(table, "vec_id", "embedding", "label", ws).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
     assert embeddings.near_duplicates(table.limit(0), "vec_id", "embedding", "label", ws).count() == 0
+
+
+def test_an_id_with_several_vectors(frame, ws):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.1], "a"), (3, [0.1, 1.0], "a"), (4, [0.0, 1.1], "a"), (5, [-1.0, 0.0], "a"), (5, [-1.0, 0.0], "a")]
+    rows += [(7, [1.0, 0.0], "b"), (1, [1.0, 0.1], "b"), (8, [0.0, 1.0], "b"), (5, [0.0, -1.0], "b"), (9, [0.0, -1.0], "b")]
+    table = frame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(table, "vec_id", "embedding", "label", ws).collect())
+    want = [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 1), (8, 0, 8), (9, 1, 5)]
+    assert got == [(i, n, low, i == low) for i, n, low in want]
