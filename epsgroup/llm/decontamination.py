@@ -1,12 +1,11 @@
-"""Passages of benchmark items in documents, with edits, found by embedding edit distance into Hamming distance.
+"""Passages of benchmark items in documents, with edits, found by word pairs and compared exactly.
 
-Distances are edit distances over words. A window of a document with as many words as an item is walked through at random (CGK):
-each of 3 n steps writes the current word, and a coin that depends on step and word says whether to move on. After an edit
-two walks soon fall in step again, so texts at small edit distance agree in most places. Tables hash a few sampled
-places of several walks; a window and an item of its size that share an entry are compared exactly.
+Distances are edit distances over words. k edits of an item leave all but 2k of its different word pairs in place, also in the window
+with as many words as the item where the passage starts. So windows are passed over that have too few pairs of all items of
+their size; of the others each meets the items of which it holds one of the 2k + 1 pairs that are rarest among the items,
+and is compared with those of which it holds all but 2k different pairs. None of these steps loses a passage.
 
-Which windows: k edits of an item leave all but 2k of its different word pairs. Only windows with so many different pairs of items
-of their size are embedded, which loses none. Items go to all tasks in blocks of at most ITEM_WORDS.
+Items go to all tasks in blocks of at most ITEM_WORDS.
 """
 
 from collections import defaultdict
@@ -16,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsgroup.llm.words import LOWER, mix, runs, slices, words
+from epsgroup.llm.words import LOWER, runs, slices, words
 from epsgroup.ship import ship
 
 SIMILAR = 0.8  # at most 1 - SIMILAR edits per word of the item
 LEAST_WORDS = 5  # shorter items are too common to mean anything and are not looked for
-WALKS, TABLES, PLACES = 8, 4, 2
 ITEM_WORDS = 1 << 20
 PAIRS = 1 << 18
 
@@ -31,32 +29,6 @@ def edits(n):
     return np.floor((1 - SIMILAR) * n + 1e-9).astype(np.int64)
 
 
-class Walks:
-    """The coins and sampled places for texts of n words."""
-
-    def __init__(self, n: int, seed: int):
-        random = np.random.default_rng([seed, n])
-        self.n = n
-        self.coins = random.integers(0, 1 << 63, (WALKS, 3 * n), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.places = defaultdict(list)  # walk and step -> tables that sample there
-        for walk, table, place in np.ndindex(WALKS, TABLES, PLACES):
-            self.places[walk, int(random.integers(0, 3 * n))].append((walk * TABLES + table, np.uint64(place)))
-
-    def keys(self, texts: np.ndarray) -> np.ndarray:
-        """(tables, rows): the table entries of the rows of (rows, n) words; 0 stands for no word."""
-        rows = np.arange(len(texts))
-        padded = np.column_stack([texts, np.zeros(len(texts), np.uint64)])
-        out = np.zeros((WALKS * TABLES, len(texts)), np.uint64)
-        for walk in range(WALKS):
-            at = np.zeros(len(texts), np.int64)
-            for step in range(3 * self.n):
-                word = padded[rows, at]
-                for table, place in self.places.get((walk, step), ()):
-                    out[table] += mix(word + place)
-                at = np.minimum(at + ((word * self.coins[walk, step]) >> np.uint64(63)).astype(np.int64), self.n)
-        return out
-
-
 def closest(item: list, text: list) -> tuple[int, int]:
     """(least edits between the item and any stretch of the text, end of the first such stretch), bit-parallel."""
     n = len(item)
@@ -81,22 +53,23 @@ def closest(item: list, text: list) -> tuple[int, int]:
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
-    def __init__(self, ids: list, texts: list[str], seed: int):
+    def __init__(self, ids: list, texts: list[str]):
         hashes, counts = words([t.encode().translate(LOWER) for t in texts])
         parts = np.split(hashes, np.cumsum(counts)[:-1]) if len(texts) else []
         self.by_size: dict[int, tuple] = {}
         pairs, sizes = [], []
-        for n in np.unique(counts[counts >= LEAST_WORDS]):
-            rows = np.flatnonzero(counts == n)
-            own = np.array([parts[r] for r in rows])
-            walks = Walks(int(n), seed)
-            keys = walks.keys(own)
-            order = np.argsort(keys, axis=1)
-            own_pairs = runs(own.ravel(), np.full(len(rows), n), 2)[0].reshape(len(rows), n - 1)
-            different = min(len(np.unique(p)) for p in own_pairs)
-            need = max(1, different - 2 * int(edits(n)))
-            self.by_size[int(n)] = (walks, [ids[r] for r in rows], own.tolist(), np.take_along_axis(keys, order, 1), order, need)
-            known = np.unique(own_pairs)
+        sized = [(int(n), np.flatnonzero(counts == n)) for n in np.unique(counts[counts >= LEAST_WORDS])]
+        of_items = {r: np.unique(runs(parts[r], np.array([n]), 2)[0]) for n, rows in sized for r in rows.tolist()}
+        common, times = np.unique(np.concatenate([*of_items.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        for n, rows in sized:
+            own_pairs, lost = [of_items[r] for r in rows.tolist()], 2 * int(edits(n))
+            need = [max(1, len(p) - lost) for p in own_pairs]
+            rare = [p[np.argsort(times[np.searchsorted(common, p)], kind="stable")[: len(p) - k + 1]] for p, k in zip(own_pairs, need, strict=True)]
+            key, item = np.concatenate(rare), np.repeat(np.arange(len(rows)), [len(x) for x in rare])
+            order = np.argsort(key, kind="stable")
+            sets = [frozenset(p.tolist()) for p in own_pairs]
+            self.by_size[n] = ([ids[r] for r in rows], [parts[r].tolist() for r in rows], key[order], item[order], sets, need, min(need))
+            known = np.unique(np.concatenate(own_pairs))
             pairs.append(known)
             sizes.append(np.full(len(known), n))
         self.pairs, self.sizes = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (pairs, sizes))
@@ -123,7 +96,7 @@ class Items:
         waiting = defaultdict(list)
         for start, end in zip(first, np.append(first[1:], len(at)), strict=True):
             n, row = int(size[start]), int(text[start])
-            need = self.by_size[n][5]
+            need = self.by_size[n][-1]
             if end - start < need:
                 continue
             places = at[start:end] - of_pairs[row]
@@ -139,27 +112,34 @@ class Items:
             for s in np.flatnonzero(held >= need):
                 waiting[n].append((row, int(s), int(held[s])))
         for n, windows in waiting.items():
-            yield from self._matched(n, windows, hashes, counts, of_words)
-
-    def _matched(self, n, windows, hashes, counts, of_words):
-        walks, ids, own, keys, order, _ = self.by_size[n]
+            yield from self._matched(n, windows, hashes, counts, of_words, pairs, of_pairs)
+
+    def _candidates(self, n, row, start, counts, pairs, of_pairs):
+        """(window, item) for the windows of n words that hold enough of the item's word pairs."""
+        _, _, keys, items, sets, need, _ = self.by_size[n]
+        place = start[:, None] + np.arange(n - 1)
+        inside = place < counts[row][:, None] - 1
+        own = pairs[np.where(inside, of_pairs[row][:, None] + place, 0)]
+        left, right = (np.searchsorted(keys, own[inside], side) for side in ("left", "right"))
+        many = right - left
+        window = np.repeat(np.nonzero(inside)[0], many)
+        which = items[np.arange(many.sum()) + np.repeat(left - np.cumsum(many) + many, many)]
+        met = np.unique(window * len(sets) + which)
+        held, of = frozenset(), -1
+        for at, item in zip((met // len(sets)).tolist(), (met % len(sets)).tolist(), strict=True):
+            if at != of:
+                held, of = frozenset(own[at][inside[at]].tolist()), at
+            if len(held & sets[item]) >= need[item]:
+                yield at, item
+
+    def _matched(self, n, windows, hashes, counts, of_words, pairs, of_pairs):
+        ids, own = self.by_size[n][:2]
         rows, starts, held = np.array(windows).T
-        near = set()
+        groups = defaultdict(list)
         step = max(1, PAIRS // n)
         for lo in range(0, len(rows), step):
-            row, start = rows[lo : lo + step], starts[lo : lo + step]
-            place = start[:, None] + np.arange(n)
-            inside = place < counts[row][:, None]
-            whole = np.where(inside, hashes[np.minimum(of_words[row][:, None] + place, len(hashes) - 1)], np.uint64(0))
-            for table, entries in enumerate(walks.keys(whole)):
-                left, right = (np.searchsorted(keys[table], entries, side) for side in ("left", "right"))
-                many = right - left
-                hit = np.repeat(np.arange(len(row)), many)
-                which = order[table][np.arange(many.sum()) + np.repeat(left - np.cumsum(many) + many, many)]
-                near.update(zip((hit + lo).tolist(), which.tolist(), strict=True))
-        groups = defaultdict(list)
-        for window, which in near:
-            groups[int(rows[window]), which].append((-int(held[window]), int(starts[window])))
+            for at, which in self._candidates(n, rows[lo : lo + step], starts[lo : lo + step], counts, pairs, of_pairs):
+                groups[int(rows[lo + at]), which].append((-int(held[lo + at]), int(starts[lo + at])))
         k = int(edits(n))
         for (row, which), places in groups.items():
             tried, best = [], None
@@ -179,7 +159,7 @@ class Items:
                 yield row, ids[which], *best
 
 
-def find(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, seed: int = 0) -> DataFrame:
+def find(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(id_col, item_id, edits, first_word, end_word): one row per document and item that it holds, with the closest stretch.
 
     An item is held if some stretch of the text is within 1 - SIMILAR edits per word of it. Items that are null or have under
@@ -200,7 +180,7 @@ def find(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id:
 
         def look(batches, broadcast=broadcast):
             ids, texts, kind = broadcast.value
-            block_items = Items(ids, texts, seed)
+            block_items = Items(ids, texts)
             for batch in batches:
                 for first, lowered in slices(batch.column(1)):
                     hits = list(block_items.found(lowered))

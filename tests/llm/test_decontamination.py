@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from epsgroup.llm import decontamination as D
@@ -96,3 +97,33 @@ def test_closest(seed):
         best = min(edit_distance(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
         got, end = D.closest(item, text)
         assert got == best and min(edit_distance(item, text[a:end]) for a in range(end + 1)) == best
+
+
+def met(items, texts, n):
+    """(text, item) pairs that are compared with each other: texts of n words as windows."""
+    known = D.Items(list(range(len(items))), items)
+    hashes, counts = D.words([t.encode() for t in texts])
+    pairs, per_text = D.runs(hashes, counts, 2)
+    rows = np.arange(len(texts))
+    return set(known._candidates(n, rows, np.zeros(len(texts), np.int64), counts, pairs, np.cumsum(per_text) - per_text))
+
+
+@pytest.mark.parametrize("n", [5, 9, 10, 25, 40, 100])
+def test_unrelated_texts_are_not_compared(n):
+    r = random.Random(n)
+    items, texts = ([" ".join(f"w{r.randrange(1000)}" for _ in range(n)) for _ in range(60)] for _ in range(2))
+    assert len(met(items, texts, n)) < 0.01 * 60 * 60
+    assert met(items, items, n) >= {(i, i) for i in range(60)}
+
+
+@pytest.mark.parametrize("n", [5, 6, 10, 20, 50])
+def test_none_is_lost_at_the_most_edits_allowed(n):
+    r = random.Random(n)
+    words_ = [f"w{i}" for i in range(60)] + ["the"] * 20
+    items = [(i, " ".join(r.choices(words_, k=n))) for i in range(25)]
+    docs = [(i, " ".join(r.choices(words_, k=9) + edited(r, items[i % 25][1].split(), words_, int(D.edits(n))) + r.choices(words_, k=r.randint(0, 9)))) for i in range(75)]
+    known = D.Items([i for i, _ in items], [t for _, t in items])
+    got = {(docs[row][0], item): distance for row, item, distance, *_ in known.found([t.encode() for _, t in docs])}
+    least = {(doc, item): D.closest(p.split(), t.split())[0] for doc, t in docs for item, p in items}
+    want = {pair: distance for pair, distance in least.items() if distance <= D.edits(n)}
+    assert got == want and len(want) >= 75
