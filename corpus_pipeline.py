@@ -9,31 +9,42 @@ from epsgroup.llm.queries import SEQUENCE, TOKENIZER
 from epsgroup.workspace import Workspace
 
 
-def without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents but those with these ids."""
-    gone = Workspace(spark).save(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key of id and text together: ids may be null or stand for several texts."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")))
+
+
+def without(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a keyed table but those with these keys."""
+    gone = Workspace(spark).save(keys.select(F.col("row_key").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["row_key"] == gone["gone"], "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. Rows with a null id go."""
+    """Documents that the quality classifier keeps. Rows with a null id go; the later stages would keep them apart."""
     return quality.keep(docs.where("doc_id IS NOT NULL"), "doc_id", "text")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (of rows with that id any one)."""
-    ws = Workspace(spark)
-    groups = ws.save(jaccard.join(docs, "doc_id", "text", ws), "duplicates")
-    kept = without(spark, docs, groups.where("doc_id <> component_id"))
-    repeated = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document of each group of near-duplicates: that with the smallest id (null last; of texts with that id any one)."""
+    ws, rows = Workspace(spark), keyed(docs)
+    groups = ws.save(jaccard.join(rows, "row_key", "text", ws), "duplicates").select("row_key", "component_id")
+    many = groups.where("row_key <> component_id").select("component_id").distinct()
+    members = groups.join(many, "component_id", "left_semi").distinct()
+    members = ws.save(members.join(rows.select("row_key", "doc_id").distinct(), "row_key"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    first = members.groupBy("component_id").agg(first["row_key"].alias("first"))
+    gone = members.join(first, "component_id").where("row_key <> first").select("row_key")
+    kept = without(spark, rows, gone)
+    repeated = not groups.groupBy("row_key").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["row_key"]) if repeated else kept).drop("row_key")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of benchmark items."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find(docs, "doc_id", "text", items, "item_id", "text")
-    return without(spark, docs, found)
+    items, rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed(docs)
+    found = decontamination.find(rows, "row_key", "text", items, "item_id", "text")
+    return without(spark, rows, found).drop("row_key")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,20 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_own_ids(spark, folder):
+    """Null ids and one id for several texts: only the rows decided on go."""
+    path, docs, kind = folder
+    by_id = {i: t for i, t, *_ in docs if i is not None and i < 160}
+    good, leak = [by_id[i] for i in kind if kind[i] == "good"], next(by_id[i] for i in kind if kind[i] == "leak")
+    rows = [(None, good[0]), (None, good[1]), (7, good[2]), (7, good[3]), (7, good[3] + " more"), (7, good[3]), (8, good[4]), (3, good[4]), (3, good[5]), (None, good[5])]
+    rows += [(9, leak), (9, good[6]), (None, leak)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, table, path).collect()]
+    sevens = [x for x in once if x[0] == 7]
+    assert len(sevens) == 2 and (7, good[2]) in sevens
+    rest = sorted((x for x in once if x[0] != 7), key=str)
+    assert rest == sorted([(None, good[0]), (None, good[1]), (3, good[4]), (3, good[5]), (9, good[6]), (9, leak)], key=str)
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, table, path).collect()]
+    assert sorted(clean, key=str) == sorted((x for x in rows if x[1] != leak), key=str)
