@@ -214,7 +214,7 @@ ORACLES = {
     "vector_distance_sq": f"SELECT id, round((f[1] - 100.0) ** 2 + (f[2] - 0.5) ** 2, 6) AS distance FROM {CUSTOMERS}",
     "vector_add": f"SELECT id, round(f[1] + 100.0::DOUBLE, 9) AS x1, round(f[2] + 0.5::DOUBLE, 9) AS x2 FROM {CUSTOMERS}",
     "vector_scale": f"SELECT id, round(f[1] / 7.0::DOUBLE, 9) AS x1, round(f[2] / 7.0::DOUBLE, 9) AS x2 FROM {CUSTOMERS}",
-    "vector_order": "SELECT id, id % 97 AS part, row_number() OVER (PARTITION BY id % 97 ORDER BY f[2], f[1], id) AS place "
+    "vector_order": "SELECT id, row_number() OVER (ORDER BY f[2], f[1], id) AS place "
     f"FROM {PARTS}",
     "vector_text": "SELECT concat_ws(',', l_quantity::VARCHAR, l_discount::VARCHAR, l_tax::VARCHAR) AS vector, "
     "count(*) AS n FROM lineitem GROUP BY 1",

@@ -1,10 +1,9 @@
 """One query per operator, over whole tables. Every query takes (spark, folder) and returns a DataFrame of scalars."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epsgroup.functions import vectors as V
-from epsgroup.operators import exact, partition, sampling
+from epsgroup.operators import exact, partition, ranking, sampling
 from epsgroup.operators.nearest import nearest_point
 from epsgroup.operators.sums import total_cost, vector_mean, vector_sum
 from epsgroup.plans import kmeans, report, similar
@@ -64,11 +63,11 @@ def vector_scale(spark, folder):
 
 
 def vector_order(spark, folder):
-    """Place of every row in the order of the vectors, within 97 shares of the rows. The price comes first, so that ties go
-    on to the size, and then to the id."""
-    rows = tables.separated_parts(spark, folder).select("id", (F.col("id") % 97).alias("part"), F.reverse("features").alias("features"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(V.order_key(F.col("features")), "id"))
-    return rows.select("id", "part", place.cast("bigint").alias("place"))
+    """Place of every row in the order of the vectors over the whole table, from 1. The price comes first, so that ties go on
+    to the size, and then to the id."""
+    rows = tables.separated_parts(spark, folder).select("id", F.reverse("features").alias("features"))
+    placed = ranking.placed(rows, [F.col("features"), F.col("id")], Workspace(spark), "ordered")
+    return placed.select("id", (F.col("place") + 1).alias("place"))
 
 
 def vector_text(spark, folder):
