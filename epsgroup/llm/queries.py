@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import chat, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, warc
+from epsgroup.llm import chat, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, tries, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +66,33 @@ def op10_jaccard_join(spark, folder):
     return jaccard.join(given(spark, folder, "documents"), "doc_id", "text", Workspace(spark))
 
 
+def regenerated(turns):
+    """(turns, convs) as `tries` takes them: every conversation c opens with the first h turns of c - c % 100, and goes on with its
+    own after the first h; h is the crc32 of c modulo 6."""
+    number = F.col("conv") % 100
+    convs = turns.select("conv").distinct().withColumn("h", F.crc32(F.col("conv").cast("string")) % 6)
+    changed = convs.where((F.col("h") > 0) & (number != 0)).select("conv", "h", (F.col("conv") - number).alias("base"))
+    openings = turns.where((number == 0) & (F.col("place") < 5)).withColumnRenamed("conv", "base")
+    openings = changed.join(openings, "base").where("place < h").select(*turns.columns)
+    taken = changed.join(openings.groupBy("conv").agg(F.count("*").alias("taken")), "conv", "left")
+    taken = taken.select("conv", "h", F.coalesce("taken", F.lit(0)).alias("taken"))
+    own = turns.join(taken, "conv", "left").where("h IS NULL OR place >= h")
+    moved = own.withColumn("place", F.col("place") - F.coalesce(F.col("h") - F.col("taken"), F.lit(0))).select(*turns.columns)
+    return moved.unionByName(openings), convs.select("conv")
+
+
+def op11_prefix_trie(spark, folder):
+    ws = Workspace(spark)
+    heads = ws.save(tries.heads(given(spark, folder, "conversations"), "conv_id", "turn", "role", "text", ws), "heads")
+    turns, convs = regenerated(heads)
+    nodes, ends = tries.build(ws.save(turns, "regenerated"), ws.save(convs, "convs"), ws)
+    digests = tries.ends_digest(ends)
+    return nodes.join(digests, "number", "left").select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        "saved_tokens", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,6 +104,7 @@ QUERIES = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES = {
@@ -126,5 +154,38 @@ WITH RECURSIVE split AS (
 )
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+""",
+    "op11_prefix_trie": """
+WITH own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), openings AS (
+  SELECT c, t, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT for _ in range(8)]),
+      lambda bits, _: CASE WHEN bits & 1 = 1 THEN xor(bits >> 1, 3988292384::BIGINT) ELSE bits >> 1 END))) % 6 AS h
+  FROM own
+), rebuilt AS (
+  SELECT x.c, list_concat(coalesce(b.t, [])[1:x.h], x.t[x.h + 1:]) AS t FROM openings x LEFT JOIN own b ON b.c = x.c - x.c % 100
+), prefixes AS (
+  SELECT c, d, t[1:d] AS p, len(t) AS turns FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM rebuilt)
+), members AS (
+  SELECT c, d, p, turns, min(c) OVER (PARTITION BY d, p) AS conv_id FROM prefixes
+), nodes AS (
+  SELECT conv_id, d AS depth, count(*) AS n_convs, any_value(coalesce(length(p[d].text), 0)) AS chars,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE turns = d), '')) AS ends_sha256
+  FROM members GROUP BY conv_id, d
+), above AS (
+  SELECT n.conv_id, n.depth, n.n_convs, n.chars, m.conv_id AS a_conv, m.d AS a_depth,
+         NOT EXISTS (FROM members k JOIN members l ON l.c = k.c AND l.d = k.d - 1
+                     WHERE k.d = n.depth + 1 AND l.conv_id = n.conv_id) AS leaf
+  FROM nodes n JOIN members m ON m.c = n.conv_id AND m.d <= n.depth
+), totals AS (
+  SELECT a_conv AS conv_id, a_depth AS depth, count(*) FILTER (WHERE depth = a_depth + 1) AS n_children,
+         count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM above GROUP BY a_conv, a_depth
+)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes n JOIN totals USING (conv_id, depth) LEFT JOIN members m ON m.c = n.conv_id AND m.d = n.depth - 1
 """,
 }
