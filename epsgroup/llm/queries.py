@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import chat, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, tries, warc
+from epsgroup.llm import chat, collocations, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, tries, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +93,10 @@ def op11_prefix_trie(spark, folder):
     )
 
 
+def op12_collocations(spark, folder):
+    return collocations.mine(given(spark, folder, "documents"), "text", "lang", 100, 2000, Workspace(spark))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES = {
@@ -187,5 +192,38 @@ WITH own AS (
 )
 SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, ends_sha256
 FROM nodes n JOIN totals USING (conv_id, depth) LEFT JOIN members m ON m.c = n.conv_id AND m.d = n.depth - 1
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), runs AS (
+  SELECT lang, w[i:i + m - 1] AS p FROM starts CROSS JOIN range(1, 6) AS lengths(m) WHERE i + m - 1 <= len(w)
+), known AS (
+  SELECT lang, p, count(*) AS f FROM runs GROUP BY lang, p HAVING count(*) >= 100
+), kept AS (
+  SELECT * FROM known c WHERE len(p) > 1 AND NOT EXISTS (
+    SELECT 1 FROM known x WHERE x.lang = c.lang AND len(x.p) > len(c.p) AND 100 * x.f >= 100 * c.f
+      AND contains(' ' || array_to_string(x.p, ' ') || ' ', ' ' || array_to_string(c.p, ' ') || ' '))
+), cuts AS (
+  SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM kept
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, t.n,
+         CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN known y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+       array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
 """,
 }
