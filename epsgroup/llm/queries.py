@@ -3,10 +3,11 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from epsgroup.llm import chat, collocations, decontamination, embeddings, jaccard, licenses, packing, quality, scoring, sharding, tries, warc
+from epsgroup.llm import chat, collocations, decontamination, embeddings, jaccard, languages, licenses, packing, quality, scoring, sharding, tries, warc
 from epsgroup.workspace import Workspace
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 SEQUENCE = 2048
 SHARD_BYTES = 64 << 20
 
@@ -97,6 +98,15 @@ def op12_collocations(spark, folder):
     return collocations.mine(given(spark, folder, "documents"), "text", "lang", 100, 2000, Workspace(spark))
 
 
+def op13_language_id(spark, folder):
+    """A quarter of the documents is held out: those whose crc32 of the id leaves 2 when divided by 4."""
+    docs = given(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    pieces = languages.vocabulary(public_tokenizers.path(PIECES))
+    model = languages.learn(docs.where(~held_out), "text", "lang", pieces, Workspace(spark))
+    return languages.predict(docs, [F.col("doc_id"), held_out.alias("held_out")], "text", model)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -110,6 +120,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
