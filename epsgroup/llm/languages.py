@@ -6,6 +6,7 @@ once. Piece probabilities come from expectation-maximisation over the counted wo
 give the pieces a word is expected to use.
 """
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,7 @@ LONGEST = 64  # bytes of a word; longer ones go on as words without a space in f
 MAX_LANGS = 1000  # the model holds a number for each piece and language
 NODES = 1 << 20  # sums held at a time
 HELD = 1 << 18  # different words a task counts before it hands them on
+CACHE_BYTES = 48 << 20  # scores of words a worker keeps
 CUT = 4 << 20
 UNKNOWN = "und"
 _SPACE = np.zeros(256, bool)
@@ -93,7 +95,7 @@ class Lattice:
         place = np.arange(len(self.flat)) - first[word]
         found = [(p, np.full(len(p), n), x) for p, n, x in trie.edges(self.flat, size[word] - place)]
         at, long, piece = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-        order = np.lexsort((long, place[at]))
+        order = np.argsort((place[at] * (trie.longest + 1) + long).astype(np.uint16 if LONGEST * trie.longest < 1 << 15 else int), kind="stable")
         at, long, self.piece = at[order], long[order], piece[order]
         self.word = word[at]
         self.source = at + self.word  # a word of n bytes has n + 1 nodes
@@ -132,6 +134,43 @@ def word_scores(trie: Pieces, words: list[bytes], log_p: np.ndarray) -> np.ndarr
     return out
 
 
+class Scores:
+    """The scores of the words seen last, kept by hash, CACHE_BYTES at most."""
+
+    def __init__(self, trie: Pieces, log_p: np.ndarray):
+        self.trie, self.log_p, self.limit = trie, log_p, CACHE_BYTES // (8 + 8 * log_p.shape[1])
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, log_p.shape[1]))
+
+    def of(self, words: "Words") -> tuple[np.ndarray, np.ndarray]:
+        """(scores of the different words, number of the different word that each word is)."""
+        keys, first, which = np.unique(words.keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            hit = self.keys[at] == keys
+        out = np.empty((len(keys), self.log_p.shape[1]))
+        out[hit] = self.values[at[hit]]
+        out[~hit] = word_scores(self.trie, [words.word(i) for i in first[~hit].tolist()], self.log_p)
+        if len(self.keys) + len(keys) - hit.sum() > self.limit:
+            self.keys, self.values = keys[:0], out[:0]
+        all_keys = np.concatenate([self.keys, keys[~hit]])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.values = all_keys[order], np.concatenate([self.values, out[~hit]])[order]
+        return out, which
+
+
+_scores: dict[str, Scores] = {}
+
+
+def _cached(token: str, trie: Pieces, log_p: np.ndarray) -> Scores:
+    """The scores a worker has made with one model, over all its tasks."""
+    if token not in _scores:
+        _scores.clear()
+        _scores[token] = Scores(trie, log_p)
+    return _scores[token]
+
+
 def expected(trie: Pieces, words: list[bytes], counts: np.ndarray, langs: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by each language, over these words and how often each occurs in its language."""
     out = np.zeros(log_p.size)
@@ -274,22 +313,18 @@ def predict(docs: DataFrame, keep: list[Column], text_col: str, model: Model) ->
     packed = docs.select(F.struct(*keep).alias("row"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
     shared = spark.sparkContext.broadcast(model)
 
+    token = uuid.uuid4().hex
+
     def decide(batches):
-        model, known = shared.value, {}
-        trie = _trie(model.pieces)
+        model = shared.value
+        scores = _cached(token, _trie(model.pieces), model.log_p)
         for batch in batches:
             texts = batch.column(1)
             total = np.tile(model.log_prior, (batch.num_rows, 1))
             for words, rows in _words_of(texts) if model.langs else ():
-                keys, first, of = np.unique(words.keys, return_index=True, return_inverse=True)
-                new = [i for i, k in enumerate(keys.tolist()) if k not in known]
-                if len(known) + len(new) > HELD:
-                    known, new = {}, range(len(keys))
-                scores = word_scores(trie, [words.word(first[i]) for i in new], model.log_p)
-                known.update(zip(keys[list(new)].tolist(), scores, strict=True))
-                scores = np.array([known[k] for k in keys.tolist()]).reshape(-1, len(model.langs))
+                found, which = scores.of(words)
                 for lang in range(len(model.langs)):
-                    total[rows, lang] += np.bincount(words.text, scores[of, lang], len(rows))
+                    total[rows, lang] += np.bincount(words.text, found[which, lang], len(rows))
             sure = texts.is_valid().to_numpy(zero_copy_only=False) & (len(model.langs) > 0)
             best = total.argmax(1) if model.langs else np.zeros(len(total), int)
             score = 1 / np.exp(total - total.max(1, initial=-np.inf)[:, None]).sum(1) if model.langs else np.zeros(len(total))
