@@ -86,6 +86,67 @@ def first_fit(ids, x, eps, offers=None):
     return label
 
 
+class Cells:
+    """Row numbers by cell of a grid over the plane."""
+
+    def __init__(self, plane: np.ndarray, side: float):
+        self.cells = np.floor(plane / side).astype(np.int64)
+        self.rows: dict[tuple, list[int]] = {}
+
+    def add(self, i: int) -> None:
+        self.rows.setdefault(tuple(self.cells[i].tolist()), []).append(i)
+
+    def around(self, i: int) -> list[int]:
+        """The rows added in the cell of row i and the eight next to it."""
+        x, y = self.cells[i].tolist()
+        return [j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for j in self.rows.get((a, b), ())]
+
+
+def first_fit_in_cells(ids, x, plane, eps, group, decided, home):
+    """(group of every row, whether it is decided, distances counted) after one pass over a tile and its surroundings.
+
+    Rows come in ascending id; `plane` holds two of their coordinates. Of the rows not `decided` yet, those at `home` are decided
+    as `first_fit` would, unless an undecided earlier row is within 2 eps; those around the tile stay undecided. A row meets the
+    founders, members and waiting rows of the cells next to its own only.
+    """
+    label, done = group.copy(), decided.copy()
+    waiting, founders = Cells(plane, 2 * eps * (1 + 1e-9)), Cells(plane, eps * (1 + 1e-9))
+    groups: dict[int, Group] = {}
+    pairs = 0
+
+    def take(i, key):
+        if key not in groups:
+            groups[key] = Group()
+        if ids[i] == key:
+            founders.add(i)
+        groups[key].take(x, i)
+
+    for i in range(len(x)):
+        if done[i]:
+            take(i, int(label[i]))
+            continue
+        blocked = not home[i]
+        if not blocked:
+            near = waiting.around(i)
+            pairs += len(near)
+            blocked = bool(near) and bool(within(x[i : i + 1], x[near], 2 * eps * (1 + 1e-9)).any())
+        if blocked:
+            waiting.add(i)
+            continue
+        near = sorted(founders.around(i))
+        pairs += len(near)
+        key = int(ids[i])
+        if near:
+            for j in np.array(near)[within(x[i : i + 1], x[near], eps)[0]].tolist():
+                pairs += groups[int(ids[j])].size
+                if groups[int(ids[j])].accepts(x, i, eps):
+                    key = int(ids[j])
+                    break
+        label[i], done[i] = key, True
+        take(i, key)
+    return label, done, pairs
+
+
 def owned(label, base, assigned):
     """True for rows of groups whose lowest base index equals the assigned index in every round."""
     keep = np.ones(len(label), dtype=bool)

@@ -20,6 +20,7 @@ from epsgroup.functions import kernels
 from epsgroup.functions.firstfit import SAFE, first_fit
 from epsgroup.operators.local import drop_copies
 from epsgroup.operators.sizes import join_small
+from epsgroup.operators.tilewise import group_tilewise, planned
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
@@ -52,11 +53,28 @@ class Block:
         return result
 
 
-def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str):
-    """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`. All partitions take their
-    steps together, and no member passes through the driver."""
-    ship(rows.sparkSession)
+def group_large(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str) -> DataFrame:
+    """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`, each too large for one task.
+
+    Partitions that can be cut into tiles many eps wide are grouped tile by tile, others block by block.
+    """
     rows = ws.save(rows.select("path", "id", "weight", "features", "base"), f"{name}-rows")
+    plan = planned(rows, eps, block_rows, ws, name)
+    number = plan.count()
+    labelled = None
+    if number:
+        labelled = group_tilewise(join_small(rows, plan.select("path"), "path", number, "left_semi"), plan, number, eps, ws, f"{name}-tile")
+        rows = ws.save(rows.join(plan.select("path"), "path", "left_anti"), f"{name}-others")
+    if not number or not rows.isEmpty():
+        blocks = group_blockwise(rows, eps, block_rows, ws, name)
+        labelled = blocks if labelled is None else labelled.select(blocks.columns).unionByName(blocks)
+    return drop_copies(labelled).select("path", "group_id", "id", "weight", "features")
+
+
+def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str) -> DataFrame:
+    """(path, id, weight, features, base, group_id) of all rows. All partitions take their steps together, and no member passes
+    through the driver."""
+    ship(rows.sparkSession)
     shares = rows.groupBy("path").agg(F.count("*").alias("total"))
     shares = ws.save(shares.select("path", F.ceil(F.col("total") / block_rows).cast("int").alias("shares")), f"{name}-shares")
     total, cell_rows = rows.count(), max(1, block_rows // CELLS_PER_BLOCK)
@@ -91,8 +109,7 @@ def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace,
         waiting = waiting.select(rest.columns)
         step += 2
     schema = T.StructType([*rows.schema.fields, T.StructField("group_id", T.LongType())])
-    labelled = ws.steps(f"{name}-labelled", schema)
-    return drop_copies(labelled).select("path", "group_id", "id", "weight", "features")
+    return ws.steps(f"{name}-labelled", schema).drop("step")
 
 
 def _next_cells(waiting, block_rows):

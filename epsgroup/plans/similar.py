@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epsgroup.functions.vectors import checked
 from epsgroup.operators import partition, sampling, sizes
-from epsgroup.operators.blockwise import group_blockwise
+from epsgroup.operators.blockwise import group_large
 from epsgroup.operators.local import MEMBERS, group_partitions
 from epsgroup.operators.sizes import POINT_BYTES, dimension_of, join_small, points_fit
 from epsgroup.operators.sums import vector_mean
@@ -31,9 +31,9 @@ class Options:
         than `shrink` of the rows, or leaves one and makes more than `max_growth` copies per row. Without this, rows
         that no pivots separate never end; with it, every round shrinks each partition that is split on, so the number
         of rounds needs no bound. max_rounds sets one, after which nothing is split.
-    local_rows: partitions with more distinct vectors are grouped block by block over many tasks (less if the vectors
-        of that many rows take more than TASK_BYTES).
-    block_rows: size of such a block.
+    local_rows: partitions with more distinct vectors are grouped tile by tile or block by block over many tasks (less if the
+        vectors of that many rows take more than TASK_BYTES).
+    block_rows: size of such a tile or block.
     """
 
     eps: float
@@ -131,7 +131,7 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
     local, large = _partitions(groups)
     members = group_partitions(local, options.eps) if local is not None else None
     if large is not None:
-        blocks = group_blockwise(large, options.eps, options.block_rows, ws, "large")
+        blocks = group_large(large, options.eps, options.block_rows, ws, "large")
         members = blocks if members is None else members.unionByName(blocks)
     if members is None:
         members = rows.sparkSession.createDataFrame([], MEMBERS)

@@ -6,6 +6,7 @@ CUSTOMERS = (
 )
 PARTS = "(SELECT p_partkey id, p_retailprice agg, [10.0::DOUBLE * p_size, p_retailprice / 100.0::DOUBLE] f FROM part)"
 MIXED = "(SELECT p_partkey id, p_retailprice agg, [p_retailprice, 20.0::DOUBLE * p_size] f FROM part)"
+PLANE = "(SELECT c_custkey id, c_acctbal agg, [c_acctbal, 40.0::DOUBLE * c_nationkey] f FROM customer)"
 CLUSTER = "(SELECT p_partkey id, p_retailprice agg, [p_size::DOUBLE, p_retailprice / 10.0::DOUBLE] f FROM part)"
 EVENTS = "(SELECT event_id id, value agg, [value, user_id / 10.0::DOUBLE] f FROM events)"
 EMBEDDINGS = "(SELECT vec_id id, label::DOUBLE agg, embedding::DOUBLE[] f FROM embeddings)"
@@ -238,6 +239,8 @@ ORACLES = {
     "round(avg(l_tax), 9) AS x3, count(*) AS n FROM lineitem GROUP BY 1",
     "sim_local": f"WITH RECURSIVE {first_fit(f'(SELECT 0 part, 0 base, id, f FROM {MIXED})', 200.0)} "
     "SELECT founder AS group_id, id FROM g",
+    "sim_tiles": f"WITH RECURSIVE {first_fit(f'(SELECT 0 part, 0 base, id, f FROM {PLANE})', 60.0)} "
+    "SELECT founder AS group_id, id FROM g",
     "sim_owner": f"WITH RECURSIVE {placed(MIXED, 4, 200.0)}, "
     f"{first_fit('(SELECT child part, base, id, f FROM c)', 200.0)}, "
     "k AS (SELECT * FROM g QUALIFY min(base) OVER (PARTITION BY part, founder) = part) "

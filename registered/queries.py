@@ -220,6 +220,13 @@ def sim_blocks(spark, folder):
     return in_blocks(spark, folder).original_rows().select("group_id", "id")
 
 
+def sim_tiles(spark, folder):
+    """A plane much wider than eps, with more rows than one task is given: grouped tile by tile."""
+    options = similar.Options(60.0, num_pivots=1, threshold=THRESHOLD, local_rows=400, block_rows=400)
+    rows = tables.plane_customers(spark, folder)
+    return similar.run(rows, options, Workspace(spark)).original_rows().select("group_id", "id")
+
+
 def sim_owner(spark, folder):
     """Four partitions of data that is not separated: the ownership rule leaves out rows whose groups cross a border, and
     `lost_and_doubled` counts them."""
@@ -460,6 +467,7 @@ QUERIES = {
     "vector_mean": vector_means,
     "sim_local": sim_local,
     "sim_blocks": sim_blocks,
+    "sim_tiles": sim_tiles,
     "sim_owner": sim_owner,
     "sim_members": sim_members,
     "sim_centroids": sim_centroids,

@@ -44,6 +44,15 @@ def mixed_parts(spark, folder):
     )
 
 
+def plane_customers(spark, folder):
+    """Balances over 11,000 and nations over 960: few neighbours within 100."""
+    return given(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_acctbal").alias("agg"),
+        vector("c_acctbal", F.lit(40.0) * F.col("c_nationkey")).alias("features"),
+    )
+
+
 def cluster_parts(spark, folder):
     return given(spark, folder, "part").select(
         F.col("p_partkey").alias("id"),
