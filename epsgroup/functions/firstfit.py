@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from epsgroup.functions.kernels import within
+from epsgroup.functions.metrics import EUCLIDEAN
 
 SAFE = 1.0 - 1e-9
 BLOCK = 256
@@ -11,9 +11,10 @@ BLOCK = 256
 class Group:
     """Members of one group in the block, and a ball around them that lets most rows join without a full check."""
 
-    __slots__ = ("rows", "size", "center", "radius", "due")
+    __slots__ = ("rows", "size", "center", "radius", "due", "metric")
 
-    def __init__(self):
+    def __init__(self, metric=EUCLIDEAN):
+        self.metric = metric
         self.rows = np.empty(4, dtype=np.int64)
         self.size = 0
         self.center = None
@@ -24,29 +25,32 @@ class Group:
         if self.size == 0:
             return True
         if self.center is not None:
-            if np.sqrt(((x[i] - self.center) ** 2).sum()) + self.radius <= eps * SAFE:
+            if self.gap(x, i) + self.radius <= eps * SAFE:
                 return True
         members = self.rows[: self.size]
         for start in range(0, self.size, 1024):
-            if not within(x[i : i + 1], x[members[start : start + 1024]], eps).all():
+            if not self.metric.within(x[i : i + 1], x[members[start : start + 1024]], eps).all():
                 return False
         return True
 
+    def gap(self, x, i):
+        return float(self.metric.aligned(x[i : i + 1], self.center[None])[0])
+
     def take(self, x, i):
         if self.size == len(self.rows):
             self.rows = np.resize(self.rows, 2 * self.size)
         self.rows[self.size] = i
         self.size += 1
         if self.center is not None:
-            self.radius = max(self.radius, float(np.sqrt(((x[i] - self.center) ** 2).sum())))
+            self.radius = max(self.radius, self.gap(x, i))
         if self.size == self.due:
             members = x[self.rows[: self.size]]
             self.center = members.mean(axis=0)
-            self.radius = float(np.sqrt(((members - self.center) ** 2).sum(axis=1)).max())
+            self.radius = float(self.metric.aligned(members, np.broadcast_to(self.center, members.shape)).max())
             self.due *= 2
 
 
-def first_fit(ids, x, eps, offers=None):
+def first_fit(ids, x, eps, offers=None, metric=EUCLIDEAN):
     """Group of every row, named by the id of the row that founded it.
 
     Rows come in ascending id and join the first group all of whose members lie within eps, or else found a group.
@@ -58,8 +62,8 @@ def first_fit(ids, x, eps, offers=None):
     for start in range(0, len(x), BLOCK):
         stop = min(len(x), start + BLOCK)
         known = np.array(founders, dtype=np.int64)
-        near_known = within(x[start:stop], x[known], eps) if len(known) else None
-        near_block = within(x[start:stop], x[start:stop], eps)
+        near_known = metric.within(x[start:stop], x[known], eps) if len(known) else None
+        near_block = metric.within(x[start:stop], x[start:stop], eps)
         fresh: list[int] = []
         for i in range(start, stop):
             row = i - start
@@ -79,7 +83,7 @@ def first_fit(ids, x, eps, offers=None):
                 chosen = int(ids[i])
                 fresh.append(i)
             if chosen not in groups:
-                groups[chosen] = Group()
+                groups[chosen] = Group(metric)
             groups[chosen].take(x, i)
             label[i] = chosen
         founders.extend(fresh)
@@ -102,7 +106,7 @@ class Cells:
         return [j for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for j in self.rows.get((a, b), ())]
 
 
-def first_fit_in_cells(ids, x, plane, eps, group, decided, home):
+def first_fit_in_cells(ids, x, plane, eps, group, decided, home, metric=EUCLIDEAN):
     """(group of every row, whether it is decided, distances counted) after one pass over a tile and its surroundings.
 
     Rows come in ascending id; `plane` holds two of their coordinates. Of the rows not `decided` yet, those at `home` are decided
@@ -116,7 +120,7 @@ def first_fit_in_cells(ids, x, plane, eps, group, decided, home):
 
     def take(i, key):
         if key not in groups:
-            groups[key] = Group()
+            groups[key] = Group(metric)
         if ids[i] == key:
             founders.add(i)
         groups[key].take(x, i)
@@ -129,7 +133,7 @@ def first_fit_in_cells(ids, x, plane, eps, group, decided, home):
         if not blocked:
             near = waiting.around(i)
             pairs += len(near)
-            blocked = bool(near) and bool(within(x[i : i + 1], x[near], 2 * eps * (1 + 1e-9)).any())
+            blocked = bool(near) and bool(metric.within(x[i : i + 1], x[near], 2 * eps * (1 + 1e-9)).any())
         if blocked:
             waiting.add(i)
             continue
@@ -137,7 +141,7 @@ def first_fit_in_cells(ids, x, plane, eps, group, decided, home):
         pairs += len(near)
         key = int(ids[i])
         if near:
-            for j in np.array(near)[within(x[i : i + 1], x[near], eps)[0]].tolist():
+            for j in np.array(near)[metric.within(x[i : i + 1], x[near], eps)[0]].tolist():
                 pairs += groups[int(ids[j])].size
                 if groups[int(ids[j])].accepts(x, i, eps):
                     key = int(ids[j])

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from epsgroup.functions import kernels
 from epsgroup.functions.firstfit import SAFE, first_fit
+from epsgroup.functions.metrics import EUCLIDEAN, Metric
 from epsgroup.operators.local import drop_copies
 from epsgroup.operators.sizes import join_small
 from epsgroup.operators.tilewise import group_tilewise, planned
@@ -40,38 +41,39 @@ class Block:
     centers: np.ndarray
     radii: np.ndarray
     fresh: np.ndarray
+    metric: Metric
 
     def accepts(self, x, needed, eps):
         """Which groups accept which rows, where needed. Balls around the members decide most pairs."""
-        low, high = kernels.distance_bounds(x, self.centers)
+        low, high = self.metric.bounds(x, self.centers)
         result = high + self.radii <= eps * SAFE
         unsure = needed & ~result & (low - self.radii <= eps / SAFE)
         ends = np.append(self.starts[1:], len(self.x))
         for g in np.flatnonzero(unsure.any(axis=0)):
             rows = np.flatnonzero(unsure[:, g])
-            result[rows, g] = kernels.within(x[rows], self.x[self.starts[g] : ends[g]], eps).all(axis=1)
+            result[rows, g] = self.metric.within(x[rows], self.x[self.starts[g] : ends[g]], eps).all(axis=1)
         return result
 
 
-def group_large(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str) -> DataFrame:
+def group_large(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str, metric=EUCLIDEAN) -> DataFrame:
     """(path, group_id, id, weight, features) of the owned groups of all partitions in `rows`, each too large for one task.
 
     Partitions that can be cut into tiles many eps wide are grouped tile by tile, others block by block.
     """
     rows = ws.save(rows.select("path", "id", "weight", "features", "base"), f"{name}-rows")
-    plan = planned(rows, eps, block_rows, ws, name)
+    plan = planned(rows, eps if metric.coordinatewise else 0.0, block_rows, ws, name)
     number = plan.count()
     labelled = None
     if number:
-        labelled = group_tilewise(join_small(rows, plan.select("path"), "path", number, "left_semi"), plan, number, eps, ws, f"{name}-tile")
+        labelled = group_tilewise(join_small(rows, plan.select("path"), "path", number, "left_semi"), plan, number, eps, metric, ws, f"{name}-tile")
         rows = ws.save(rows.join(plan.select("path"), "path", "left_anti"), f"{name}-others")
     if not number or not rows.isEmpty():
-        blocks = group_blockwise(rows, eps, block_rows, ws, name)
+        blocks = group_blockwise(rows, eps, block_rows, ws, name, metric)
         labelled = blocks if labelled is None else labelled.select(blocks.columns).unionByName(blocks)
     return drop_copies(labelled).select("path", "group_id", "id", "weight", "features")
 
 
-def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str) -> DataFrame:
+def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace, name: str, metric=EUCLIDEAN) -> DataFrame:
     """(path, id, weight, features, base, group_id) of all rows. All partitions take their steps together, and no member passes
     through the driver."""
     ship(rows.sparkSession)
@@ -98,11 +100,11 @@ def group_blockwise(rows: DataFrame, eps: float, block_rows: int, ws: Workspace,
             break
         marked = waiting.join(ends, "path")
         block = marked.where(F.col("cell") <= F.col("end")).drop("end", "cell", "share")
-        grouped = block.groupBy("path").applyInArrow(_grouper(eps), LABELLED)
+        grouped = block.groupBy("path").applyInArrow(_grouper(eps, metric), LABELLED)
         ws.save_step(grouped, f"{name}-labelled", step)
         done = ws.steps(f"{name}-labelled", grouped.schema).where(F.col("step") == step)
         rest = marked.where(F.col("cell") > F.col("end")).drop("end")
-        waiting = ws.save(_updated(rest, done, shares, eps), f"{name}-waiting-{step + 1}")
+        waiting = ws.save(_updated(rest, done, shares, eps, metric), f"{name}-waiting-{step + 1}")
         founded += done.where("group_id = id").count()
         settled, waiting = _settle(waiting, eps, founded)
         ws.save_step(settled, f"{name}-labelled", step + 1)
@@ -122,32 +124,32 @@ def _next_cells(waiting, block_rows):
     return fitting.groupBy("path").agg(F.max("cell").alias("end"))
 
 
-def _grouper(eps):
+def _grouper(eps, metric):
     def group(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table.column("id")))
         offers = table.column("offers").combine_chunks()
         keys = offers.flatten().field("group_id").to_numpy()
         bounds = np.concatenate([[0], np.cumsum(offers.value_lengths().to_numpy())])
         lists = [keys[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
-        label = first_fit(table.column("id").to_numpy(), kernels.vectors_of(table.column("features")), eps, lists)
+        label = first_fit(table.column("id").to_numpy(), kernels.vectors_of(table.column("features")), eps, lists, metric)
         return table.drop_columns(["offers"]).append_column("group_id", pa.array(label))
 
     return group
 
 
-def _block(table: pa.Table) -> Block:
+def _block(table: pa.Table, metric) -> Block:
     """The members of one partition's block."""
     table = table.sort_by([(name, "ascending") for name in ("group_id", "id")])
     x, ids, groups = kernels.vectors_of(table.column("features")), table.column("id").to_numpy(), table.column("group_id").to_numpy()
     keys, starts = np.unique(groups, return_index=True)
     counts = np.diff(np.append(starts, len(x)))
     centers = np.add.reduceat(x, starts, axis=0) / counts[:, None]
-    offsets = np.sqrt(kernels.aligned_sq(x, np.repeat(centers, counts, axis=0)))
+    offsets = metric.aligned(x, np.repeat(centers, counts, axis=0))
     radii = np.maximum.reduceat(offsets, starts) * (1 + 1e-12)
-    return Block(x, keys, starts, centers, radii, np.isin(keys, ids))
+    return Block(x, keys, starts, centers, radii, np.isin(keys, ids), metric)
 
 
-def _updated(rest, done, shares, eps):
+def _updated(rest, done, shares, eps, metric):
     """Waiting rows with their offers brought up to date: groups of the block that refuse a row are taken out of its list,
     new groups that accept it are added with the distance to their centre.
 
@@ -159,7 +161,7 @@ def _updated(rest, done, shares, eps):
     def update(rows: pa.Table, members: pa.Table) -> pa.Table:
         if not rows.num_rows or not members.num_rows:
             return rows
-        block, x = _block(members), kernels.vectors_of(rows.column("features"))
+        block, x = _block(members, metric), kernels.vectors_of(rows.column("features"))
         offers = rows.column("offers").combine_chunks()
         entries = offers.flatten()
         owner = np.repeat(np.arange(len(x)), offers.value_lengths().to_numpy(zero_copy_only=False))
@@ -177,7 +179,7 @@ def _updated(rest, done, shares, eps):
             accepts = block.accepts(x[piece], needed, eps)
             stay[held] = accepts[owner[held] - piece.start, at]
             i, j = np.nonzero(accepts & block.fresh)
-            distance = np.sqrt(kernels.aligned_sq(x[piece][i], block.centers[j]))
+            distance = metric.aligned(x[piece][i], block.centers[j])
             added.append((i + piece.start, block.groups[j], distance))
         owner = np.concatenate([owner[stay], *[a[0] for a in added]])
         group = np.concatenate([group[stay], *[a[1] for a in added]])

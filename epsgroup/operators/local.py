@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from epsgroup.functions import kernels
 from epsgroup.functions.firstfit import first_fit, owned
+from epsgroup.functions.metrics import EUCLIDEAN
 from epsgroup.ship import ship
 
 MEMBERS = "path string, group_id bigint, id bigint, weight bigint, features array<double>"
@@ -18,7 +19,7 @@ def base_matrix(table: pa.Table, rounds: int) -> np.ndarray:
     return flat.reshape(len(table), rounds)
 
 
-def group_partitions(rows: DataFrame, eps: float) -> DataFrame:
+def group_partitions(rows: DataFrame, eps: float, metric=EUCLIDEAN) -> DataFrame:
     """(path, group_id, id, weight, features) of the groups each partition owns.
 
     One task holds one partition, so callers pass partitions of checked size only.
@@ -30,7 +31,7 @@ def group_partitions(rows: DataFrame, eps: float) -> DataFrame:
         path = table.column("path")[0].as_py()
         assigned = [int(index) for index in path.split(".")] if path else []
         ids = table.column("id").to_numpy()
-        label = first_fit(ids, kernels.vectors_of(table.column("features")), eps)
+        label = first_fit(ids, kernels.vectors_of(table.column("features")), eps, metric=metric)
         keep = owned(label, base_matrix(table, len(assigned)), assigned)
         table = table.select(["path", "id", "weight", "features"]).add_column(1, "group_id", pa.array(label))
         return table.filter(pa.array(keep))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgroup.functions import kernels
+from epsgroup.functions import kernels, metrics
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
@@ -18,7 +18,7 @@ PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(
 EUCLIDEAN, METRIC = "euclidean", "metric"
 
 
-def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws: Workspace, name: str, tile_bytes: int) -> DataFrame:
+def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws: Workspace, name: str, tile_bytes: int, metric=metrics.EUCLIDEAN) -> DataFrame:
     """Adds `near` and `targets` (all pivots the row is sent to), with the pivots sent to the tasks tile by tile.
 
     For pivot sets too large to send everywhere at once. The first passes find the nearest pivot, the second ones the other
@@ -34,7 +34,7 @@ def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws:
         for tile in range(tiles):
             points = _tile(numbered.where(F.col("tile") == tile))
             shared = rows.sparkSession.sparkContext.broadcast(points)
-            step = known.mapInArrow(lambda batches, p=place, s=shared: p(batches, s.value, eps, window), known.schema)
+            step = known.mapInArrow(lambda batches, p=place, s=shared: p(batches, s.value, eps, window, metric), known.schema)
             known = ws.save(step, f"{name}-{place.__name__}-{tile}")
     targets = F.array_sort(F.array_union(F.array("best"), F.coalesce("found", F.array().cast("array<int>"))))
     return known.select(*rows.columns, F.col("best").alias("near"), targets.alias("targets"))
@@ -68,13 +68,13 @@ def _replaced(batch, **columns):
     return batch
 
 
-def _closer(batches, points, eps, window):
+def _closer(batches, points, eps, window, metric):
     for batch in batches:
         x, paths = _by_path(batch, points)
         best, gap = (np.array(batch.column(c).to_pylist(), dtype=float) for c in ("best", "gap"))
         base = batch.column("base_features").to_pylist()
         for here, pids, own in paths:
-            near, distance = kernels.nearest(x[here], own, squared=False)
+            near, distance = metric.nearest(x[here], own)
             new = np.isnan(gap[here]) | (distance < gap[here]) | ((distance == gap[here]) & (pids[near] < best[here]))
             for row, i in zip(here[new], near[new], strict=True):
                 base[row] = own[i].tolist()
@@ -83,7 +83,7 @@ def _closer(batches, points, eps, window):
         yield _replaced(batch, best=columns[0], gap=columns[1], base_features=pa.array(base, pa.list_(pa.float64())))
 
 
-def _bordering(batches, points, eps, window):
+def _bordering(batches, points, eps, window, metric):
     for batch in batches:
         x, paths = _by_path(batch, points)
         gap, found = batch.column("gap").to_numpy(zero_copy_only=False), [f or [] for f in batch.column("found").to_pylist()]
@@ -91,13 +91,13 @@ def _bordering(batches, points, eps, window):
         for here, pids, own in paths:
             for block in kernels.row_blocks(len(here), len(own)):
                 rows = here[block]
-                d, between = (np.sqrt(kernels.pairwise_sq(v[rows], own)) for v in (x, base))
+                d, between = (metric.pairwise(v[rows], own) for v in (x, base))
                 for i, j in np.argwhere(kernels.border(d, gap[rows][:, None], between, window) <= eps):
                     found[rows[i]].append(int(pids[j]))
         yield _replaced(batch, found=pa.array(found, pa.list_(pa.int32())))
 
 
-def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN) -> DataFrame:
+def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN, metric=metrics.EUCLIDEAN) -> DataFrame:
     """The same with the pivots of all partitions sent to every task: {path: matrix}. No shuffle."""
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast({k: np.asarray(v, dtype=float) for k, v in pivots.items()})
@@ -116,8 +116,8 @@ def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLID
                     raise ValueError("vectors and pivots differ in length")
                 for block in kernels.row_blocks(len(rows_here), len(points)):
                     chosen = rows_here[block]
-                    index, gap = kernels.nearest(x[chosen], points, squared=False)
-                    copies = kernels.window_copies(x[chosen], points, index, gap, eps, window)
+                    index, gap = metric.nearest(x[chosen], points)
+                    copies = metric.copies(x[chosen], points, index, gap, eps, window)
                     near[chosen] = index
                     i, j = np.nonzero(copies)
                     at.append(chosen[i])
@@ -144,13 +144,13 @@ def collect_pivots(pivots: DataFrame) -> dict:
     return dict(zip(coded.dictionary.to_pylist(), np.split(kernels.vectors_of(table.column("features")), starts[1:])))
 
 
-def keep_apart(pivots: DataFrame, gap: float) -> DataFrame:
+def keep_apart(pivots: DataFrame, gap: float, metric=metrics.EUCLIDEAN) -> DataFrame:
     """Pivots without those at most `gap` from an earlier one of their partition, numbered anew."""
     ship(pivots.sparkSession)
 
     def thin(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
-        close = kernels.within(*[kernels.vectors_of(table.column("features"))] * 2, gap)
+        close = metric.within(*[kernels.vectors_of(table.column("features"))] * 2, gap)
         kept = []
         for i in range(len(close)):
             if not close[i, kept].any():

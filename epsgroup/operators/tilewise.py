@@ -57,7 +57,7 @@ def on_axes(rows: DataFrame, chosen: DataFrame, number: int) -> DataFrame:
     return join_small(rows, chosen, "path", number).withColumns({"x": F.get("features", F.col("first")), "y": y}).drop("first", "second")
 
 
-def group_tilewise(rows: DataFrame, plan: DataFrame, number: int, eps: float, ws: Workspace, name: str) -> DataFrame:
+def group_tilewise(rows: DataFrame, plan: DataFrame, number: int, eps: float, metric, ws: Workspace, name: str) -> DataFrame:
     """(path, id, weight, features, base, group_id) of the partitions of a plan (of so many rows).
 
     Each round is one job over the rows of the tiles that still have waiting rows. The first of all waiting rows is decided in any
@@ -82,19 +82,19 @@ def group_tilewise(rows: DataFrame, plan: DataFrame, number: int, eps: float, ws
         seen = state.select("*", touched("x", shift[0]).alias("tx")).select("*", touched("y", shift[1]).alias("ty"))
         home = (tile[0] == F.col("tx")) & (tile[1] == F.col("ty"))
         seen = seen.withColumn("home", home).join(busy, ["path", "tx", "ty"], "left_semi")
-        decided = seen.groupBy("path", "tx", "ty").applyInArrow(lambda t: _decide(t, eps), ROW)
+        decided = seen.groupBy("path", "tx", "ty").applyInArrow(lambda t: _decide(t, eps, metric), ROW)
         quiet = homes.join(busy, ["path", "tx", "ty"], "left_anti").select(state.columns)
         turn += 1
         state = ws.save(decided.unionByName(quiet), f"{name}-state-{turn}")
 
 
-def _decide(table: pa.Table, eps: float) -> pa.Table:
+def _decide(table: pa.Table, eps: float, metric) -> pa.Table:
     table = table.take(pc.sort_indices(table.column("id")))
     home = table.column("home").to_numpy(zero_copy_only=False)
     known = table.column("group_id")
     group = np.where(known.is_null().to_numpy(), -1, known.fill_null(-1).to_numpy())
     decided = known.is_valid().to_numpy()
     plane = np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()])
-    label, done, _ = first_fit_in_cells(table.column("id").to_numpy(), kernels.vectors_of(table.column("features")), plane, eps, group, decided, home)
+    label, done, _ = first_fit_in_cells(table.column("id").to_numpy(), kernels.vectors_of(table.column("features")), plane, eps, group, decided, home, metric)
     out = table.drop_columns(["tx", "ty", "home", "group_id"]).append_column("group_id", pa.array(label, pa.int64(), mask=~done))
     return out.filter(pa.array(home))

@@ -1,4 +1,4 @@
-"""Similarity group-by: groups in which every two rows are at most eps apart."""
+"""Similarity group-by: groups in which every two rows are at most eps apart, by the Euclidean or any other metric."""
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epsgroup.functions.metrics import EUCLIDEAN, Metric
 from epsgroup.functions.vectors import checked
 from epsgroup.operators import partition, sampling, sizes
 from epsgroup.operators.blockwise import group_large
@@ -34,6 +35,7 @@ class Options:
     local_rows: partitions with more distinct vectors are grouped tile by tile or block by block over many tasks (less if the
         vectors of that many rows take more than TASK_BYTES).
     block_rows: size of such a tile or block.
+    metric: the distance (`functions.metrics`); any but the Euclidean one takes the "metric" window.
     """
 
     eps: float
@@ -47,6 +49,11 @@ class Options:
     max_rounds: int | None = None
     local_rows: int = 50_000
     block_rows: int = 50_000
+    metric: Metric = EUCLIDEAN
+
+    def __post_init__(self):
+        if self.metric.name != EUCLIDEAN.name:
+            object.__setattr__(self, "window", partition.METRIC)
 
 
 @dataclass
@@ -129,9 +136,9 @@ def run(rows: DataFrame, options: Options, workspace: Workspace | None = None) -
     options = replace(options, local_rows=min(options.local_rows, fitting), block_rows=max(1, blocks))
     groups = Groups(rows, vectors, vectors, dimension, options=options, workspace=ws)
     local, large = _partitions(groups)
-    members = group_partitions(local, options.eps) if local is not None else None
+    members = group_partitions(local, options.eps, options.metric) if local is not None else None
     if large is not None:
-        blocks = group_large(large, options.eps, options.block_rows, ws, "large")
+        blocks = group_large(large, options.eps, options.block_rows, ws, "large", options.metric)
         members = blocks if members is None else members.unionByName(blocks)
     if members is None:
         members = rows.sparkSession.createDataFrame([], MEMBERS)
@@ -220,11 +227,11 @@ def _split(groups, active, parts, number, apart):
     r = f"{groups.rounds}{'-apart' if apart else ''}"
     pivots, most = _pivots(o, active, parts, number, groups.rounds == 1)
     if apart:
-        pivots = partition.keep_apart(pivots, APART * o.eps)
+        pivots = partition.keep_apart(pivots, APART * o.eps, o.metric)
     if points_fit(number * most, groups.dimension):
-        split = partition.split_shared(active, partition.collect_pivots(pivots), o.eps, o.window)
+        split = partition.split_shared(active, partition.collect_pivots(pivots), o.eps, o.window, o.metric)
     else:
-        split = partition.split_tiled(active, ws.save(pivots, f"pivots-{r}"), o.eps, o.window, ws, f"tiles-{r}", POINT_BYTES)
+        split = partition.split_tiled(active, ws.save(pivots, f"pivots-{r}"), o.eps, o.window, ws, f"tiles-{r}", POINT_BYTES, o.metric)
     split = ws.save(split, f"split-{r}")
     family = Window.partitionBy("path")
     counts = partition.partition_counts(split).select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from epsgroup.functions import metrics
 from epsgroup.functions import vectors as V
 from epsgroup.operators import exact, partition, ranking, sampling
 from epsgroup.operators.nearest import nearest_point
@@ -198,6 +199,8 @@ ratio_rounds = _similar(tables.separated_customers, 2.0, num_pivots=4, share=0.1
 metric_rounds = _similar(tables.separated_customers, 2.0, num_pivots=5, share=0.2, window=partition.METRIC)
 mixed_rounds = _similar(tables.mixed_parts, 40.0, num_pivots=8, share=0.2)
 mixed_metric = _similar(tables.mixed_parts, 12.0, num_pivots=8, share=0.2, window=partition.METRIC)
+manhattan = _similar(tables.mixed_parts, 24.0, num_pivots=8, share=0.2, metric=metrics.MANHATTAN)
+maximum = _similar(tables.mixed_parts, 22.0, num_pivots=8, share=0.2, metric=metrics.MAXIMUM)
 mixed_ratio = _similar(tables.mixed_parts, 40.0, num_pivots=8, share=0.2, pivot_ratio=0.02)
 equal_vectors = _similar(tables.cluster_parts, 0.0, num_pivots=4)
 wide_vectors = _similar(tables.embeddings, 0.5, num_pivots=16, share=0.2)
@@ -267,6 +270,16 @@ def sim_mixed_metric(spark, folder):
     return mixed_metric(spark, folder).original_rows().select("path", "group_id", "id")
 
 
+def sim_l1(spark, folder):
+    """Two rounds on data that is not separated, by the sum of the differences."""
+    return manhattan(spark, folder).original_rows().select("path", "group_id", "id")
+
+
+def sim_maximum(spark, folder):
+    """The same by the largest difference."""
+    return maximum(spark, folder).original_rows().select("path", "group_id", "id")
+
+
 def sim_mixed_ratio(spark, folder):
     """As sim_mixed, with pivots of later rounds by a ratio."""
     return mixed_ratio(spark, folder).original_rows().select("path", "group_id", "id")
@@ -478,6 +491,8 @@ QUERIES = {
     "sim_mixed": sim_mixed,
     "sim_mixed_metric": sim_mixed_metric,
     "sim_mixed_ratio": sim_mixed_ratio,
+    "sim_l1": sim_l1,
+    "sim_maximum": sim_maximum,
     "sim_repeated_ids": sim_repeated_ids,
     "sim_public": sim_public,
     "sim_zero_eps": sim_zero_eps,
