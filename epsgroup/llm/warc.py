@@ -35,6 +35,8 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
     Of the rows with equal payloads of at least SMALLEST bytes, those with the smallest id become responses and the others
     revisits of it. A null payload is empty, a row with a null id revisits those
     with ids (if there are none, all are responses), a null address is left out. Other columns are ignored; an empty table gives no records.
+    Records are dealt to archives by digest and id, so archives are of about ARCHIVE_BYTES but for a larger single record, or
+    rows that are equal in both, which share one.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -43,11 +45,14 @@ def write(pages: DataFrame, id_col: str, url_col: str, html_col: str, path: str,
     same = heads.where(F.col("bytes") >= SMALLEST).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     firsts = ws.save(same.where("n > 1 AND first IS NOT NULL").drop("n"), "firsts")
     later = heads.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first")))
-    later = ws.save(later.select("digest", F.col("id").alias("later"), "first").distinct(), "later")
+    named = F.concat_ws(":", F.isnull("id"), F.col("id").cast("string")).alias("named")  # never null, so that both sides are dealt alike
+    later = ws.save(later.select(F.col("digest").alias("of"), named.alias("later"), "first").distinct(), "later")
     total = heads.agg(F.sum("bytes")).first()[0] or 0
-    dealt = rows.repartition(max(1, -(-total // ARCHIVE_BYTES)), "digest", "id")
-    known = (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("later"))
-    dealt = dealt.join(later.withColumnRenamed("digest", "of"), known, "left")
+    archives = max(1, -(-total // ARCHIVE_BYTES))
+    # Both sides are dealt to the archives by the keys of the join, which then needs no other exchange, however it is done.
+    dealt = rows.withColumn("named", named).repartition(archives, "digest", "named")
+    known = (F.col("digest") == F.col("of")) & (F.col("named") == F.col("later"))
+    dealt = dealt.join(later.repartition(archives, "of", "later"), known, "left")
     revisit = F.col("of").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n")
