@@ -29,16 +29,16 @@ class Encoder:
 
     def __init__(self, path: str):
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         with open(path) as file:
             model = json.load(file)
         special = {x["content"] for x in model["added_tokens"]}
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)")
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if _RARE.search(text):
+        if _RARE.search(text) or self.special.search(text):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
