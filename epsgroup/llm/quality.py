@@ -204,11 +204,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, dict[i
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     counts = rows.select("text").mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     likely = accuracies({r["code"]: r["n"] for r in counts})[2]
-    # Only rows below a cut that leaves a few more than SAMPLE are sorted.
-    share = min(1.0, (SAMPLE + 10 * SAMPLE**0.5 + 40) / max(1, sum(r["n"] for r in counts)))
-    low = rows.where(F.shiftrightunsigned(F.xxhash64("doc", "text"), 1) <= min((1 << 63) - 1, int(share * (1 << 63))))
-    sample = low.orderBy(F.xxhash64("doc", "text"), "doc", "text").limit(SAMPLE).select("text")
-    sample = sample.mapInArrow(_featured, "code long, bucket array<long>, weight array<double>").toArrow()
+    # Only rows below a cut that leaves a few more than SAMPLE are sorted. Equal rows draw alike, so where rows repeat the cut may
+    # leave too few, and is raised.
+    total = sum(r["n"] for r in counts)
+    share = min(1.0, (SAMPLE + 10 * SAMPLE**0.5 + 40) / max(1, total))
+    while True:
+        low = rows.where(F.shiftrightunsigned(F.xxhash64("doc", "text"), 1) <= min((1 << 63) - 1, int(share * (1 << 63))))
+        sample = low.orderBy(F.xxhash64("doc", "text"), "doc", "text").limit(SAMPLE).select("text")
+        sample = sample.mapInArrow(_featured, "code long, bucket array<long>, weight array<double>").toArrow()
+        if share == 1.0 or sample.num_rows >= min(SAMPLE, total):
+            break
+        share = min(1.0, 8 * share)
     lists = sample.column("bucket").combine_chunks(), sample.column("weight").combine_chunks()
     many = np.array([len(x) for x in lists[0]], np.int64)
     values = [x.flatten().to_numpy() for x in lists]

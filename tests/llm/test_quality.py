@@ -74,3 +74,11 @@ def test_properties():
     assert own["capitals"][1] == 7 / 10 or own["capitals"][1] > 0.5
     assert np.allclose(own["lines"], [0, 0, 1 / 3])
     assert own["shouted"][1] == 0.5 and own["marked"][1] == 0.25
+
+
+def test_one_repeated_row_trains(spark, monkeypatch):
+    """Equal rows draw alike; the cut is raised until they are in."""
+    monkeypatch.setattr(quality, "SAMPLE", 16)
+    for text in ("a good text of some words that says a thing or two about the world", "BUY!! NOW!! BUY!! NOW!!", "one"):
+        table = spark.range(3000).selectExpr("1L AS doc_id", f"'{text}' AS text")
+        assert quality.fit(table, "doc_id", "text")[0].any()
