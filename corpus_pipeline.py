@@ -1,7 +1,7 @@
 """Corpus pipeline: from documents to packed training sequences."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epsgroup.llm import decontamination, jaccard, packing, quality
@@ -9,25 +9,26 @@ from epsgroup.llm.queries import SEQUENCE, TOKENIZER
 from epsgroup.workspace import Workspace
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """With a key of id and text together: ids may be null or stand for several texts."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")))
+def row_key() -> Column:
+    """A key of id and text together: ids may be null or stand for several texts."""
+    return F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")).alias("row_key")
 
 
 def without(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of a keyed table but those with these keys."""
+    """The rows but those with these keys. All columns stay as they are, whatever their names."""
     gone = Workspace(spark).save(keys.select(F.col("row_key").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["row_key"] == gone["gone"], "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"))
+    return rows.join(gone, rows["key"] == gone["gone"], "left_anti").select("row.*")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. Rows with a null id go; the later stages would keep them apart."""
-    return quality.keep(docs.where("doc_id IS NOT NULL"), "doc_id", "text")
+    """Documents that the quality classifier keeps."""
+    return quality.keep(docs, "doc_id", "text")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id (null last; of texts with that id any one)."""
-    ws, rows = Workspace(spark), keyed(docs)
+    ws, rows = Workspace(spark), docs.select(row_key(), "doc_id", "text")
     groups = ws.save(jaccard.join(rows, "row_key", "text", ws), "duplicates").select("row_key", "component_id")
     many = groups.where("row_key <> component_id").select("component_id").distinct()
     members = groups.join(many, "component_id", "left_semi").distinct()
@@ -35,16 +36,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     first = members.groupBy("component_id").agg(first["row_key"].alias("first"))
     gone = members.join(first, "component_id").where("row_key <> first").select("row_key")
-    kept = without(spark, rows, gone)
+    kept = without(spark, docs, gone)
     repeated = not groups.groupBy("row_key").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["row_key"]) if repeated else kept).drop("row_key")
+    if not repeated:
+        return kept
+    packed = kept.select(F.struct("*").alias("row"), row_key().alias("key")).dropDuplicates(["key"])
+    return packed.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of benchmark items."""
-    items, rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed(docs)
-    found = decontamination.find(rows, "row_key", "text", items, "item_id", "text")
-    return without(spark, rows, found).drop("row_key")
+    items, rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.select(row_key(), "text")
+    return without(spark, docs, decontamination.find(rows, "row_key", "text", items, "item_id", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
