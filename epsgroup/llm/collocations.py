@@ -2,8 +2,8 @@
 
 Runs of 1 to LONGEST words are counted in three passes (words, pairs of frequent words, longer runs of frequent pairs). In each
 pass every task folds its runs by hash; the folded counts go to hash partitions, and each partition merges them into a
-Misra-Gries summary whose capacity is above its counted mass divided by the threshold. Such a summary undercounts by less than the
-threshold, so every frequent run survives, in memory bounded by the capacity. The survivors of a partition fill a stretch of a
+Misra-Gries summary whose capacity is above SLACK times its counted mass divided by the threshold. Such a summary undercounts by less
+than a SLACKth of the threshold, so every frequent run survives, in memory bounded by the capacity. The survivors of a partition fill a stretch of a
 bitmap that the next pass asks. A last pass over the texts counts the survivors exactly, by their words and not by hash.
 """
 
@@ -21,13 +21,14 @@ from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
 LONGEST = 5
-PART_BYTES = 32 << 20  # text for each hash partition, as long as there are at most 2^PART_BITS
+PART_BYTES = 8 << 20  # text for each hash partition, as long as there are at most 2^PART_BITS
 PART_BITS = 16
-FOLDED = 1 << 21  # counts a task folds before it hands them on
+FOLDED = 1 << 19  # counts a task folds before it hands them on
+SLACK = 8  # a summary may miss the threshold divided by this, so that little beside the frequent runs survives
 MERGED = 1 << 18  # counts a summary takes up at a time, at least
 MAX_BITS = 1 << 29  # of a bitmap; a fuller one lets more pass, and loses nothing
 BITS_EACH = 16
-CUT = 4 << 20
+CUT = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -86,7 +87,7 @@ def _words_of(batches):
         names = batch.column(1).to_pylist()
         for name in set(names) - set(salts):
             salts[name] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest())
-        for first, texts in slices(batch.column(0), table=LOWER):
+        for first, texts in slices(batch.column(0), limit=CUT, table=LOWER):
             held, size, tongues = [], 0, []
             own = names[first : first + len(texts)]
             for text, lang in _pieces(texts, own):
@@ -189,7 +190,7 @@ def _survive(batches, threshold: int):
             if number.as_py() != part:
                 if summary:
                     yield out()
-                part, summary = number.as_py(), Summary(mass.as_py() // threshold + 1)
+                part, summary = number.as_py(), Summary(SLACK * mass.as_py() // threshold + 1)
                 continue
             keys.append(np.frombuffer(own.as_buffer(), np.uint64))
             counts.append(np.frombuffer(n.as_buffer(), np.int64))
@@ -232,33 +233,50 @@ def _candidates(texts: DataFrame, order: range, shared, bits: int, threshold: in
 COUNTED = "lang string, words int, phrase string, n long"
 
 
+class Counts:
+    """Counts of runs by hash, with the words of each run, which are only looked up when a run is new."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.langs, self.phrases = np.zeros(0, object), np.zeros(0, object)
+
+    def add(self, words: Words, langs: list[str], keys: np.ndarray, at: np.ndarray, n: int) -> None:
+        """Count the runs of n words that begin at the words `at`."""
+        unique, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
+        place = np.searchsorted(self.keys, unique)
+        old = np.zeros(len(unique), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(place, len(self.keys) - 1)] == unique
+        self.counts[place[old]] += counts[old]
+        begin, place = at[first[~old]], place[~old]
+        named, said = np.empty(len(begin), object), np.empty(len(begin), object)
+        named[:] = [langs[t] for t in words.text[begin].tolist()]
+        said[:] = [words.phrase(i, n).decode() for i in begin.tolist()]
+        self.langs, self.phrases = np.insert(self.langs, place, named), np.insert(self.phrases, place, said)
+        self.keys, self.counts = np.insert(self.keys, place, unique[~old]), np.insert(self.counts, place, counts[~old])
+
+
 def _count(batches, shared):
     """Exact counts of the runs in the bitmaps, by words; with 0 words, all words of a language."""
-    found: dict[int, list] = {}
-    totals: dict[str, int] = {}
     filters = [shared[0], shared[1], *[shared[2]] * (LONGEST - 2)]
+    found = [Counts() for _ in filters]
+    totals: dict[str, int] = {}
 
     def out():
-        rows = [*((lang, n, phrase, count) for lang, n, phrase, count in found.values()), *((lang, 0, "", n) for lang, n in totals.items())]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows, strict=True)] or [()] * 4, kinds, strict=True)], ["lang", "words", "phrase", "n"])
+        for n, own in enumerate(found, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(own.langs, pa.string()), pa.array(np.full(len(own.keys), n, np.int32)), pa.array(own.phrases, pa.string()), pa.array(own.counts)], ["lang", "words", "phrase", "n"])
+        rows = [[*totals], [0] * len(totals), [""] * len(totals), [*totals.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "words", "phrase", "n"])
 
     for words, langs in _words_of(batches):
         for text, n in enumerate(np.bincount(words.text, minlength=len(langs)).tolist()):
             totals[langs[text]] = totals.get(langs[text], 0) + n
         for n, keys, valid in words.runs(LONGEST):
-            at = np.flatnonzero(valid & asked(filters[n - 1], keys))
-            unique, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
-            for key, place, count in zip(unique.tolist(), at[first].tolist(), counts.tolist(), strict=True):
-                known = found.get(key)
-                if known is None:
-                    found[key] = [langs[words.text[place]], n, words.phrase(place, n).decode(), count]
-                else:
-                    known[3] += count
-        if len(found) > FOLDED // 8:
-            yield out()
-            found, totals = {}, {}
-    yield out()
+            found[n - 1].add(words, langs, keys, np.flatnonzero(valid & asked(filters[n - 1], keys)), n)
+        if sum(len(own.keys) for own in found) > FOLDED // 2:
+            yield from out()
+            found, totals = [Counts() for _ in filters], {}
+    yield from out()
 
 
 def frequent(docs: DataFrame, text_col: str, lang_col: str, threshold: int, ws: Workspace) -> DataFrame:
