@@ -18,7 +18,7 @@ from epsgroup.workspace import Workspace
 APART = 4.0
 TASK_BYTES = 256 << 20
 HOT_KEYS = 1000
-HOT_SALTS = 64
+SHARE_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -83,16 +83,16 @@ class Groups:
     def original_rows(self) -> DataFrame:
         """(path, group_id, id, agg, features), one row per original row and group it is in.
 
-        Vectors that repeat in more than 1/1000 of the rows number at most 1000. Their rows are spread over salts.
+        Vectors that repeat in more than 1/1000 of the rows number at most 1000. Their rows are dealt by id to shares of about
+        SHARE_ROWS rows, as many as their counted rows need, and each share meets the memberships of its vector.
         """
         total = self.vectors.agg(F.sum("weight")).head()[0] or 0
-        hot = self.vectors.where(F.col("weight") > total / HOT_KEYS).select("features", F.lit(True).alias("hot"))
-        spread = F.pmod(F.xxhash64("id"), F.lit(HOT_SALTS)).cast("int")
-        salt = F.when(F.col("hot"), spread).otherwise(F.lit(0))
-        left = self.rows.join(F.broadcast(hot), "features", "left").withColumn("salt", salt).drop("hot")
-        salts = F.when(F.col("weight") > total / HOT_KEYS, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
+        shares = F.when(F.col("weight") > total / HOT_KEYS, F.ceil(F.col("weight") / SHARE_ROWS)).otherwise(1)
+        hot = self.vectors.select("features", shares.alias("shares")).where("shares > 1")
+        salt = F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1)))
+        left = self.rows.join(F.broadcast(hot), "features", "left").withColumn("salt", salt).drop("shares")
         right = self.members.select(
-            "path", "group_id", "features", F.explode(F.coalesce(salts, F.array(F.lit(0)))).alias("salt")
+            "path", "group_id", "features", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("salt")
         )
         return left.join(right, ["features", "salt"]).select("path", "group_id", "id", "agg", "features")
 

@@ -181,3 +181,14 @@ def test_vectors_that_share_an_id(table, local_rows):
     assert sorted(r["id"] for r in got) == sorted(i + 1 for i in ids)
     far = similar.run(table([[0.0], [100.0]], [1, 1]), similar.Options(1.0, num_pivots=1)).members
     assert far.select("group_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("share_rows", [1 << 18, 50])
+def test_members_of_a_vector_in_a_third_of_the_rows(table, monkeypatch, share_rows):
+    """Its rows are dealt to as many shares as their counted number needs; every row appears once."""
+    monkeypatch.setattr(similar, "SHARE_ROWS", share_rows)
+    vectors = [(5.0, 5.0)] * 330 + [(float(i % 40), 9.0) for i in range(670)]
+    groups = similar.run(table(vectors), similar.Options(0.5, num_pivots=1))
+    got = found(groups)
+    assert sorted(i for ids in got.values() for i in ids) == list(range(1, 1001))
+    assert got["0", 1] == list(range(1, 331)) and len(got) == 41
