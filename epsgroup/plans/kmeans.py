@@ -96,6 +96,18 @@ def _partial_sums(rows, points):
     return rows.mapInArrow(fold, "cid int, sums array<double>, n bigint, cost double")
 
 
+def _written(ws: Workspace) -> list[list[tuple]]:
+    """The states of the iterations in a workspace, as lists of (cid, center, n, cost)."""
+    steps = ws.written_steps("centers")
+    if not steps:
+        return []
+    rows = ws.steps("centers", _center_table(ws.spark, []).schema).where(F.col("step") <= steps[-1]).collect()
+    states = [[] for _ in steps]
+    for r in sorted(rows, key=lambda r: (r["step"], r["cid"])):
+        states[r["step"]].append((r["cid"], list(r["center"]), r["n"], r["cost"]))
+    return states
+
+
 def fit(
     rows: DataFrame,
     k: int,
@@ -105,23 +117,36 @@ def fit(
     frequency: float | None = None,
     keep_history: bool = False,
     workspace: Workspace | None = None,
+    resume: bool = False,
 ) -> Clusters:
     """Iterate until the cost changes by less than `error`, at most max_iterations times. Needs (id, features).
 
     The cost of an iteration is measured against the centres before its update. Every update is one job; the centres,
     k at most, are all that passes through the driver.
+
+    With `keep_history`, the centres of every iteration are written to the workspace. `resume` goes on from the last one that a run
+    with the same parameters wrote there to its end, and comes to the same result as a run that was never stopped.
     """
     spark = rows.sparkSession
+    keep_history = keep_history or resume
+    if resume and workspace is None:
+        raise ValueError("a run is resumed from the workspace of the run before")
     features = rows.select("id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    centers = initial_centers(features, k, seed, frequency)
     ws = (workspace or Workspace(spark)) if keep_history else None
+    before = _written(ws) if resume else []
+    centers = [row[1] for row in before[0]] if before else initial_centers(features, k, seed, frequency)
     if not centers:
         features.unpersist()
         return Clusters(_center_table(spark, []), 0.0, 0, False, None)
     state = [(cid, center, None, None) for cid, center in enumerate(centers)]
-    if ws:
+    if ws and not before:
         ws.save_step(_center_table(spark, state), "centers", 0)
     previous, cost, iteration, converged = sys.float_info.max, 0.0, 0, False
+    for state in before[1 : max_iterations + 1]:
+        cost = sum(row[3] for row in state)
+        converged = abs(previous - cost) < error
+        previous = cost
+        iteration += 1
     while iteration < max_iterations and not converged:
         updated = sorted(update(features, [row[1] for row in state], workspace).collect())
         state = [(cid, list(row["center"]), row["n"], row["cost"]) for cid, row in enumerate(updated)]

@@ -17,6 +17,13 @@ class Workspace:
         root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.path = f"{root.rstrip('/')}/epsgroup-{uuid.uuid4().hex}"
 
+    @classmethod
+    def existing(cls, spark: SparkSession, path: str) -> "Workspace":
+        """The workspace another run left at this path."""
+        ws = cls(spark, "unused")
+        ws.path = path.rstrip("/")
+        return ws
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write the table once and read it back."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -31,6 +38,16 @@ class Workspace:
         full = T.StructType([*schema.fields, T.StructField("step", T.IntegerType())])
         return self.spark.read.schema(full).parquet(f"{self.path}/{name}")
 
+    def written_steps(self, name: str) -> list[int]:
+        """The numbers of the steps of such a table that were written to their end, up to the first that was not."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = []
+        while files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/step={len(done)}/_SUCCESS")):
+            done.append(len(done))
+        return done
+
     def discard(self, *names: str) -> None:
         """Delete the named tables, or the whole folder. What still reads from them must be written elsewhere before."""
         jvm = self.spark.sparkContext._jvm

@@ -1,7 +1,10 @@
+import os
+
 import pytest
 
 from epsgroup.operators import nearest
 from epsgroup.plans import kmeans, report
+from epsgroup.workspace import Workspace
 
 
 def clouds():
@@ -64,3 +67,23 @@ def test_ties_go_to_the_lower_index(table):
 
 def test_frequency(table):
     assert kmeans.fit(table(clouds()), 3, 3, frequency=0.5).centers.count() <= 3
+
+
+@pytest.mark.parametrize("damaged", [False, True])
+def test_resumes_a_stopped_run(table, spark, tmp_path, damaged):
+    """After two iterations, also where the third was not written to its end; the result is that of a run never stopped."""
+    rows = table(clouds())
+    whole = kmeans.fit(rows, 5, 6, 1e-9, seed=3, keep_history=True)
+    ws = Workspace(spark, str(tmp_path))
+    kmeans.fit(rows, 5, 3 if damaged else 2, 1e-9, seed=3, keep_history=True, workspace=ws)
+    if damaged:
+        os.rename(f"{ws.path}/centers/step=3/_SUCCESS", f"{tmp_path}/moved")
+    assert ws.written_steps("centers") == [0, 1, 2]
+    again = kmeans.fit(rows, 5, 6, 1e-9, seed=3, workspace=Workspace.existing(spark, ws.path), resume=True)
+    assert (again.iterations, again.converged, again.cost) == (whole.iterations, whole.converged, whole.cost)
+    assert sorted(map(tuple, again.centers.collect())) == sorted(map(tuple, whole.centers.collect()))
+    assert sorted(map(tuple, again.history.collect())) == sorted(map(tuple, whole.history.collect()))
+    done = kmeans.fit(rows, 5, 6, 1e-9, seed=3, workspace=ws, resume=True)
+    assert done.iterations == 6 and sorted(map(tuple, done.centers.collect())) == sorted(map(tuple, whole.centers.collect()))
+    with pytest.raises(ValueError):
+        kmeans.fit(rows, 5, resume=True)
