@@ -272,6 +272,7 @@ ORACLES = {
     "kmeans_step_wide": lloyd(EMBEDDINGS, 8, 1, dimension=64) + center_rows("c1", 64),
     "kmeans_cost": lloyd(CLUSTER, 4, 1) + " SELECT round(sum(cost), 4) AS cost FROM c1",
     "kmeans_fit": lloyd(CLUSTER, 4, 3) + center_rows("c3"),
+    "kmeans_resumed": lloyd(CLUSTER, 4, 3) + center_rows("c3"),
     "kmeans_converged": lloyd(CLUSTER, 4, 20)
     + ", costs AS ("
     + " UNION ALL ".join(f"SELECT {i} i, sum(cost) cost FROM c{i}" for i in range(1, 21))

@@ -346,6 +346,13 @@ def kmeans_fit(spark, folder):
     return _centers(kmeans.fit(tables.cluster_parts(spark, folder), 4, 3, 0.0).centers)
 
 
+def kmeans_resumed(spark, folder):
+    """Stopped after one iteration, and gone on with from what it wrote."""
+    rows, ws = tables.cluster_parts(spark, folder), Workspace(spark)
+    kmeans.fit(rows, 4, 1, 0.0, keep_history=True, workspace=ws)
+    return _centers(kmeans.fit(rows, 4, 3, 0.0, workspace=ws, resume=True).centers)
+
+
 def kmeans_converged(spark, folder):
     """Stopped by the change of the cost, before the iterations run out."""
     clusters = kmeans.fit(tables.cluster_parts(spark, folder), 4, 20, 0.02 * tables.given(spark, folder, "part").count())
@@ -502,6 +509,7 @@ QUERIES = {
     "kmeans_step_wide": kmeans_step_wide,
     "kmeans_cost": kmeans_cost,
     "kmeans_fit": kmeans_fit,
+    "kmeans_resumed": kmeans_resumed,
     "kmeans_bernoulli": kmeans_bernoulli,
     "kmeans_converged": kmeans_converged,
     "kmeans_history": kmeans_history,
