@@ -246,7 +246,7 @@ ORACLES = {
     "round(avg(l_tax), 9) AS x3, count(*) AS n FROM lineitem GROUP BY 1",
     "sim_local": f"WITH RECURSIVE {first_fit(f'(SELECT 0 part, 0 base, id, f FROM {MIXED})', 200.0)} "
     "SELECT founder AS group_id, id FROM g",
-    "sim_tiles": f"WITH RECURSIVE {first_fit(f'(SELECT 0 part, 0 base, id, f FROM {PLANE})', 60.0)} "
+    "sim_tiles": f"WITH RECURSIVE {first_fit(f'(SELECT 0 part, 0 base, id, f FROM {PLANE})', 20.0)} "
     "SELECT founder AS group_id, id FROM g",
     "sim_owner": f"WITH RECURSIVE {placed(MIXED, 4, 200.0)}, "
     f"{first_fit('(SELECT child part, base, id, f FROM c)', 200.0)}, "

@@ -224,9 +224,10 @@ def sim_blocks(spark, folder):
 
 
 def sim_tiles(spark, folder):
-    """A plane much wider than eps, with more rows than one task is given: grouped tile by tile."""
-    options = similar.Options(60.0, num_pivots=1, threshold=THRESHOLD, local_rows=400, block_rows=400)
+    """A plane much wider than eps, with five times the rows that one task is given: grouped tile by tile."""
     rows = tables.plane_customers(spark, folder)
+    share = max(1, rows.count() // 5)
+    options = similar.Options(20.0, num_pivots=1, threshold=THRESHOLD, local_rows=share, block_rows=share)
     return similar.run(rows, options, Workspace(spark)).original_rows().select("group_id", "id")
 
 

@@ -45,7 +45,7 @@ def mixed_parts(spark, folder):
 
 
 def plane_customers(spark, folder):
-    """Balances over 11,000 and nations over 960: few neighbours within 100."""
+    """Balances over 11,000 and nations over 960: few neighbours within 40."""
     return given(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"),
         F.col("c_acctbal").alias("agg"),
