@@ -105,7 +105,8 @@ def met(items, texts, n):
     hashes, counts = D.words([t.encode() for t in texts])
     pairs, per_text = D.runs(hashes, counts, 2)
     rows = np.arange(len(texts))
-    return set(known._candidates(n, rows, np.zeros(len(texts), np.int64), counts, pairs, np.cumsum(per_text) - per_text))
+    starts, of_words, of_pairs = np.zeros(len(texts), np.int64), np.cumsum(counts) - counts, np.cumsum(per_text) - per_text
+    return set(known._candidates(n, rows, starts, hashes, counts, of_words, pairs, of_pairs))
 
 
 @pytest.mark.parametrize("n", [5, 9, 10, 25, 40, 100])
@@ -127,3 +128,37 @@ def test_none_is_lost_at_the_most_edits_allowed(n):
     least = {(doc, item): D.closest(p.split(), t.split())[0] for doc, t in docs for item, p in items}
     want = {pair: distance for pair, distance in least.items() if distance <= D.edits(n)}
     assert got == want and len(want) >= 75
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_recall_at_the_most_edits_allowed(seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of"] * 300
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([10, 15, 25, 40, 60, 100])))) for i in range(60)]
+    docs = []
+    for i in range(300):
+        own = items[i % 60][1].split()
+        docs.append((i, " ".join(r.choices(vocabulary, k=12) + edited(r, own, vocabulary, int(D.edits(len(own)))) + r.choices(vocabulary, k=12))))
+    known = D.Items([i for i, _ in items], [t for _, t in items])
+    got = {(row, item) for row, item, *_ in known.found([t.encode() for _, t in docs])}
+    want = {(doc, item) for doc, t in docs for item, p in items if D.closest(p.split(), t.split())[0] <= D.edits(len(p.split()))}
+    assert not got - want and len(want) >= 300 and len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("n", [10, 25, 60])
+def test_tables_alone_part_unrelated_texts(n):
+    rng = np.random.default_rng(n)
+    items, texts = (rng.choice(rng.integers(1, 1 << 63, 300, dtype=np.uint64), (200, n)) for _ in range(2))
+    walks, met = D.Walks(n), np.zeros((200, 200), bool)
+    for turn in range(D.walks_for(D.trial_size(n))):
+        for a, b in zip(walks.keys(items, turn), walks.keys(texts, turn), strict=True):
+            met |= a[:, None] == b
+    assert met.mean() < 0.01
+
+
+def test_short_items_on_demand(frame):
+    docs = [(1, "One two  one two three"), (2, "two"), (3, "x one"), (4, None), (5, "")]
+    items = [(1, "one two"), (2, "TWO"), (2, "two"), (3, "a b c d"), (4, "")]
+    found = D.find(frame(docs, "doc_id long, text string"), "doc_id", "text", frame(items, "item_id long, text string"), "item_id", "text", 1)
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [(1, 1, 0, 0, 2), (1, 2, 0, 1, 2), (1, 2, 0, 1, 2), (2, 2, 0, 0, 1), (2, 2, 0, 0, 1)]
