@@ -29,6 +29,10 @@ NUMERATOR, DENOMINATOR = 80, 100  # linked when DENOMINATOR * intersection >= NU
 LEAST = 3
 SMALL = 64
 TILE = 4 << 20  # shingles of a region joined in one task
+TILE_SETS = 1 << 13  # sets of one, so that there are at most 2^25 pairs to look at; each set counts as TILE / TILE_SETS shingles more
+CHECKED = 1 << 20  # shingles of other sets compared at once with those of one set
+MAX_BITS = 1 << 28  # of the bitmap of candidate sets; a fuller one lets more sets pass and loses nothing
+BITS_EACH = 16
 PIVOTS = 16
 RUN_SHINGLES = 4 << 20  # frequent shingles are looked for in runs of so many
 SEEN_IN_RUN, SEEN = 4, 16  # a shingle is listed as frequent if it is in so many documents of a run, and of all runs
@@ -185,19 +189,28 @@ def linked(common, n, m):
     return DENOMINATOR * common >= NUMERATOR * (n + m - common)
 
 
-def _sets(batches, wanted):
-    """(node, shingles) of the sets in `wanted` (sorted; None: all), once per task."""
-    seen = set()
+def bitmap_of(nodes: DataFrame, most: int) -> np.ndarray:
+    """A bitmap, of at most `most` bits, of the leading bits of each number in the column `a`."""
+    bits = min(most.bit_length() - 1, max(16, (BITS_EACH * nodes.count()).bit_length()))
+    at = nodes.select(F.shiftrightunsigned("a", 64 - bits).alias("at"))
+    filled = at.groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    return out
+
+
+def _sets(batches, bitmap):
+    """(node, shingles) of the sets whose bit is in the bitmap, once per task."""
+    seen, bits = set(), (64 * len(bitmap)).bit_length() - 1
     for batch in batches:
         for _, texts in slices(batch.column(0)):
             for own in shingle_sets(texts):
                 node = node_of(own) if len(own) else None
                 if node is None or node in seen:
                     continue
-                if wanted is not None:
-                    at = np.searchsorted(wanted, node)
-                    if at == len(wanted) or wanted[at] != node:
-                        continue
+                at = (node % (1 << 64)) >> (64 - bits)
+                if not int(bitmap[at >> 6]) >> (at & 63) & 1:
+                    continue
                 seen.add(node)
                 yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([own.tobytes()])], ["node", "shingles"])
 
@@ -225,36 +238,32 @@ def join_tile(table: pa.Table) -> pa.Table:
     order = np.lexsort((rank[ids], owner))
     shown = order[(np.arange(len(ids)) - of[owner] < (reach(n) - LEAST + 1)[owner]) & (df[ids[order]] > 1)]
     shown = shown[np.argsort(rank[ids[shown]], kind="stable")]
-    root, marked, failed = np.arange(len(nodes)), np.zeros(len(df), bool), set()
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for group in np.split(owner[shown], np.flatnonzero(np.diff(ids[shown])) + 1) if len(shown) else []:
-        for at in range(len(group) - 1):
-            p, others = group[at], group[at + 1 :]
-            others = others[similar_sizes(n[others], n[p])]
-            tops = root[others]
-            while not np.array_equal(tops, root[tops]):
-                tops = root[tops]
-            others = [x for x in others[tops != top(p)] if (p, x) not in failed]
-            if not others:
+    # Sets that show a shingle stand together in ascending order; a set meets those after it, each once.
+    shingle, members = ids[shown], owner[shown]
+    ends = np.searchsorted(rank[shingle], rank[shingle], "right")
+    entries = np.argsort(members, kind="stable")
+    spans = np.searchsorted(members[entries], np.arange(len(nodes) + 1))
+    label, marked = np.arange(len(nodes)), np.zeros(len(df), bool)
+    for p in range(len(nodes)):
+        later = [members[at + 1 : ends[at]] for at in entries[spans[p] : spans[p + 1]].tolist() if at + 1 < ends[at]]
+        if not later:
+            continue
+        others = np.unique(np.concatenate(later))
+        others = others[similar_sizes(n[others], n[p]) & (label[others] != label[p])]
+        marked[ids[of[p] : of[p + 1]]] = True
+        for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // CHECKED)) + 1):
+            if not len(some):
                 continue
-            own = ids[of[p] : of[p + 1]]
-            marked[own] = True
-            for x in others:
-                if linked(int(marked[ids[of[x] : of[x + 1]]].sum()), n[p], n[x]):
-                    a, b = top(p), top(x)
-                    root[max(a, b)] = min(a, b)
-                else:
-                    failed |= {(p, x), (x, p)}
-            marked[own] = False
-    ends = np.array([top(x) for x in range(len(nodes))], np.int64)
-    other = ends != np.arange(len(nodes))
-    return pa.table({"a": nodes[other], "b": nodes[ends[other]]})
+            first = np.cumsum(n[some]) - n[some]
+            place = np.arange(n[some].sum()) + np.repeat(of[some] - first, n[some])
+            common = np.add.reduceat(marked[ids[place]].astype(np.int64), first)
+            joined = np.unique(label[some[linked(common, n[some], n[p])]])
+            if len(joined):
+                joined = np.append(joined, label[p])
+                label[np.isin(label, joined)] = joined.min()
+        marked[ids[of[p] : of[p + 1]]] = False
+    other = label != np.arange(len(nodes))
+    return pa.table({"a": nodes[other], "b": nodes[label[other]]})
 
 
 _SPLIT = pa.schema([("region", pa.int64()), ("child", pa.int32()), ("node", pa.int64()), ("n", pa.int64())])
@@ -294,10 +303,10 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     united = components(members.join(low, "crowd").select(F.col("node").alias("a"), F.col("low").alias("b")), ws, "crowds")
     own = members.select("node", "n").distinct()
     places = ws.save(own.join(united, "node").select(F.col("component").alias("region"), "node", "n"), "places-0")
-    step, found = 0, []
+    step, found, cost = 0, [], F.sum(F.col("n") + TILE // TILE_SETS)
     while True:
         step += 1
-        sizes = ws.save(places.groupBy("region").agg(F.sum("n").alias("size")), f"sizes-{step}")
+        sizes = ws.save(places.groupBy("region").agg(cost.alias("size")), f"sizes-{step}")
         fits = places.join(sizes.where(F.col("size") <= TILE).select("region"), "region")
         links = fits.join(sets, "node").select("region", "node", "shingles").groupBy("region").applyInArrow(join_tile, "a long, b long")
         found.append(ws.save(links, f"joined-{step}"))
@@ -314,7 +323,7 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
         whole = rows.join(sets, "node").select("region", "tile", "node", "shingles")
         split = whole.groupBy("region", "tile").cogroup(pivots.groupBy("region", "tile"))
         split = ws.save(split.applyInArrow(_placed, "region long, child int, node long, n long"), f"split-{step}")
-        children = split.groupBy("region", "child").agg(F.sum("n").alias("child_size"))
+        children = split.groupBy("region", "child").agg(cost.alias("child_size"))
         children = ws.save(children.join(large, "region"), f"children-{step}")
         shrunk = children.where(F.col("child_size") <= 0.7 * F.col("size"))
         next_ = split.join(shrunk.select("region", "child"), ["region", "child"])
@@ -359,13 +368,9 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     members = met.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("node"), "n")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(members.select(F.col("node").alias("a")))
     wanted = ws.save(wanted.distinct(), "wanted")
-    if wanted.count() <= 1 << 20:  # 8 MB; beyond it the sets are picked by a join
-        picked = np.sort(wanted.toArrow().column(0).to_numpy())
-        sets = texts.mapInArrow(lambda b: _sets(b, picked), "node long, shingles binary")
-    else:
-        sets = texts.mapInArrow(lambda b: _sets(b, None), "node long, shingles binary")
-        sets = sets.join(wanted.withColumnRenamed("a", "node"), "node", "left_semi")
-    sets = ws.save(sets, "sets")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(wanted, MAX_BITS))
+    sets = texts.mapInArrow(lambda b: _sets(b, bitmap.value), "node long, shingles binary")
+    sets = ws.save(sets.dropDuplicates(["node"]), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
 
     def verified(some: DataFrame, name: str) -> DataFrame:

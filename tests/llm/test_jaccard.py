@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from epsgroup.llm import jaccard
@@ -75,6 +77,42 @@ def test_frequent_shingles_come_last(frame, ws, monkeypatch):
     check(frame, ws, corpus(3, common=[[f"p{i}" for i in range(40)]]))
 
 
+def test_a_full_bitmap_loses_nothing(frame, ws, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_BITS", 64)
+    check(frame, ws, corpus(4))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_sets_of_one_region(seed):
+    """Short sets from few shingles, which nearly all meet each other, against all pairs."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 62, 16, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, rng.integers(5, 10), replace=False)) for _ in range(300)]
+    nodes = rng.permutation(300)
+    got = jaccard.join_tile(pa.table({"node": nodes, "shingles": [s.tobytes() for s in sets]}))
+    names = {int(node): int(node) for node in nodes}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            if jaccard.linked(common, len(a), len(b)) and names[int(nodes[i])] != names[int(nodes[j])]:
+                ends = names[int(nodes[i])], names[int(nodes[j])]
+                names = {node: min(ends) if name in ends else name for node, name in names.items()}
+    found = dict(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+    groups = {}
+    for node, name in names.items():
+        groups.setdefault(name, set()).add(found.get(node, node))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_texts_longer_than_a_slice(frame, ws):
+    """A text beyond one slice, a copy of it with a changed word, and one that shares a third of it."""
+    long = [f"w{i % 9973}x{i % 89}" for i in range(600_000)]
+    texts = [" ".join(long), " ".join([*long[:-1], "other"]), " ".join(long[:200_000]), "short text of five words"]
+    got = jaccard.join(frame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", ws).collect()
+    assert min(map(len, texts[:2])) > 4 << 20
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_repeats_nulls_and_empty(frame, ws):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x"), (2, "y")]
     docs = frame(rows, "doc_id long, text string")
