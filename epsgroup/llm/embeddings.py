@@ -39,7 +39,9 @@ class Blocks:
 
 
 def _vectors(column, length: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, length).astype(np.float64)
+    """The vectors, each times a power of two that brings its largest component near 1, so that no product leaves the range of doubles."""
+    vectors = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, length).astype(np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
 
 
 def _cells(batches, kind, cosine, seed, grid, with_vectors):

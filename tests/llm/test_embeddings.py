@@ -64,3 +64,10 @@ def test_an_id_with_several_vectors(frame, ws):
     got = sorted(tuple(r) for r in embeddings.near_duplicates(table, "vec_id", "embedding", "label", ws).collect())
     want = [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 1), (8, 0, 8), (9, 1, 5)]
     assert got == [(i, n, low, i == low) for i, n, low in want]
+
+
+def test_doubles_at_the_ends_of_their_range(frame, ws):
+    rows = [(1, [1e200, 0.0]), (2, [1.0001e200, 0.0]), (3, [1e-200, 0.0]), (4, [2e-200, 1e-310]), (5, [0.0, 5e-324]), (6, [1.7e308, 1.7e308])]
+    docs = frame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label long")
+    got = embeddings.near_duplicates(docs, "vec_id", "embedding", "label", ws).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6)]
