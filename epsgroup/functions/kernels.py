@@ -112,41 +112,46 @@ def _first_lowest(x, points, squared):
 
 
 def window_copies(x, points, near, near_distance, eps, form) -> np.ndarray:
-    """Which points a row is copied to: the nearest one, and every other whose border with it is at most eps away.
+    """Which points a row is copied to: the nearest one, and every other whose border with it is at most eps away."""
+    bases, of = np.unique(near, return_inverse=True)
+    copies = window_borders(x, points, points[bases], of, near_distance, eps, form)
+    copies[np.arange(len(x)), near] = True
+    return copies
+
+
+def window_borders(x, points, bases, of, near_distance, eps, form) -> np.ndarray:
+    """Which points' borders with the base of a row, bases[of[row]], are at most eps from the row.
 
     Distances between points are only taken from those that are nearest to some row, and in many dimensions by matrix
     product; pairs too close to call are counted again coordinate by coordinate.
     """
-    copies = np.empty((len(x), len(points)), dtype=bool)
+    hits = np.empty((len(x), len(points)), dtype=bool)
     screened = form == "euclidean" and x.shape[1] > FEW_DIMENSIONS
     norms = np.einsum("ij,ij->i", points, points)
-    bases, of = np.unique(near, return_inverse=True)
     for block in row_blocks(len(x), len(points), PAIRS_PER_PRODUCT if screened else PAIRS_PER_BLOCK):
-        part, base, d_base = x[block], near[block], near_distance[block]
-        rows = np.arange(len(part))
-        own, at = np.unique(of[block], return_inverse=True)
+        part, base, d_base = x[block], of[block], near_distance[block]
+        own, at = np.unique(base, return_inverse=True)
         if screened:
             total, error = screened_sq(part, points, norms)
-            apart, apart_error = screened_sq(points[bases[own]], points, norms)
+            apart, apart_error = screened_sq(bases[own], points, norms)
             # Far apart points have a small relative error; the few close ones are counted exactly.
             i, j = np.nonzero(apart <= 1e6 * apart_error)
-            apart[i, j] = aligned_sq(points[bases[own[i]]], points[j])
+            apart[i, j] = aligned_sq(bases[own[i]], points[j])
             between = np.sqrt(apart)[at]
-            gap = total - total[rows, base][:, None]
+            gap = total - (d_base * d_base)[:, None]
             reach = 2.0 * eps * between
             hit = (gap <= reach) & (between > 0)
             slack = 4.0 * error + 8.0 * np.finfo(float).eps * np.abs(reach) + 1e-5 * np.abs(reach)
             i, j = np.nonzero(np.abs(gap - reach) <= slack)
             if len(i):
-                d, exact = np.sqrt(aligned_sq(part[i], points[j])), np.sqrt(aligned_sq(points[base[i]], points[j]))
+                d, exact = np.sqrt(aligned_sq(part[i], points[j])), np.sqrt(aligned_sq(bases[base[i]], points[j]))
                 hit[i, j] = border(d, d_base[i], exact, form) <= eps
         else:
             d = np.sqrt(pairwise_sq(part, points))
-            between = np.sqrt(pairwise_sq(points[bases[own]], points))[at]
+            between = np.sqrt(pairwise_sq(bases[own], points))[at]
             hit = border(d, d_base[:, None], between, form) <= eps
-        hit[rows, base] = True
-        copies[block] = hit
-    return copies
+        hits[block] = hit
+    return hits
 
 
 def border(d, d_base, between, form):

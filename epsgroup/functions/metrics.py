@@ -40,10 +40,15 @@ class Metric:
 
     def copies(self, x, points, near, gap, eps, form) -> np.ndarray:
         """Which points a row is copied to: the nearest one, and every other that may be nearest to a row within eps of it."""
+        out = self.bordering(x, points, points, near, gap, eps, form)
+        out[np.arange(len(x)), near] = True
+        return out
+
+    def bordering(self, x, points, bases, of, gap, eps, form) -> np.ndarray:
+        """Which points may be nearest to a row within eps of a row whose nearest one is bases[of[row]], gap away."""
         out = np.empty((len(x), len(points)), bool)
         for block in kernels.row_blocks(len(x), len(points)):
             out[block] = kernels.border(self.pairwise(x[block], points), gap[block][:, None], None, "metric") <= eps
-        out[np.arange(len(x)), near] = True
         return out
 
 
@@ -62,6 +67,9 @@ class _Euclidean(Metric):
     def copies(self, x, points, near, gap, eps, form):
         return kernels.window_copies(x, points, near, gap, eps, form)
 
+    def bordering(self, x, points, bases, of, gap, eps, form):
+        return kernels.window_borders(x, points, bases, of, gap, eps, form)
+
 
 def _by_coordinate(fold):
     """Distances from a fold over the absolute differences, from the first coordinate to the last."""

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epsgroup.functions import kernels
+from epsgroup.functions import kernels, metrics
+from epsgroup.functions.pointindex import PointIndex
 from epsgroup.functions.vectors import checked
 from epsgroup.operators import sizes
 from epsgroup.operators.sizes import points_fit
@@ -30,7 +31,7 @@ def nearest_point(rows: DataFrame, points, squared: bool = True, workspace: Work
     """Adds `near` (index of the nearest point, the lowest index on ties) and `near_distance`. No shuffle.
 
     `points` is a list of vectors held by the driver. Few short points compile into the stage; more run as numpy blocks
-    on Arrow batches; beyond POINT_BYTES they go to the tasks tile by tile, and the nearest so far is written between.
+    on Arrow batches, which an index keeps from points too far away; beyond POINT_BYTES they go to the tasks tile by tile, and the nearest so far is written between.
     All count alike, and all fail on a vector of another length.
     """
     points = np.asarray(points, dtype=float)
@@ -47,12 +48,13 @@ def nearest_point(rows: DataFrame, points, squared: bool = True, workspace: Work
         return ranked.withColumn("near", near).select(*rows.columns, "near", "near_distance")
 
     ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(points)
+    shared = rows.sparkSession.sparkContext.broadcast(PointIndex(points, metrics.EUCLIDEAN))
+    metric, dimension = metrics.EUCLIDEAN, points.shape[1]
 
     def find(batches):
         for batch in batches:
-            x = kernels.vectors_of(batch.column("features"), shared.value.shape[1])
-            near, gap = kernels.nearest(x, shared.value, squared)
+            x = kernels.vectors_of(batch.column("features"), dimension)
+            near, gap = shared.value.nearest(x, metric, squared)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(near, pa.int32()), pa.array(gap)],
                 names=[*batch.schema.names, "near", "near_distance"],

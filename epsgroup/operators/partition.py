@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgroup.functions import kernels, metrics
+from epsgroup.functions.pointindex import PointIndex
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
@@ -32,7 +33,7 @@ def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws:
     known = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(state).fields])
     for place in (_closer, _bordering):
         for tile in range(tiles):
-            points = _tile(numbered.where(F.col("tile") == tile))
+            points = _tile(numbered.where(F.col("tile") == tile), metric)
             shared = rows.sparkSession.sparkContext.broadcast(points)
             step = known.mapInArrow(lambda batches, p=place, s=shared: p(batches, s.value, eps, window, metric), known.schema)
             known = ws.save(step, f"{name}-{place.__name__}-{tile}")
@@ -40,23 +41,24 @@ def split_tiled(rows: DataFrame, pivots: DataFrame, eps: float, window: str, ws:
     return known.select(*rows.columns, F.col("best").alias("near"), targets.alias("targets"))
 
 
-def _tile(pivots: DataFrame) -> dict:
-    """{path: (pids, matrix)} of one tile."""
+def _tile(pivots: DataFrame, metric) -> dict:
+    """{path: (pids, index)} of one tile."""
     table = pivots.select("path", "pid", "features").toArrow().sort_by([("path", "ascending"), ("pid", "ascending")])
     if not len(table):
         return {}
     coded = table.column("path").combine_chunks().dictionary_encode()
     starts = np.flatnonzero(np.diff(coded.indices.to_numpy(), prepend=-1))[1:]
     pids, points = table.column("pid").to_numpy(), kernels.vectors_of(table.column("features"))
-    return dict(zip(coded.dictionary.to_pylist(), zip(np.split(pids, starts), np.split(points, starts)), strict=True))
+    indexed = [PointIndex(own, metric) for own in np.split(points, starts)]
+    return dict(zip(coded.dictionary.to_pylist(), zip(np.split(pids, starts), indexed, strict=True), strict=True))
 
 
 def _by_path(batch, points):
-    """(vectors, [(rows of a path, its pids, its points)]) for the paths of a batch that are in the tile."""
+    """(vectors, [(rows of a path, its pids, its index)]) for the paths of a batch that are in the tile."""
     coded = batch.column("path").dictionary_encode()
     code, x = coded.indices.to_numpy(zero_copy_only=False), kernels.vectors_of(batch.column("features"))
     paths = [(np.flatnonzero(code == i), *points[p]) for i, p in enumerate(coded.dictionary.to_pylist()) if p in points]
-    if any(p.shape[1] != x.shape[1] for _, _, p in paths):
+    if any(p.points.shape[1] != x.shape[1] for _, _, p in paths):
         raise ValueError("vectors and pivots differ in length")
     return x, paths
 
@@ -68,39 +70,49 @@ def _replaced(batch, **columns):
     return batch
 
 
+def _lists(at, values, rows, kind) -> pa.ListArray:
+    """The values of each row, which `at` gives, as a list column."""
+    order = np.argsort(at, kind="stable")
+    offsets = np.searchsorted(at[order], np.arange(rows + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[order], kind))
+
+
 def _closer(batches, points, eps, window, metric):
     for batch in batches:
         x, paths = _by_path(batch, points)
-        best, gap = (np.array(batch.column(c).to_pylist(), dtype=float) for c in ("best", "gap"))
-        base = batch.column("base_features").to_pylist()
+        best, gap = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).copy() for c in ("best", "gap"))
+        held = batch.column("base_features")
+        seen, base = held.is_valid().to_numpy(zero_copy_only=False).copy(), np.zeros(x.shape)
+        base[seen] = kernels.vectors_of(held.drop_null(), x.shape[1])
         for here, pids, own in paths:
-            near, distance = metric.nearest(x[here], own)
+            near, distance = own.nearest(x[here], metric)
             new = np.isnan(gap[here]) | (distance < gap[here]) | ((distance == gap[here]) & (pids[near] < best[here]))
-            for row, i in zip(here[new], near[new], strict=True):
-                base[row] = own[i].tolist()
-            best[here[new]], gap[here[new]] = pids[near[new]], distance[new]
-        columns = pa.array(best, pa.float64(), from_pandas=True).cast(pa.int32()), pa.array(gap, from_pandas=True)
-        yield _replaced(batch, best=columns[0], gap=columns[1], base_features=pa.array(base, pa.list_(pa.float64())))
+            rows, seen[here] = here[new], True
+            base[rows], best[rows], gap[rows] = own.points[near[new]], pids[near[new]], distance[new]
+        offsets = np.concatenate([[0], np.cumsum(seen * x.shape[1])])
+        base = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(base[seen].ravel()), mask=pa.array(~seen))
+        best, gap = pa.array(best, pa.float64(), from_pandas=True).cast(pa.int32()), pa.array(gap, from_pandas=True)
+        yield _replaced(batch, best=best, gap=gap, base_features=base)
 
 
 def _bordering(batches, points, eps, window, metric):
     for batch in batches:
         x, paths = _by_path(batch, points)
-        gap, found = batch.column("gap").to_numpy(zero_copy_only=False), [f or [] for f in batch.column("found").to_pylist()]
+        gap, found = batch.column("gap").to_numpy(zero_copy_only=False), batch.column("found")
+        many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at, to = [np.repeat(np.arange(len(x)), many)], [found.flatten().to_numpy(zero_copy_only=False)]
         base = kernels.vectors_of(batch.column("base_features"), x.shape[1]) if paths else x
         for here, pids, own in paths:
-            for block in kernels.row_blocks(len(here), len(own)):
-                rows = here[block]
-                d, between = (metric.pairwise(v[rows], own) for v in (x, base))
-                for i, j in np.argwhere(kernels.border(d, gap[rows][:, None], between, window) <= eps):
-                    found[rows[i]].append(int(pids[j]))
-        yield _replaced(batch, found=pa.array(found, pa.list_(pa.int32())))
+            i, j = own.bordering(x[here], base[here], np.arange(len(here)), gap[here], metric, eps, window)
+            at.append(here[i])
+            to.append(pids[j])
+        yield _replaced(batch, found=_lists(np.concatenate(at), np.concatenate(to), len(x), pa.int32()))
 
 
 def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN, metric=metrics.EUCLIDEAN) -> DataFrame:
     """The same with the pivots of all partitions sent to every task: {path: matrix}. No shuffle."""
     ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast({k: np.asarray(v, dtype=float) for k, v in pivots.items()})
+    shared = rows.sparkSession.sparkContext.broadcast({k: PointIndex(v, metric) for k, v in pivots.items()})
 
     def place(batches):
         for batch in batches:
@@ -110,22 +122,14 @@ def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLID
             near = np.zeros(len(x), dtype=np.int32)
             at, to = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for number, path in enumerate(coded.dictionary.to_pylist()):
-                points = shared.value[path]
-                rows_here = np.flatnonzero(code == number)
-                if x.shape[1] != points.shape[1]:
+                own, here = shared.value[path], np.flatnonzero(code == number)
+                if x.shape[1] != own.points.shape[1]:
                     raise ValueError("vectors and pivots differ in length")
-                for block in kernels.row_blocks(len(rows_here), len(points)):
-                    chosen = rows_here[block]
-                    index, gap = metric.nearest(x[chosen], points)
-                    copies = metric.copies(x[chosen], points, index, gap, eps, window)
-                    near[chosen] = index
-                    i, j = np.nonzero(copies)
-                    at.append(chosen[i])
-                    to.append(j)
-            at, to = np.concatenate(at), np.concatenate(to)
-            order = np.argsort(at, kind="stable")
-            offsets = np.searchsorted(at[order], np.arange(len(x) + 1))
-            targets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(to[order], pa.int32()))
+                near[here], gap = own.nearest(x[here], metric)
+                i, j = own.targets(x[here], near[here], gap, metric, eps, window)
+                at.append(here[i])
+                to.append(j)
+            targets = _lists(np.concatenate(at), np.concatenate(to), len(x), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(near, pa.int32()), targets], names=[*batch.schema.names, "near", "targets"]
             )

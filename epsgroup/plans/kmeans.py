@@ -9,7 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsgroup.functions import kernels
+from epsgroup.functions import kernels, metrics
+from epsgroup.functions.pointindex import PointIndex
 from epsgroup.operators import sampling
 from epsgroup.operators.nearest import UNROLLED_TERMS, nearest_point
 from epsgroup.operators.sizes import points_fit
@@ -66,17 +67,16 @@ def update(rows: DataFrame, centers: list, workspace: Workspace | None = None) -
 
 
 def _partial_sums(rows, points):
-    """Sums, counts and costs per centre, folded in every task."""
+    """Sums, counts and costs per centre, folded in every task. An index of the centres saves most distances."""
     ship(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(points)
+    shared = rows.sparkSession.sparkContext.broadcast(PointIndex(points, metrics.EUCLIDEAN))
+    (k, dimension), metric = points.shape, metrics.EUCLIDEAN
 
     def fold(batches):
-        points = shared.value
-        k, dimension = points.shape
         sums, n, cost = np.zeros((k, dimension)), np.zeros(k, dtype=np.int64), np.zeros(k)
         for batch in batches:
             x = kernels.vectors_of(batch.column("features"), dimension)
-            near, gap = kernels.nearest(x, points, squared=True)
+            near, gap = shared.value.nearest(x, metric, squared=True)
             n += np.bincount(near, minlength=k)
             cost += np.bincount(near, weights=gap, minlength=k)
             for j in range(dimension):

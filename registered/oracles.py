@@ -236,6 +236,7 @@ ORACLES = {
     "window_euclidean": f"WITH {placed(MIXED, 9, 30.0)} SELECT id, child, base FROM c",
     "window_metric": f"WITH {placed(MIXED, 9, 30.0, 'metric')} SELECT id, child, base FROM c",
     "window_wide": f"WITH {placed(EMBEDDINGS, 12, 0.05)} SELECT id, child, base FROM c",
+    "window_many": f"WITH {placed(EMBEDDINGS, 300, 0.05)} SELECT id, child, base FROM c",
     "window_joined": f"WITH {placed(MIXED, 9, 30.0)} SELECT id, child, base FROM c",
     "partition_counts": counted(),
     "partition_ready": counted("HAVING sum(weight) <= 400"),
@@ -270,6 +271,7 @@ ORACLES = {
     f"SELECT id, near AS cid, round(d, 6) AS distance_sq FROM ({near('p', squared=True)})",
     "kmeans_step": lloyd(CLUSTER, 4, 1) + center_rows("c1"),
     "kmeans_step_wide": lloyd(EMBEDDINGS, 8, 1, dimension=64) + center_rows("c1", 64),
+    "kmeans_many": lloyd(EMBEDDINGS, 100, 2, dimension=64) + center_rows("c2", 64),
     "kmeans_cost": lloyd(CLUSTER, 4, 1) + " SELECT round(sum(cost), 4) AS cost FROM c1",
     "kmeans_fit": lloyd(CLUSTER, 4, 3) + center_rows("c3"),
     "kmeans_resumed": lloyd(CLUSTER, 4, 3) + center_rows("c3"),

@@ -154,6 +154,11 @@ def window_wide(spark, folder):
     return _copies(_split_parts(spark, folder, table=tables.embeddings, eps=0.05, pivots=12))
 
 
+def window_many(spark, folder):
+    """The Euclidean window around 300 pivots, through their index."""
+    return _copies(_split_parts(spark, folder, table=tables.embeddings, eps=0.05, pivots=300))
+
+
 def window_joined(spark, folder):
     """The Euclidean window with the pivots sent tile by tile, here three at a time."""
     distinct = sampling.distinct_vectors(tables.mixed_parts(spark, folder), 0).withColumn("path", F.lit(""))
@@ -337,6 +342,13 @@ def kmeans_step_wide(spark, folder):
     return updated.select(cid, *coordinates(64, 6, "center"), "n", F.round("cost", 4).alias("cost"))
 
 
+def kmeans_many(spark, folder):
+    """100 centres in 64 dimensions, two iterations: an index keeps rows from centres too far away."""
+    centers = kmeans.fit(tables.embeddings(spark, folder), 100, 2, 0.0).centers
+    cid = F.col("cid").cast("bigint").alias("cid")
+    return centers.select(cid, *coordinates(64, 6, "center"), "n", F.round("cost", 4).alias("cost"))
+
+
 def kmeans_cost(spark, folder):
     rows = tables.cluster_parts(spark, folder)
     near = nearest_point(rows, kmeans.initial_centers(rows, 4, 0))
@@ -480,6 +492,7 @@ QUERIES = {
     "window_euclidean": window_euclidean,
     "window_metric": window_metric,
     "window_wide": window_wide,
+    "window_many": window_many,
     "window_joined": window_joined,
     "partition_counts": partition_counts,
     "partition_ready": partition_ready,
@@ -508,6 +521,7 @@ QUERIES = {
     "kmeans_assign": kmeans_assign,
     "kmeans_step": kmeans_step,
     "kmeans_step_wide": kmeans_step_wide,
+    "kmeans_many": kmeans_many,
     "kmeans_cost": kmeans_cost,
     "kmeans_fit": kmeans_fit,
     "kmeans_resumed": kmeans_resumed,
