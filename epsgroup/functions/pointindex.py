@@ -12,15 +12,16 @@ import numpy as np
 from epsgroup.functions import kernels
 
 LEAST = 64  # points; fewer stand in one group
+SHARE = 4  # a block that must look at more than this part of all its distances is compared with all points at once, which is faster
 _OUT, _IN = 1 + 1e-9, 1 - 1e-9  # room for rounding where groups are passed over
 
 
 def farthest_first(points, number, metric) -> np.ndarray:
     """The first point, then each time the one farthest from those taken, so that no point is far from all of them."""
-    taken, gap = [0], metric.pairwise(points, points[:1])[:, 0]
+    taken, gap = [0], metric.bounds(points, points[:1])[1][:, 0]
     while len(taken) < number and gap.max() > 0:
         taken.append(int(gap.argmax()))
-        np.minimum(gap, metric.pairwise(points, points[taken[-1:]])[:, 0], out=gap)
+        np.minimum(gap, metric.bounds(points, points[taken[-1:]])[1][:, 0], out=gap)
     return points[taken]
 
 
@@ -38,6 +39,7 @@ class PointIndex:
         used = np.unique(of)
         self.leaders = leaders[used]
         self.members = [np.flatnonzero(of == g) for g in used]
+        self.sizes = np.array([len(m) for m in self.members], dtype=float)
         self.radius = np.array([gap[m].max() for m in self.members]) * _OUT
 
     def __len__(self):
@@ -55,6 +57,10 @@ class PointIndex:
         self.compared += low.size
         return low * _IN - self.radius, high.argmin(axis=1)
 
+    def _many(self, wanted) -> bool:
+        """Whether the groups wanted for each row hold so many points that a plain scan is better."""
+        return len(self.members) > 1 and SHARE * float((wanted @ self.sizes).sum()) > len(wanted) * len(self)
+
     def nearest(self, x, metric, squared=False) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest point (the lowest index wins ties) and the distance to it, for the Euclidean metric also squared."""
         near, gap = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
@@ -75,6 +81,8 @@ class PointIndex:
         for g in np.unique(home):
             rows = np.flatnonzero(home == g)
             near[rows], gap[rows] = look(rows, self.members[g])
+        if self._many(least <= ((np.sqrt(gap) if squared else gap) * _OUT)[:, None]):
+            return look(np.arange(len(x)), np.arange(len(self)))
         for g, members in enumerate(self.members if len(self.members) > 1 else []):
             reach = (np.sqrt(gap) if squared else gap) * _OUT
             rows = np.flatnonzero((least[:, g] <= reach) & (home != g))
@@ -90,9 +98,14 @@ class PointIndex:
         at, to = [np.zeros(0, int)], [np.zeros(0, int)]
         for block in self.blocks(len(x)):
             least, _ = self._least(x[block], metric)
-            reach = (gap[block] + 2 * eps) * _OUT
-            for g, members in enumerate(self.members):
-                rows = np.flatnonzero(least[:, g] <= reach) + block.start
+            wanted = least <= ((gap[block] + 2 * eps) * _OUT)[:, None]
+            if self._many(wanted):
+                every = np.arange(len(self))
+                parts = kernels.row_blocks(len(wanted), len(self), kernels.PAIRS_PER_PRODUCT)
+                looks = [(block.start + np.arange(part.start, part.stop), every) for part in parts]
+            else:
+                looks = [(np.flatnonzero(wanted[:, g]) + block.start, members) for g, members in enumerate(self.members)]
+            for rows, members in looks:
                 if not len(rows):
                     continue
                 self.compared += len(rows) * len(members)
