@@ -15,6 +15,7 @@ from epsgroup.functions.pointindex import PointIndex
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
+SAMPLE, STEPS, INSIDE = 256, 32, 1 - 1e-9
 PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(T.IntegerType()))
 EUCLIDEAN, METRIC = "euclidean", "metric"
 
@@ -109,8 +110,13 @@ def _bordering(batches, points, eps, window, metric):
         yield _replaced(batch, found=_lists(np.concatenate(at), np.concatenate(to), len(x), pa.int32()))
 
 
-def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN, metric=metrics.EUCLIDEAN) -> DataFrame:
-    """The same with the pivots of all partitions sent to every task: {path: matrix}. No shuffle."""
+def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLIDEAN, metric=metrics.EUCLIDEAN, around: dict | None = None) -> DataFrame:
+    """The same with the pivots of all partitions sent to every task: {path: matrix}. No shuffle.
+
+    With `around` (see `crowds`, {path: matrix}) adds `least`: of all pivots that these were kept from, the row would be sent to
+    that many at least; 0 unless the row is at most eps from its nearest one here, which then is one of them. For a row g from
+    the pivot, the border with a pivot d from there is at most half of d + 2 g away.
+    """
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast({k: PointIndex(v, metric) for k, v in pivots.items()})
 
@@ -119,33 +125,35 @@ def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLID
             coded = batch.column("path").dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
             x = kernels.vectors_of(batch.column("features"))
-            near = np.zeros(len(x), dtype=np.int32)
+            near, least = np.zeros(len(x), dtype=np.int32), np.zeros(len(x), dtype=np.int64)
             at, to = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for number, path in enumerate(coded.dictionary.to_pylist()):
                 own, here = shared.value[path], np.flatnonzero(code == number)
                 if x.shape[1] != own.points.shape[1]:
                     raise ValueError("vectors and pivots differ in length")
                 near[here], gap = own.nearest(x[here], metric)
+                if around is not None:
+                    steps = np.floor(STEPS * (1 - gap / (eps * INSIDE))).astype(np.int64)
+                    least[here] = np.where(steps >= 0, around[path][near[here], np.maximum(steps, 0)], 0)
                 i, j = own.targets(x[here], near[here], gap, metric, eps, window)
                 at.append(here[i])
                 to.append(j)
             targets = _lists(np.concatenate(at), np.concatenate(to), len(x), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(near, pa.int32()), targets], names=[*batch.schema.names, "near", "targets"]
-            )
+            added = {"near": pa.array(near, pa.int32()), "targets": targets} | ({} if around is None else {"least": pa.array(least)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
 
-    schema = T.StructType([*rows.schema.fields, *PLACED.fields])
+    schema = T.StructType([*rows.schema.fields, *PLACED.fields, *([] if around is None else [T.StructField("least", T.LongType())])])
     return rows.mapInArrow(place, schema)
 
 
-def collect_pivots(pivots: DataFrame) -> dict:
+def collect_pivots(pivots: DataFrame, column: str = "features") -> dict:
     """{path: matrix} of a pivot table whose size was checked."""
     table = pivots.toArrow().sort_by([("path", "ascending"), ("pid", "ascending")])
     if not len(table):
         return {}
     coded = table.column("path").combine_chunks().dictionary_encode()
     starts = np.flatnonzero(np.diff(coded.indices.to_numpy(), prepend=-1))
-    return dict(zip(coded.dictionary.to_pylist(), np.split(kernels.vectors_of(table.column("features")), starts[1:])))
+    return dict(zip(coded.dictionary.to_pylist(), np.split(kernels.vectors_of(table.column(column)), starts[1:])))
 
 
 def keep_apart(pivots: DataFrame, gap: float, metric=metrics.EUCLIDEAN) -> DataFrame:
@@ -154,23 +162,47 @@ def keep_apart(pivots: DataFrame, gap: float, metric=metrics.EUCLIDEAN) -> DataF
 
     def thin(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
-        close = metric.within(*[kernels.vectors_of(table.column("features"))] * 2, gap)
-        kept = []
-        for i in range(len(close)):
-            if not close[i, kept].any():
-                kept.append(i)
+        kept = far_apart(kernels.vectors_of(table.column("features")), gap, metric)
         return table.take(kept).set_column(1, "pid", pa.array(range(len(kept)), pa.int32()))
 
     return pivots.groupBy("path").applyInArrow(thin, "path string, pid int, features array<double>")
 
 
+def crowds(pivots: DataFrame, eps: float, gap: float, most: float, metric=metrics.EUCLIDEAN) -> DataFrame:
+    """(path, pid, features, around): pivots kept apart as by `keep_apart`, only for partitions that crowd around their pivots: those
+    whose first SAMPLE pivots, rows themselves, would be sent to more than `most` pivots each on average. `around` holds the
+    number of all pivots within 0, 1, ... STEPS steps of 2 eps / STEPS."""
+    ship(pivots.sparkSession)
+
+    def near(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pid")
+        x = kernels.vectors_of(table.column("features"))
+        sent = sum(int(metric.within(x[i : i + 1], x, 2 * eps).sum()) for i in range(min(SAMPLE, len(x))))
+        kept = far_apart(x, gap, metric) if eps > 0 and sent > most * min(SAMPLE, len(x)) else []
+        reach = np.linspace(0, 2 * eps, STEPS + 1) * INSIDE
+        around = [np.searchsorted(np.sort(metric.pairwise(x[i : i + 1], x)[0]), reach, "right") for i in kept]
+        table = table.take(pa.array(kept, pa.int64())).set_column(1, "pid", pa.array(range(len(kept)), pa.int32()))
+        return table.append_column("around", pa.array(around, pa.list_(pa.int64())))
+
+    return pivots.groupBy("path").applyInArrow(near, "path string, pid int, features array<double>, around array<bigint>")
+
+
+def far_apart(x: np.ndarray, gap: float, metric=metrics.EUCLIDEAN) -> list[int]:
+    """The rows of x that are farther than `gap` from all rows kept before them. Memory for one row of distances at a time."""
+    kept, left = [], np.arange(len(x))
+    while len(left):
+        kept.append(int(left[0]))
+        left = left[1:][~metric.within(x[left[:1]], x[left[1:]], gap)[0]]
+    return kept
+
+
 def child_path(path: Column, index: Column) -> Column:
     return F.when(path == "", index.cast("string")).otherwise(F.concat_ws(".", path, index.cast("string")))
 
 
 def copies_of(split: DataFrame) -> DataFrame:
     """One row per copy: `child` is the pivot it goes to, `path` and `base` get this round appended."""
-    kept = [c for c in split.columns if c not in ("path", "base", "near", "targets")]
+    kept = [c for c in split.columns if c not in ("path", "base", "near", "targets", "least")]
     return split.select("*", F.explode("targets").alias("child")).select(
         F.col("path").alias("parent"),
         "child",
@@ -182,16 +214,20 @@ def copies_of(split: DataFrame) -> DataFrame:
 
 def partition_counts(split: DataFrame) -> DataFrame:
     """(path, child, rows, vectors, own_rows, own_vectors): original rows and distinct vectors each pivot receives, and
-    those of them that are nearest to it. Vectors are not read."""
+    those of them that are nearest to it. Vectors are not read. With `least` (see `split_shared`), also the rows that have it
+    (least_rows) and its sum over them (least_copies)."""
     own = F.col("child") == F.col("near")
+    sums = {"least_rows": F.when(F.col("least") > 0, F.col("weight")), "least_copies": F.col("weight") * F.col("least")}
+    extra = ["least"] if "least" in split.columns else []
     return (
-        split.select("path", "weight", "near", F.explode("targets").alias("child"))
+        split.select("path", "weight", "near", *extra, F.explode("targets").alias("child"))
         .groupBy("path", "child")
         .agg(
             F.sum("weight").alias("rows"),
             F.count("*").alias("vectors"),
             F.sum(F.when(own, F.col("weight")).otherwise(0)).alias("own_rows"),
             F.count_if(own).alias("own_vectors"),
+            *[F.coalesce(F.sum(F.when(own, value)), F.lit(0)).alias(name) for name, value in sums.items() if extra],
         )
     )
 

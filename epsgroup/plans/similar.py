@@ -16,6 +16,7 @@ from epsgroup.operators.sums import vector_mean
 from epsgroup.workspace import Workspace
 
 APART = 4.0
+CROWD = 64  # pivots of a partition, and copies per row, from which a split is tried with few pivots first
 TASK_BYTES = 256 << 20
 HOT_KEYS = 1000
 SHARE_ROWS = 1 << 18
@@ -158,6 +159,10 @@ def _partitions(groups: Groups):
     the rows crowds into one spot, so do the pivots, and every row of the spot is copied to all of them. If that does
     not help either, the partition is grouped unsplit.
 
+    Under a ratio the pivots grow with the rows, and so do the copies of each row where rows crowd. Partitions that crowd are split
+    with pivots apart first (`_split_crowds`). That split stands where it makes no copy at all, so that no group can be cut, or
+    where the counts prove that the split by all pivots would be stuck, which is then not made.
+
     Per split: the pivots, one written table of the rows with their targets (no copies yet), and one of the child
     counts. Copies are made when a later step reads the rows, and only for splits that are kept.
     """
@@ -178,32 +183,50 @@ def _partitions(groups: Groups):
     while True:
         groups.rounds += 1
         over, over_local, over_large = [], 0, 0
-        for apart in (False, True):
-            split, children = _split(groups, active, parts, number, apart)
-            n = _tally(children, o)
-            kept = children.where("keep")
-            copies = partition.copies_of(split)
+
+        def keep(split, children, n):
+            """Hand on the children of the splits that are kept."""
+            nonlocal over_local, over_large
+            kept, copies = children.where("keep"), partition.copies_of(split)
             finish(copies, partition.ready(kept, o.threshold), n["ready_local"], n["ready_large"])
             if n["over_local"] or n["over_large"]:
                 over_local, over_large = over_local + n["over_local"], over_large + n["over_large"]
                 over.append((copies, partition.oversized(kept, o.threshold).select("path", "rows", "vectors")))
-            number = n["stuck_local"] + n["stuck_large"]
-            if not number:
-                break
-            parts = children.where(~F.col("keep") & F.col("lead")).select(
-                F.col("parent").alias("path"),
-                F.col("parent_rows").alias("rows"),
-                F.col("parent_vectors").alias("vectors"),
-            )
-            active = join_small(split, parts.select("path"), "path", number).select(active.columns)
-        else:
+
+        columns, drawn = active.columns, None
+        if o.pivot_ratio is not None and groups.rounds > 1:
+            drawn = _pivots(o, active, parts, number, False)
+            crowded = _split_crowds(groups, active, number, *drawn)
+            if crowded is not None:
+                split, decided = crowded[0], crowded[1].where("decided")
+                n = _tally(decided, o)
+                keep(split, decided, n)
+                stuck = n["stuck_local"] + n["stuck_large"]
+                if stuck:
+                    groups.cancelled += stuck
+                    groups.above_threshold += n["stuck_above"]
+                    unsplit = _parents(decided.where(~F.col("keep")))
+                    finish(join_small(split, unsplit.select("path"), "path", stuck).select(columns), unsplit, n["stuck_local"], n["stuck_large"])
+                settled = _parents(decided).select("path")
+                many = settled.count()
+                if many:
+                    number, drawn = number - many, None
+                    active, parts = (join_small(rows, settled, "path", many, "left_anti") for rows in (active, parts))
+        for apart in (False, True):
+            if number:
+                split, children = _split(groups, active, parts, number, apart, drawn)
+                n = _tally(children, o)
+                keep(split, children, n)
+                number, drawn = n["stuck_local"] + n["stuck_large"], None
+                parts = _parents(children.where(~F.col("keep")))
+                active = join_small(split, parts.select("path"), "path", number).select(columns)
+        if number:
             groups.cancelled += number
             groups.above_threshold += n["stuck_above"]
             finish(active, parts, n["stuck_local"], n["stuck_large"])
         number = over_local + over_large
         if not number:
             break
-        columns = active.columns
         active = [join_small(rows, names.select("path"), "path", number).select(columns) for rows, names in over]
         active, parts = reduce(DataFrame.unionByName, active), reduce(DataFrame.unionByName, [p for _, p in over])
         if groups.rounds == o.max_rounds:
@@ -214,18 +237,24 @@ def _partitions(groups: Groups):
     return [reduce(DataFrame.unionByName, rows) if rows else None for rows in (local, large)]
 
 
+def _parents(children: DataFrame) -> DataFrame:
+    """(path, rows, vectors) of the partitions that were split into these children."""
+    names = {"parent": "path", "parent_rows": "rows", "parent_vectors": "vectors"}
+    return children.where("lead").select(*[F.col(a).alias(b) for a, b in names.items()])
+
+
 _PLACED = ["path", "id", "weight", "features", "base"]
 
 
-def _split(groups, active, parts, number, apart):
-    """One split: (rows with `near` and `targets`, one row per child partition).
+def _split(groups, active, parts, number, apart, drawn=None):
+    """One split: (rows with `near` and `targets`, one row per child partition). `drawn`: its pivots, where they are known.
 
     Children have parent, path, rows, vectors, the number of rows and vectors of their parent, `keep` (the split of
     the parent is kept) and `lead` (first child of its parent).
     """
     o, ws = groups.options, groups.workspace
     r = f"{groups.rounds}{'-apart' if apart else ''}"
-    pivots, most = _pivots(o, active, parts, number, groups.rounds == 1)
+    pivots, most = drawn or _pivots(o, active, parts, number, groups.rounds == 1)
     if apart:
         pivots = partition.keep_apart(pivots, APART * o.eps, o.metric)
     if points_fit(number * most, groups.dimension):
@@ -233,6 +262,31 @@ def _split(groups, active, parts, number, apart):
     else:
         split = partition.split_tiled(active, ws.save(pivots, f"pivots-{r}"), o.eps, o.window, ws, f"tiles-{r}", POINT_BYTES, o.metric)
     split = ws.save(split, f"split-{r}")
+    return split, ws.save(_children(split, o), f"children-{r}")
+
+
+def _split_crowds(groups, active, number, pivots, most):
+    """As `_split`, for partitions whose rows crowd around more than CROWD pivots, by pivots that lie well apart; None if there are none.
+
+    `decided`: the split stands in the place of that by all pivots, either because it makes no copies and leaves no child with more than
+    `shrink` of the rows, or because that by all pivots would be stuck: already the rows within eps of one of these pivots, all of
+    which it sends there, and the least number of their copies pass the bounds.
+    """
+    o, ws = groups.options, groups.workspace
+    if most <= CROWD or not points_fit(number * most, groups.dimension):
+        return None
+    r = f"{groups.rounds}-crowds"
+    pivots = ws.save(partition.crowds(pivots, o.eps, APART * o.eps, CROWD, o.metric), f"pivots-{r}")
+    points, around = partition.collect_pivots(pivots), partition.collect_pivots(pivots, "around")
+    if not points:
+        return None
+    rows = join_small(active, pivots.select("path").distinct(), "path", len(points))
+    split = ws.save(partition.split_shared(rows, points, o.eps, o.window, o.metric, around), f"split-{r}")
+    return split, ws.save(_children(split, o), f"children-{r}")
+
+
+def _children(split, o):
+    """Child partitions of a split (see `_split`), with `decided` for one by `_split_crowds`."""
     family = Window.partitionBy("path")
     counts = partition.partition_counts(split).select(
         "*",
@@ -246,13 +300,19 @@ def _split(groups, active, parts, number, apart):
         (F.col("largest") > o.shrink * F.col("parent_rows")) | (F.col("copies") > o.max_growth * F.col("parent_rows"))
     )
     path = partition.child_path(F.col("path"), F.col("child"))
-    children = counts.select(
+    decided = []
+    if "least" in split.columns:
+        most, every = F.max("least_rows").over(family), F.sum("least_copies").over(family)
+        whole = (F.col("copies") == F.col("parent_rows")) & (F.col("largest") <= o.shrink * F.col("parent_rows"))
+        proven = (most > o.threshold) & ((most > o.shrink * F.col("parent_rows")) | (every > o.max_growth * F.col("parent_rows")))
+        decided = [(whole | proven).alias("decided")]
+    return counts.select(
         F.col("path").alias("parent"),
         path.alias("path"),
         *("rows", "vectors", "parent_rows", "parent_vectors", "lead"),
         (~stuck).alias("keep"),
+        *decided,
     )
-    return split, ws.save(children, f"children-{r}")
 
 
 def _tally(children, o):

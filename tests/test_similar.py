@@ -192,3 +192,66 @@ def test_members_of_a_vector_in_a_third_of_the_rows(table, monkeypatch, share_ro
     got = found(groups)
     assert sorted(i for ids in got.values() for i in ids) == list(range(1, 1001))
     assert got["0", 1] == list(range(1, 331)) and len(got) == 41
+
+
+def heaps(n, seed):
+    return [(10.0 * (i % 6), y) for i, (y, _) in enumerate(uniform(n, seed))]
+
+
+def test_crowded_heaps_are_not_copied_to_every_pivot(table, spark, monkeypatch):
+    """A ratio gives each heap many pivots, and every row of the heap would be copied to all of them."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    groups = similar.run(table(heaps(600, 7)), similar.Options(2.0, num_pivots=2, threshold=150, pivot_ratio=0.2))
+    assert sorted(len(ids) for ids in found(groups).values()) == [100] * 6
+    assert groups.lost_and_doubled().head()[:] == (0, 0)
+    for name in (f"split-{r}{kind}" for r in range(2, groups.rounds + 1) for kind in ("", "-crowds")):
+        try:
+            split = spark.read.parquet(f"{groups.workspace.path}/{name}")
+        except Exception:
+            continue
+        assert split.agg(F.max(F.size("targets"))).head()[0] <= 2
+
+
+@pytest.mark.parametrize("vectors,threshold", [(uniform(300, 8), 90), (uniform(300, 9, grid=12), 60)])
+def test_crowds_give_what_the_split_by_all_pivots_gives(table, monkeypatch, vectors, threshold):
+    monkeypatch.setattr(similar, "CROWD", 4)
+    compare(table, vectors, similar.Options(0.2, num_pivots=3, threshold=threshold, pivot_ratio=0.2))
+
+
+def test_a_spot_that_no_pivots_separate_is_given_up_early(table, spark, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", 8)
+    vectors = heaps(240, 11) + [(60.0, y / 4) for y, _ in uniform(300, 12)]
+    groups = similar.run(table(vectors), similar.Options(2.0, num_pivots=2, threshold=150, pivot_ratio=0.2))
+    assert sorted(len(ids) for ids in found(groups).values()) == [40] * 6 + [300]
+    assert groups.cancelled >= 1
+
+
+@pytest.mark.parametrize("metric", [partition.metrics.EUCLIDEAN, partition.metrics.MANHATTAN])
+def test_least_copies_are_no_more_than_the_copies(table, spark, metric):
+    window = partition.EUCLIDEAN if metric is partition.metrics.EUCLIDEAN else partition.METRIC
+    vectors = sampling.distinct_vectors(table(uniform(500, 13)), 0).withColumns({"path": F.lit("a"), "base": F.array().cast("array<int>")})
+    pivots = sampling.sample_pivots(vectors, 80).localCheckpoint()
+    every = partition.split_shared(vectors, partition.collect_pivots(pivots), 0.15, window, metric)
+    few = partition.crowds(pivots, 0.15, 0.3, 8, metric)
+    least = partition.split_shared(vectors, partition.collect_pivots(few), 0.15, window, metric, partition.collect_pivots(few, "around"))
+    both = every.select("id", F.size("targets").alias("n")).join(least.select("id", "least"), "id").collect()
+    assert len(both) == 500 and all(r["least"] <= r["n"] for r in both) and sum(r["least"] for r in both) > 500
+    assert partition.crowds(pivots, 0.15, 0.3, 80, metric).isEmpty()
+
+
+def test_pivots_far_apart_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    x = np.random.default_rng(14).random((6000, 2))
+    tracemalloc.start()
+    kept = partition.far_apart(x, 0.1)
+    assert tracemalloc.get_traced_memory()[1] < 4e6  # all pairs at once take 36 MB as booleans alone
+    tracemalloc.stop()
+    close = np.hypot(*(x[:2000, None] - x[None, :2000]).transpose(2, 0, 1)) <= 0.1
+    plain = []
+    for i in range(2000):
+        if not close[i, plain].any():
+            plain.append(i)
+    assert [i for i in kept if i < 2000] == plain
