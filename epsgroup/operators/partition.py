@@ -15,6 +15,7 @@ from epsgroup.functions.pointindex import PointIndex
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
+TARGETS = 1 << 21  # rows are placed in pieces that cannot have more targets, as a row may be sent to every pivot
 SAMPLE, STEPS, INSIDE = 256, 32, 1 - 1e-9
 PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(T.IntegerType()))
 EUCLIDEAN, METRIC = "euclidean", "metric"
@@ -96,8 +97,15 @@ def _closer(batches, points, eps, window, metric):
         yield _replaced(batch, best=best, gap=gap, base_features=base)
 
 
-def _bordering(batches, points, eps, window, metric):
+def _pieces(batches, most: int):
+    """The batches in pieces whose rows have at most TARGETS targets if each is sent to `most` pivots."""
     for batch in batches:
+        step = max(1, TARGETS // max(1, most))
+        yield from (batch.slice(start, step) for start in range(0, len(batch), step))
+
+
+def _bordering(batches, points, eps, window, metric):
+    for batch in _pieces(batches, max((len(pids) for pids, _ in points.values()), default=1)):
         x, paths = _by_path(batch, points)
         gap, found = batch.column("gap").to_numpy(zero_copy_only=False), batch.column("found")
         many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -119,9 +127,10 @@ def split_shared(rows: DataFrame, pivots: dict, eps: float, window: str = EUCLID
     """
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast({k: PointIndex(v, metric) for k, v in pivots.items()})
+    most = max(map(len, pivots.values()), default=1)
 
     def place(batches):
-        for batch in batches:
+        for batch in _pieces(batches, most):
             coded = batch.column("path").dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False)
             x = kernels.vectors_of(batch.column("features"))

@@ -255,3 +255,19 @@ def test_pivots_far_apart_take_little_memory():
         if not close[i, plain].any():
             plain.append(i)
     assert [i for i in kept if i < 2000] == plain
+
+
+def test_rows_are_placed_in_pieces(table, monkeypatch):
+    """Rows that are sent to every pivot: a batch never holds more targets than the bound."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"n": list(range(1000))})
+    pieces = [*partition._pieces([batch], partition.TARGETS // 300)]
+    assert max(map(len, pieces)) <= 300 and pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+    vectors = sampling.distinct_vectors(table(uniform(300, 15)), 0).withColumns({"path": F.lit(""), "base": F.array().cast("array<int>")})
+    pivots = sampling.sample_pivots(vectors, 40)
+    points = partition.collect_pivots(pivots)
+    whole = partition.split_shared(vectors, points, 0.5).select("id", "near", "targets").orderBy("id").collect()
+    monkeypatch.setattr(partition, "TARGETS", 280)
+    assert [len(p) for p in partition._pieces([batch], 40)][0] == 7
+    assert partition.split_shared(vectors, points, 0.5).select("id", "near", "targets").orderBy("id").collect() == whole
