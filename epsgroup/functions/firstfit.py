@@ -151,14 +151,17 @@ def first_fit_in_cells(ids, x, plane, eps, group, decided, home, metric=EUCLIDEA
     return label, done, pairs
 
 
-def owned(label, base, assigned):
-    """True for rows of groups whose lowest base index equals the assigned index in every round."""
-    keep = np.ones(len(label), dtype=bool)
-    if not len(assigned):
-        return keep
+def lowest(label, base):
+    """The lowest base index in the group of each row, for every round."""
     _, group = np.unique(label, return_inverse=True)
+    low = np.full((group.max(initial=-1) + 1, base.shape[1]), np.iinfo(np.int32).max, dtype=np.int64)
+    np.minimum.at(low, group, base)
+    return low[group]
+
+
+def owned(label, base, assigned):
+    """True for rows of groups whose lowest base index is the assigned index, or one of several, in every round."""
+    keep, low = np.ones(len(label), dtype=bool), lowest(label, base)
     for r, index in enumerate(assigned):
-        lowest = np.full(group.max() + 1, np.iinfo(np.int32).max, dtype=np.int64)
-        np.minimum.at(lowest, group, base[:, r])
-        keep &= lowest[group] == index
+        keep &= np.isin(low[:, r], index)
     return keep

@@ -1,12 +1,13 @@
 """Partitioning of the vector space by pivots, with copies across the borders.
 
 `path` names a partition by the pivot indices of all rounds ("" before the first, then "3", "3.0", ...). `base` holds
-the index of the nearest pivot in every round.
+the index of the nearest pivot in every round. Children of one partition that get the same rows ("twins") go on as one, whose
+path has the indices of all of them ("3|7.0"); the groups found there get the path of the twin that owns them.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
 TARGETS = 1 << 21  # rows are placed in pieces that cannot have more targets, as a row may be sent to every pivot
+TWINS = 64  # taken together at most, so that paths stay short
 SAMPLE, STEPS, INSIDE = 256, 32, 1 - 1e-9
 PLACED = T.StructType().add("near", T.IntegerType()).add("targets", T.ArrayType(T.IntegerType()))
 EUCLIDEAN, METRIC = "euclidean", "metric"
@@ -221,15 +223,17 @@ def copies_of(split: DataFrame) -> DataFrame:
     )
 
 
-def partition_counts(split: DataFrame) -> DataFrame:
+def partition_counts(split: DataFrame, prints: bool = False) -> DataFrame:
     """(path, child, rows, vectors, own_rows, own_vectors): original rows and distinct vectors each pivot receives, and
     those of them that are nearest to it. Vectors are not read. With `least` (see `split_shared`), also the rows that have it
-    (least_rows) and its sum over them (least_copies)."""
+    (least_rows) and its sum over them (least_copies). `prints` adds `print`, 128 bits that tell sets of ids apart."""
     own = F.col("child") == F.col("near")
     sums = {"least_rows": F.when(F.col("least") > 0, F.col("weight")), "least_copies": F.col("weight") * F.col("least")}
     extra = ["least"] if "least" in split.columns else []
+    halves = [F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(1), "id"))]
+    ids = ["id"] if prints else []
     return (
-        split.select("path", "weight", "near", *extra, F.explode("targets").alias("child"))
+        split.select("path", "weight", "near", *extra, *ids, F.explode("targets").alias("child"))
         .groupBy("path", "child")
         .agg(
             F.sum("weight").alias("rows"),
@@ -237,10 +241,31 @@ def partition_counts(split: DataFrame) -> DataFrame:
             F.sum(F.when(own, F.col("weight")).otherwise(0)).alias("own_rows"),
             F.count_if(own).alias("own_vectors"),
             *[F.coalesce(F.sum(F.when(own, value)), F.lit(0)).alias(name) for name, value in sums.items() if extra],
+            *([F.struct(*halves).alias("print")] if prints else []),
         )
     )
 
 
+def twins(counts: DataFrame) -> DataFrame:
+    """The children of `partition_counts` with prints, one for all that have the same rows, with the path `name` of all of these.
+
+    Where pivots lie close together, rows far from all of them are sent to each, so that their children are often the same. These
+    would be split by the same pivots and grouped alike, round by round, with as many more copies of every row.
+    """
+    same = ["path", "rows", "vectors", "print"]
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("child")) - 1
+    together = Window.partitionBy(*same, "block")
+    children = F.array_sort(F.collect_list("child").over(together)).cast("array<string>")
+    counts = counts.withColumn("block", F.floor(place / TWINS))
+    counts = counts.withColumns({"name": child_path(F.col("path"), F.array_join(children, "|")), "first": F.min("child").over(together)})
+    return counts.where(F.col("child") == F.col("first")).drop("block", "first", "print")
+
+
+def stands_for(path: Column) -> Column:
+    """How many partitions a path with twins stands for."""
+    return F.aggregate(F.split(path, "\\."), F.lit(1.0), lambda n, part: n * F.size(F.split(part, "\\|")))
+
+
 def ready(counts: DataFrame, threshold: int) -> DataFrame:
     return counts.where(F.col("rows") <= threshold)
 

@@ -164,7 +164,8 @@ def _partitions(groups: Groups):
     where the counts prove that the split by all pivots would be stuck, which is then not made.
 
     Per split: the pivots, one written table of the rows with their targets (no copies yet), and one of the child
-    counts. Copies are made when a later step reads the rows, and only for splits that are kept.
+    counts. Copies are made when a later step reads the rows, and only for splits that are kept, once for all children with the
+    same rows (`partition.twins`). Whether a split is kept is counted with all of its children.
     """
     o = groups.options
     empty = F.array().cast("array<int>")
@@ -173,25 +174,25 @@ def _partitions(groups: Groups):
     local, large = [], []
 
     def finish(rows, counts, count_local, count_large):
-        """Hand the rows of the partitions in `counts` (path, vectors) to the right kind of grouping."""
+        """Hand the rows of the partitions in `counts` (path, name, vectors) to the right kind of grouping."""
         is_large = F.col("vectors") > o.local_rows
         for kind, count, wanted in ((local, count_local, ~is_large), (large, count_large, is_large)):
             if count:
-                names = counts.where(wanted).select("path")
-                kind.append(join_small(rows, names, "path", count).select(*_PLACED))
+                kind.append(_named(rows, counts.where(wanted), count).select(*_PLACED))
 
     while True:
         groups.rounds += 1
-        over, over_local, over_large = [], 0, 0
+        over, over_local, over_large, over_splits = [], 0, 0, 0
 
         def keep(split, children, n):
             """Hand on the children of the splits that are kept."""
-            nonlocal over_local, over_large
+            nonlocal over_local, over_large, over_splits
             kept, copies = children.where("keep"), partition.copies_of(split)
             finish(copies, partition.ready(kept, o.threshold), n["ready_local"], n["ready_large"])
             if n["over_local"] or n["over_large"]:
                 over_local, over_large = over_local + n["over_local"], over_large + n["over_large"]
-                over.append((copies, partition.oversized(kept, o.threshold).select("path", "rows", "vectors")))
+                over_splits += n["over_splits"]
+                over.append((copies, partition.oversized(kept, o.threshold).select("path", "name", "rows", "vectors")))
 
         columns, drawn = active.columns, None
         if o.pivot_ratio is not None and groups.rounds > 1:
@@ -203,7 +204,7 @@ def _partitions(groups: Groups):
                 keep(split, decided, n)
                 stuck = n["stuck_local"] + n["stuck_large"]
                 if stuck:
-                    groups.cancelled += stuck
+                    groups.cancelled += n["stuck_splits"]
                     groups.above_threshold += n["stuck_above"]
                     unsplit = _parents(decided.where(~F.col("keep")))
                     finish(join_small(split, unsplit.select("path"), "path", stuck).select(columns), unsplit, n["stuck_local"], n["stuck_large"])
@@ -221,22 +222,30 @@ def _partitions(groups: Groups):
                 parts = _parents(children.where(~F.col("keep")))
                 active = join_small(split, parts.select("path"), "path", number).select(columns)
         if number:
-            groups.cancelled += number
+            groups.cancelled += n["stuck_splits"]
             groups.above_threshold += n["stuck_above"]
             finish(active, parts, n["stuck_local"], n["stuck_large"])
         number = over_local + over_large
         if not number:
             break
-        active = [join_small(rows, names.select("path"), "path", number).select(columns) for rows, names in over]
-        active, parts = reduce(DataFrame.unionByName, active), reduce(DataFrame.unionByName, [p for _, p in over])
+        active = [_named(rows, names, number).select(columns) for rows, names in over]
+        parts = [names.drop("path").withColumnRenamed("name", "path") for _, names in over]
+        active, parts = reduce(DataFrame.unionByName, active), reduce(DataFrame.unionByName, parts)
         if groups.rounds == o.max_rounds:
-            groups.cancelled += number
-            groups.above_threshold += number
+            groups.cancelled += over_splits
+            groups.above_threshold += over_splits
             finish(active, parts, over_local, over_large)
             break
     return [reduce(DataFrame.unionByName, rows) if rows else None for rows in (local, large)]
 
 
+def _named(rows: DataFrame, names: DataFrame, number: int) -> DataFrame:
+    """The rows of the partitions in `names`, under the `name` that stands for their twins as well, if they have one."""
+    if "name" not in names.columns:
+        return join_small(rows, names.select("path"), "path", number)
+    return join_small(rows, names.select("path", "name"), "path", number).drop("path").withColumnRenamed("name", "path")
+
+
 def _parents(children: DataFrame) -> DataFrame:
     """(path, rows, vectors) of the partitions that were split into these children."""
     names = {"parent": "path", "parent_rows": "rows", "parent_vectors": "vectors"}
@@ -249,8 +258,8 @@ _PLACED = ["path", "id", "weight", "features", "base"]
 def _split(groups, active, parts, number, apart, drawn=None):
     """One split: (rows with `near` and `targets`, one row per child partition). `drawn`: its pivots, where they are known.
 
-    Children have parent, path, rows, vectors, the number of rows and vectors of their parent, `keep` (the split of
-    the parent is kept) and `lead` (first child of its parent).
+    Children have parent, path, name, rows, vectors, the number of rows and vectors of their parent, `keep` (the split of
+    the parent is kept) and `lead` (first child of its parent). Of twins only the first is there, with the `name` of all.
     """
     o, ws = groups.options, groups.workspace
     r = f"{groups.rounds}{'-apart' if apart else ''}"
@@ -288,7 +297,7 @@ def _split_crowds(groups, active, number, pivots, most):
 def _children(split, o):
     """Child partitions of a split (see `_split`), with `decided` for one by `_split_crowds`."""
     family = Window.partitionBy("path")
-    counts = partition.partition_counts(split).select(
+    counts = partition.partition_counts(split, prints=True).select(
         "*",
         F.sum("own_rows").over(family).alias("parent_rows"),
         F.sum("own_vectors").over(family).alias("parent_vectors"),
@@ -305,28 +314,35 @@ def _children(split, o):
         most, every = F.max("least_rows").over(family), F.sum("least_copies").over(family)
         whole = (F.col("copies") == F.col("parent_rows")) & (F.col("largest") <= o.shrink * F.col("parent_rows"))
         proven = (most > o.threshold) & ((most > o.shrink * F.col("parent_rows")) | (every > o.max_growth * F.col("parent_rows")))
-        decided = [(whole | proven).alias("decided")]
-    return counts.select(
+        counts, decided = counts.withColumn("decided", whole | proven), ["decided"]
+    return partition.twins(counts).select(
         F.col("path").alias("parent"),
         path.alias("path"),
-        *("rows", "vectors", "parent_rows", "parent_vectors", "lead"),
+        *("name", "rows", "vectors", "parent_rows", "parent_vectors", "lead"),
         (~stuck).alias("keep"),
         *decided,
     )
 
 
 def _tally(children, o):
-    """How many partitions are stuck (split cancelled), ready, or over the threshold, by whether one task holds them."""
-    ready = F.col("rows") <= o.threshold
-    counts = {"stuck_above": ~F.col("keep") & F.col("lead") & (F.col("parent_rows") > o.threshold)}
+    """How many partitions are stuck (split cancelled), ready, or over the threshold, by whether one task holds them. Twins count
+    as one in these, and one by one in stuck_splits, stuck_above and over_splits."""
+    ready, stuck = F.col("rows") <= o.threshold, ~F.col("keep") & F.col("lead")
+    counts, splits = {}, {
+        "stuck_splits": (stuck, "parent"),
+        "stuck_above": (stuck & (F.col("parent_rows") > o.threshold), "parent"),
+        "over_splits": (F.col("keep") & ~ready, "name"),
+    }
     for name, wanted, size in (
-        ("stuck", ~F.col("keep") & F.col("lead"), "parent_vectors"),
+        ("stuck", stuck, "parent_vectors"),
         ("ready", F.col("keep") & ready, "vectors"),
         ("over", F.col("keep") & ~ready, "vectors"),
     ):
         counts[f"{name}_local"] = wanted & (F.col(size) <= o.local_rows)
         counts[f"{name}_large"] = wanted & (F.col(size) > o.local_rows)
-    return children.agg(*[F.count_if(c).alias(name) for name, c in counts.items()]).head().asDict()
+    summed = [F.sum(F.when(c, partition.stands_for(F.col(path)))).alias(name) for name, (c, path) in splits.items()]
+    found = children.agg(*[F.count_if(c).alias(name) for name, c in counts.items()], *summed).head().asDict()
+    return {name: int(n or 0) for name, n in found.items()}
 
 
 def _pivots(o, active, parts, number, first):

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -271,3 +272,42 @@ def test_rows_are_placed_in_pieces(table, monkeypatch):
     monkeypatch.setattr(partition, "TARGETS", 280)
     assert [len(p) for p in partition._pieces([batch], 40)][0] == 7
     assert partition.split_shared(vectors, points, 0.5).select("id", "near", "targets").orderBy("id").collect() == whole
+
+
+def stacked(n, seed):
+    """Heaps 10 apart, each several times as dense as the one before."""
+    return [(10.0 * min(int(-math.log2(1 - z) * 2), 7), y) for z, y in uniform(n, seed)]
+
+
+@pytest.mark.parametrize(
+    "vectors,options",
+    [
+        (stacked(500, 16), dict(eps=2.0, num_pivots=5, threshold=80, window="metric")),
+        (stacked(500, 17), dict(eps=2.0, num_pivots=6, threshold=80, local_rows=60, block_rows=60)),
+        (stacked(500, 18), dict(eps=2.0, num_pivots=5, threshold=60, max_rounds=2)),
+        ([*stacked(300, 19), *((x / 2, 3 * y) for x, y in uniform(200, 19))], dict(eps=0.4, num_pivots=7, threshold=60)),
+    ],
+)
+def test_twins_give_what_the_children_give_one_by_one(table, monkeypatch, vectors, options):
+    """Children with the same rows go on as one: paths, groups and counted splits are those of all of them."""
+    groups = compare(table, vectors, similar.Options(**options))
+    monkeypatch.setattr(partition, "TWINS", 1)
+    plain = similar.run(table(vectors), similar.Options(**options))
+    assert found(groups) == found(plain)
+    assert (groups.rounds, groups.cancelled, groups.above_threshold) == (plain.rounds, plain.cancelled, plain.above_threshold)
+
+
+def test_rows_of_heaps_are_not_copied_round_by_round(table, spark):
+    """Pivots of one heap send every row to the children of all of them; a next round would read each row as many times."""
+    groups = similar.run(table(heaps(300, 20)), similar.Options(2.0, num_pivots=5, threshold=60, window="metric"))
+    assert sorted(len(ids) for ids in found(groups).values()) == [50] * 6 and groups.rounds == 3
+    for r in (2, 3):
+        assert spark.read.parquet(f"{groups.workspace.path}/split-{r}").count() <= 300
+
+
+def test_twins_are_found_by_their_rows(spark):
+    rows = [("a", i, 1, 0, [0, 2, 3] if i < 9 else [1, 2]) for i in range(12)] + [("b", i, 1, 0, [0, 1]) for i in range(9)]
+    split = spark.createDataFrame(rows, "path string, id long, weight long, near int, targets array<int>")
+    names = partition.twins(partition.partition_counts(split, prints=True)).select("name", "rows").collect()
+    assert sorted(map(tuple, names)) == [("a.0|3", 9), ("a.1", 3), ("a.2", 12), ("b.0|1", 9)]
+    assert spark.createDataFrame([("a.0|3.1|2|4",)], ["p"]).select(partition.stands_for(F.col("p"))).head()[0] == 6
