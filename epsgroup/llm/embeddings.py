@@ -2,27 +2,31 @@
 
 Unit vectors with cosine >= s are at most sqrt(2 - 2 s) apart. They are rotated at random and split into blocks of BLOCK
 coordinates; each block gets a share of the squared distance in proportion to its coordinates, so a linked pair
-keeps within the share of some block. Each block is range-joined on its own: rows go to grid cells as wide as the block's
-reach over its first coordinates, as guests also to later neighbour cells, and meet there in tiles of at
-most about TILE rows. A pair is taken from the first block whose share it keeps, and its cosine is computed in full.
+keeps within the share of some block. Vectors of one label are packed into tiles of at most TILE, and every two tiles of a label
+meet in a task. There each block is range-joined on its own: rows sorted by its first coordinate meet those within the block's
+reach. A pair is taken from the first block whose share it keeps, and its cosine is computed in full. Tiles are written once and
+read again where they meet, so what is written grows with the vectors, not with their pairs.
 """
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epsgroup.llm.components import components, forest
+from epsgroup.operators.sizes import join_small
 from epsgroup.ship import ship
 from epsgroup.workspace import Workspace
 
 BLOCK = 8
-TILE = 2048
+TILE = 4096
+RUN = 256  # rows of a tile that look for others at once
 PAIRS = 1 << 15  # pairs verified at once
 SLACK = 1e-9  # far above rounding errors, which must not let a pair slip through
+ROUNDING = 1e-5  # the same for single precision, in which candidates are looked for
+FLUSH = 8 << 20  # bytes of packed vectors given out at once
 
 
 class Blocks:
@@ -38,83 +42,174 @@ class Blocks:
         return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.rotation
 
 
-def _vectors(column, length: int, kind: str) -> np.ndarray:
+def _vectors(raw: bytes, length: int, kind: str) -> np.ndarray:
     """The vectors, each times a power of two that brings its largest component near 1, so that no product leaves the range of doubles."""
-    vectors = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, length).astype(np.float64)
+    vectors = np.frombuffer(raw, kind).reshape(-1, length).astype(np.float64)
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
 
 
-def _cells(batches, kind, cosine, seed, grid, with_vectors):
-    """Rows (part, length, block, cell, guest, id, copies, vector): each vector once or more in every block."""
-    known = {}
+def _folded(batches, kind):
+    """Rows (part, length, h1, h2, tile, copies, vector as bytes): equal vectors of a batch are one row with their number."""
     for batch in batches:
-        lengths = np.array(batch.column(1).to_pylist())
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            own = batch.take(pa.array(rows))
-            blocks = known.setdefault(length, Blocks(int(length), cosine, seed))
-            turned = blocks.rotated(_vectors(own.column(4), length, kind))
-            for block, ((start, end), share) in enumerate(zip(blocks.spans, blocks.shares, strict=True)):
-                dims = min(grid, end - start)
-                home = np.floor(turned[:, start : start + dims] / np.sqrt(share)).astype(np.int64)
-                for move in itertools.product((-1, 0, 1), repeat=dims):
-                    if move < (0,) * dims:
-                        continue
-                    cells = [",".join(map(str, c)) for c in home + np.array(move)]
-                    n = len(rows)
-                    arrays = [own.column(0), own.column(1), pa.array(np.full(n, block, np.int32)), pa.array(cells),
-                              pa.array(np.full(n, any(move))), own.column(2), own.column(3)]
-                    names = ["part", "length", "block", "cell", "guest", "id", "copies"]
-                    if with_vectors:
-                        arrays, names = [*arrays, own.column(4)], [*names, "vector"]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
-
-
-def _met(table: pa.Table, kind: str, cosine: float, seed: int) -> pa.Table:
-    """Links among the rows of one tile, or between two: (id, links) sums and (id, other) of a spanning forest, by number of the folded vector."""
-    length, block = table.column("length")[0].as_py(), table.column("block")[0].as_py()
-    blocks = Blocks(length, cosine, seed)
-    vectors = _vectors(table.column("vector"), length, kind)
-    turned, norms = blocks.rotated(vectors), np.linalg.norm(vectors, axis=1)
-    ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-    guest, side = table.column("guest").to_numpy(), table.column("side").to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    own = not len(right)  # a tile with itself
-    if own:
-        right = left
-    start, end = blocks.spans[block]
-    part = turned[:, start:end]
-    sizes = (part**2).sum(1)
-    links, ends = np.zeros(len(ids), np.int64), []
-    step = max(1, PAIRS // max(1, len(right)))
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        near = sizes[rows, None] + sizes[right] - 2 * part[rows] @ part[right].T <= blocks.shares[block] + SLACK
-        a, b = np.nonzero(near)
-        a, b = rows[a], right[b]
-        keep = ~(guest[a] & guest[b]) & ((a < b) if own else True)
-        a, b = a[keep], b[keep]
-        cos = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b])
-        a, b = a[cos >= cosine], b[cos >= cosine]
-        gaps = (turned[a] - turned[b]) ** 2
-        first = np.full(len(a), -1)
-        for i in range(len(blocks.spans) - 1, -1, -1):
-            s, e = blocks.spans[i]
-            first[gaps[:, s:e].sum(1) <= blocks.shares[i]] = i
-        a, b = a[first == block], b[first == block]
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        if len(a):
-            ends.append(forest(ids[a], ids[b]))
-    some = np.flatnonzero(links)
+        part, h1, h2 = (batch.column(i).to_numpy() for i in (0, 2, 3))
+        order = np.lexsort((h2, h1, part))
+        new = np.ones(len(order), bool)
+        for c in (part, h1, h2) if len(order) else ():
+            new[1:] = new[1:] & (c[order[1:]] == c[order[:-1]])
+        new[1:] = ~new[1:]
+        first = np.flatnonzero(new)
+        own = batch.take(pa.array(order[first]))
+        ends = np.concatenate([[0], np.cumsum(own.column(1).to_numpy())]) * np.dtype(kind).itemsize
+        values = own.column(5).flatten().to_numpy(zero_copy_only=False).astype(kind)
+        raw = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+        copies = pa.array(np.diff(np.append(first, len(order))), pa.int64())
+        yield pa.RecordBatch.from_arrays([*own.columns[:5], copies, raw], ["part", "length", "h1", "h2", "tile", "copies", "vector"])
+
+
+_TILES = pa.schema([
+    ("part", pa.int64()), ("length", pa.int32()), ("tile", pa.int32()), ("first", pa.int64()),
+    ("copies", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary()), ("vectors", pa.binary()),
+])
+
+
+def _tiles(batches, most):
+    """From rows sorted by part, length, tile and hashes: one row for each tile of at most `most` different vectors.
+
+    `first` is the number of its first vector, the others follow on. Only the last, unfinished tile is kept between batches.
+    """
+    number, rows, held = TaskContext.get().partitionId() << 40, [], None
+
+    def cut(table):
+        nonlocal number
+        part, length, h1, h2, tile, copies = (table.column(i).to_numpy() for i in range(6))
+        new = np.ones(len(part), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        first = np.flatnonzero(new)
+        copies, vectors = np.add.reduceat(copies, first), table.column(6).take(pa.array(first))
+        for at in range(0, len(first), most):
+            some = first[at : at + most]
+            raw = (x.astype(np.int64).tobytes() for x in (copies[at : at + most], h1[some], h2[some]))
+            rows.append((part[0], length[0], tile[0], number, *raw, b"".join(vectors.slice(at, most).to_pylist())))
+            number += len(some)
+
+    def written():
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TILES.types, strict=True)], schema=_TILES)
+        rows.clear()
+        return out
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        keys = [table.column(i).to_numpy() for i in (0, 1, 4)]
+        edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for at, end in zip([0, *edge[:-1]], edge, strict=True) if len(edge) else ():
+            cut(table.slice(at, end - at))
+            if len(rows) >= 1000 or sum(len(r[-1]) for r in rows[-8:]) >= FLUSH:
+                yield written()
+        held = table.slice(edge[-1]) if len(edge) else table
+    if held is not None and held.num_rows:
+        cut(held)
+    if rows:
+        yield written()
+
+
+def _heads(batches):
+    """(part, h1, h2, rep, copies) of the vectors of packed tiles."""
+    for batch in batches:
+        for part, first, *raw in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "copies", "h1", "h2")), strict=True):
+            copies, h1, h2 = (np.frombuffer(r, np.int64) for r in raw)
+            rep = np.arange(first, first + len(copies))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(rep), part, np.int64), h1, h2, rep, copies)], ["part", "h1", "h2", "rep", "copies"])
+
+
+class Tile:
+    """The vectors of a packed row, and their rotated blocks."""
+
+    def __init__(self, blocks: Blocks, first: int, copies: bytes, vectors: bytes, length: int, kind: str):
+        self.copies = np.frombuffer(copies, np.int64)
+        self.ids = np.arange(first, first + len(self.copies))
+        self.vectors = _vectors(vectors, length, kind)
+        self.norms = np.linalg.norm(self.vectors, axis=1)
+        self.turned = blocks.rotated(self.vectors)
+        self.small = self.turned.astype(np.float32)
+
+
+def _set(flags: np.ndarray) -> np.ndarray:
+    """The places of the few true ones, looked for eight at a time."""
+    whole = len(flags) // 8 * 8
+    eights = flags[:whole].reshape(-1, 8)
+    some = np.flatnonzero(eights.view(np.uint64))
+    row, place = np.nonzero(eights[some])
+    return np.concatenate([8 * some[row] + place, whole + np.flatnonzero(flags[whole:])])
+
+
+def _in_reach(x: np.ndarray, y: np.ndarray, share: float, own: bool):
+    """(rows of x, rows of y), in pieces, that are within the share in one block; with some that rounding lets in.
+
+    Both are sorted by the first coordinate; a run of x meets only the rows of y within the reach of it. Of a tile with itself a pair comes once.
+    """
+    orders = [np.argsort(x[:, 0], kind="stable"), np.argsort(y[:, 0], kind="stable")]
+    x, y = x[orders[0]], y[orders[1]]
+    one = [np.ones((len(z), 1), np.float32) for z in (x, y)]
+    left = np.hstack([-2 * x, (x**2).sum(1, keepdims=True), one[0]])
+    right = np.ascontiguousarray(np.hstack([y, one[1], (y**2).sum(1, keepdims=True)]).T)
+    reach, most = np.float32(np.sqrt(share) + ROUNDING), np.float32(share + ROUNDING)
+    for at in range(0, len(x), RUN):
+        end = min(at + RUN, len(x))
+        low = max(at if own else 0, np.searchsorted(y[:, 0], x[at, 0] - reach))
+        high = np.searchsorted(y[:, 0], x[end - 1, 0] + reach, "right")
+        if low >= high:
+            continue
+        a, b = np.divmod(_set((left[at:end] @ right[:, low:high] <= most).ravel()), high - low)
+        if own:
+            a, b = a[low + b > at + a], b[low + b > at + a]
+        for some in range(0, len(a), PAIRS):
+            yield orders[0][at + a[some : some + PAIRS]], orders[1][low + b[some : some + PAIRS]]
+
+
+def _met(x: Tile, y: Tile, blocks: Blocks, cosine: float) -> pa.RecordBatch:
+    """Links within a tile, or between two: (id, links) sums and (id, other) of a spanning forest, by number of the folded vector."""
+    links, ends = [np.zeros(len(x.ids), np.int64), np.zeros(len(y.ids), np.int64)], []
+    for block, ((start, end), share) in enumerate(zip(blocks.spans, blocks.shares, strict=True)):
+        for a, b in _in_reach(x.small[:, start:end], y.small[:, start:end], share, x is y):
+            cos = np.einsum("ij,ij->i", x.vectors[a], y.vectors[b]) / (x.norms[a] * y.norms[b])
+            a, b = a[cos >= cosine], b[cos >= cosine]
+            gaps = (x.turned[a] - y.turned[b]) ** 2
+            first = np.full(len(a), -1)
+            for i in range(len(blocks.spans) - 1, -1, -1):
+                s, e = blocks.spans[i]
+                first[gaps[:, s:e].sum(1) <= blocks.shares[i]] = i
+            a, b = a[first == block], b[first == block]
+            np.add.at(links[0], a, y.copies[b])
+            np.add.at(links[1], b, x.copies[a])
+            if len(a):
+                ends.append(forest(x.ids[a], y.ids[b]))
     if ends:
-        ends = forest(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        ends = forest(*(np.concatenate(z) for z in zip(*ends, strict=True)))
     node, low = ends if len(ends) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({
-        "id": np.concatenate([ids[some], node]),
-        "links": np.concatenate([links[some], np.zeros(len(node), np.int64)]),
-        "other": [None] * len(some) + low.tolist(),
-    }, schema=pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]))
+    ids, links = (x.ids, links[0] + links[1]) if x is y else (np.concatenate([x.ids, y.ids]), np.concatenate(links))
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([ids[some], node]), pa.int64()),
+        pa.array(np.concatenate([links[some], np.zeros(len(node), np.int64)]), pa.int64()),
+        pa.array([None] * len(some) + low.tolist(), pa.int64()),
+    ], ["id", "links", "other"])
+
+
+def _meetings(batches, kind: str, cosine: float, seed: int):
+    """Links within each tile (length, first, copies, vectors), or between the two of a row (then the same of the other follow)."""
+    known, last = {}, (None, None)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            length, *raw = (c[row].as_py() for c in batch.columns)
+            if length not in known:
+                known[length] = Blocks(length, cosine, seed)
+            blocks = known[length]
+            if raw[0] != last[0]:
+                last = raw[0], Tile(blocks, *raw[:3], length, kind)
+            x = last[1]
+            found = _met(x, Tile(blocks, *raw[3:], length, kind) if len(raw) > 3 else x, blocks, cosine)
+            if found.num_rows:
+                yield found
 
 
 def near_duplicates(
@@ -137,36 +232,37 @@ def near_duplicates(
         & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(wide, lambda x: x != 0), F.lit(False),
     )
-    flat = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("part"), F.col(vector_col).alias("vector"), usable.alias("usable"))
-    # Folded vectors have a number of their own, since an id may stand for several; it holds once it is written.
-    keys = flat.where("usable").groupBy("part", "vector").agg(F.count("*").alias("copies"))
-    keys = ws.save(keys.withColumn("rep", F.monotonically_increasing_id()), "keys")
-    owned = ws.save(flat.where("usable").join(keys, ["part", "vector"]).select("id", "rep"), "owned")
-    packed = keys.select(F.xxhash64("part").alias("part"), F.size("vector").alias("length"), F.col("rep").alias("id"), "copies", "vector")
-
-    def to_bytes(batches):
-        for batch in batches:
-            raw = [np.array(v, kind).tobytes() for v in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(raw, pa.binary())], batch.schema.names)
-
-    packed = ws.save(packed.mapInArrow(to_bytes, "part long, length int, id long, copies long, vector binary"), "reps")
-    largest = packed.groupBy("part", "length").count().agg(F.max("count")).first()[0] or 0
-    grid = 1 if largest <= 16 * TILE else 2
-    where = "part long, length int, block int, cell string"
-    head = packed.mapInArrow(lambda b: _cells(b, kind, cosine, seed, grid, False), f"{where}, guest boolean, id long, copies long")
-    at = ["part", "length", "block", "cell"]
-    large = ws.save(head.groupBy(*at).count().where(F.col("count") > TILE), "large")
-    large = large.select(*at, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    placed = packed.mapInArrow(lambda b: _cells(b, kind, cosine, seed, grid, True), f"{where}, guest boolean, id long, copies long, vector binary")
-    placed = placed.join(large, at, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    placed = placed.withColumns({
-        "low": F.least("tile", "with"), "high": F.greatest("tile", "with"),
-        "side": F.when(F.col("tile") > F.col("with"), 1).otherwise(0),
-    })
-    met = placed.groupBy(*at, "low", "high").applyInArrow(lambda t: _met(t, kind, cosine, seed), "id long, links long, other long")
-    met = ws.save(met, "met")
+    plain = F.transform(F.col(vector_col).cast(f"array<{'float' if kind == '<f4' else 'double'}>"), lambda x: F.when(x == 0, x * x).otherwise(x))  # no zero below 0
+    flat = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("part"), plain.alias("vector"), usable.alias("usable"))
+    # Vectors are told apart by 128 bits.
+    good = flat.where("usable").select("id", "part", F.size("vector").alias("length"), F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"), "vector")
+    most, kinds = TILE, "part long, length int, h1 long, h2 long, tile int, copies long, vector binary"  # values for the workers
+    large = good.groupBy("part", "length").count().where(F.col("count") > most)
+    large = ws.save(large.select("part", "length", F.ceil(F.col("count") / most).cast("int").alias("tiles")), "large")
+    many = large.count()
+    dealt = join_small(good, large, ["part", "length"], many, "left")
+    dealt = dealt.select("part", "length", "h1", "h2", F.pmod("h1", F.coalesce("tiles", F.lit(1))).cast("int").alias("tile"), "vector")
+    dealt = dealt.mapInArrow(lambda b: _folded(b, kind), kinds)
+    dealt = dealt.repartition("part", "length", "tile").sortWithinPartitions("part", "length", "tile", "h1", "h2")
+    schema = "part long, length int, tile int, first long, copies binary, h1 binary, h2 binary, vectors binary"
+    packed = ws.save(dealt.mapInArrow(lambda b: _tiles(b, most), schema), "tiles")
+    ws.release()
+    heads = packed.select("part", "first", "copies", "h1", "h2").mapInArrow(_heads, "part long, h1 long, h2 long, rep long, copies long")
+    owned = ws.save(good.select("id", "part", "h1", "h2").join(heads.drop("copies"), ["part", "h1", "h2"]).select("id", "rep"), "owned")
+    keys = heads.select("rep", "copies")
+
+    # The tiles of a part meet each other as they are read from the written table: neither copies of them nor candidates are written.
+    schema = "id long, links long, other long"
+    tile = ["length", "first", "copies", "vectors"]
+    met = ws.save(packed.select(*tile).mapInArrow(lambda b: _meetings(b, kind, cosine, seed), schema), "met")
+    if many:
+        split = join_small(packed, large.select("part", "length"), ["part", "length"], many, "left_semi").select("part", *tile)
+        other = split.select(*(F.col(c).alias(f"other_{c}") for c in split.columns))
+        odd = F.expr("(first ^ other_first) & 1 = 1")
+        turn = F.when(odd, F.col("first") < F.col("other_first")).otherwise(F.col("first") > F.col("other_first"))
+        pairs = split.join(other.hint("shuffle_replicate_nl"), (F.col("part") == F.col("other_part")) & (F.col("length") == F.col("other_length")) & turn)
+        pairs = pairs.select(*tile, "other_first", "other_copies", "other_vectors")
+        met = met.unionByName(ws.save(pairs.mapInArrow(lambda b: _meetings(b, kind, cosine, seed), schema), "met-across"))
     links = met.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     edges = met.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
     shared = owned.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a <> high").select("id", "a")

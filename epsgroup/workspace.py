@@ -1,5 +1,6 @@
 """Tables a job writes between its steps, in the shared folder the session names."""
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,11 @@ class Workspace:
             done.append(len(done))
         return done
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs that have ended: it does so once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def discard(self, *names: str) -> None:
         """Delete the named tables, or the whole folder. What still reads from them must be written elsewhere before."""
         jvm = self.spark.sparkContext._jvm

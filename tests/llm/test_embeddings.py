@@ -71,3 +71,25 @@ def test_doubles_at_the_ends_of_their_range(frame, ws):
     docs = frame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label long")
     got = embeddings.near_duplicates(docs, "vec_id", "embedding", "label", ws).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6)]
+
+
+def test_what_is_written_does_not_grow_with_the_pairs(frame, ws, monkeypatch, tmp_path):
+    """Vectors of one label in twelve tiles: each is written once, packed, wherever else its tile is met."""
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    rng, sizes = np.random.default_rng(3), {}
+    rows = [(i, v, 1) for i, v in enumerate(rng.standard_normal((380, 64)).astype(np.float32).tolist())]
+    rows += [(1000 + i, rows[i][1], 1) for i in range(0, 380, 40)]
+    save = ws.save
+
+    def saved(df, name):
+        assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # copies of vectors
+        out = save(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ws, "save", saved)
+    got = embeddings.near_duplicates(frame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding", "label", ws)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+    assert 12 <= sizes["tiles"] <= 30 and sizes["owned"] == len(rows)
+    packed = ws.spark.read.parquet(f"{ws.path}/tiles").selectExpr("sum(length(vectors))", "sum(length(copies))").first()
+    assert tuple(packed) == (380 * 64 * 4, 380 * 8)
