@@ -33,6 +33,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     many = groups.where("row_key <> component_id").select("component_id").distinct()
     members = groups.join(many, "component_id", "left_semi").distinct()
     members = ws.save(members.join(rows.select("row_key", "doc_id").distinct(), "row_key"), "members")
+    ws.release()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     first = members.groupBy("component_id").agg(first["row_key"].alias("first"))
     gone = members.join(first, "component_id").where("row_key <> first").select("row_key")

@@ -3,13 +3,13 @@
 First level. Between texts nearly all Jaccard distances are 1, so whole documents as pivots would tie everywhere. The first
 pivots are therefore single shingles. A document belongs to the regions of its first n - ceil(t n) + LEAST shingles in a
 fixed order (frequent ones last), which is as far as a document within distance 1 - t can lie: two linked documents meet in at
-least LEAST such regions, or in as many as the larger needs to overlap, if that is fewer. Regions of at most SMALL documents are joined at
-once: pairs that met often enough are verified on their whole sets.
+least LEAST such regions, or in as many as they need to overlap, if that is fewer, and among the first places of both that the sizes of
+the two allow. Regions of at most SMALL documents are joined at once: pairs that met often enough are verified on their whole sets.
 
 Crowded regions are united where they share documents and split again by pivots that are documents. A document goes to its
 nearest pivot, and by the triangle inequality also to each other one that a partner within 1 - t could be nearest to. This is
 repeated until a region fits into a task, where it is joined exactly, rarest shingles first. Regions
-that pivots cannot split are joined in pairs of tiles.
+that pivots cannot split are joined in pairs of tiles, which are written once and read again where they meet.
 
 Sets are folded first when equal, so copies cost nothing. Sets and shingles are told apart by 63-bit and 64-bit hashes.
 """
@@ -26,8 +26,8 @@ from epsgroup.workspace import Workspace
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100  # linked when DENOMINATOR * intersection >= NUMERATOR * union
-LEAST = 3
-SMALL = 64
+LEAST = 8
+SMALL = 256
 TILE = 4 << 20  # shingles of a region joined in one task
 TILE_SETS = 1 << 13  # sets of one, so that there are at most 2^25 pairs to look at; each set counts as TILE / TILE_SETS shingles more
 CHECKED = 1 << 20  # shingles of other sets compared at once with those of one set
@@ -107,7 +107,7 @@ def reach(n):
 
 
 def _entered(batches, listed):
-    """(shingle, node, n) for the regions each set enters; equal sets of a task enter once."""
+    """(shingle, node, place) for the regions each set enters, with its size and the shingle's place in it; equal sets of a task enter once."""
     frequent, seen = Frequent(listed), set()
     for batch in batches:
         for _, texts in slices(batch.column(0)):
@@ -123,8 +123,14 @@ def _entered(batches, listed):
                 sizes.append((len(own), len(ordered)))
             if keys:
                 n, entered = np.array(sizes).T
-                arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), entered), np.repeat(n, entered)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "node", "n"])
+                place = np.arange(entered.sum()) - np.repeat(np.cumsum(entered) - entered, entered)
+                arrays = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), entered), np.repeat(n, entered) << 32 | place]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "node", "place"])
+
+
+def overlap(n, m):
+    """How many shingles linked sets of these sizes have in common at least."""
+    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
 
 
 def similar_sizes(n, m):
@@ -145,43 +151,47 @@ def _met(batches, most):
         none = pa.nulls(len(s), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(node), none, none, pa.array(s), pa.array(n)], schema=_MET)
 
-    def small(s, node, n):
-        """All pairs of like sizes within each run of equal s."""
+    def small(s, node, place):
+        """The pairs within each run of equal s whose sizes and places let them be linked: the first LEAST shingles that
+        linked sets share have at least the rest of their overlap after them in both."""
+        n, at = place >> 32, place & 0xFFFFFFFF
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(s)))
         for m in np.unique(many[many > 1]):
-            rows = first[many == m][:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
-            a, b = rows[:, i].ravel(), rows[:, j].ravel()
-            keep = similar_sizes(n[a], n[b]) & (node[a] != node[b])
-            a, b = a[keep], b[keep]
-            need = np.minimum(LEAST, -(-NUMERATOR * np.maximum(n[a], n[b]) // DENOMINATOR))
-            ends = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(need), none, none], schema=_MET)
+            alike = first[many == m]
+            for start in range(0, len(alike), each := max(1, CHECKED // len(i))):
+                rows = alike[start : start + each, None] + np.arange(m)
+                a, b = rows[:, i].ravel(), rows[:, j].ravel()
+                common = overlap(n[a], n[b])
+                keep = similar_sizes(n[a], n[b]) & (node[a] != node[b]) & (at[a] < n[a] - common + LEAST) & (at[b] < n[b] - common + LEAST)
+                a, b, need = a[keep], b[keep], np.minimum(LEAST, common[keep])
+                ends = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(need), none, none], schema=_MET)
 
     for batch in batches:
-        s, node, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+        s, node, place = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
-        s, node, n = s[new], node[new], n[new]
+        s, node, place = s[new], node[new], place[new]
         if crowded is not None:
             more = s == crowded
-            yield members(s[more], node[more], n[more])
+            yield members(s[more], node[more], place[more] >> 32)
             if more.all():
                 held = [np.zeros(0, np.int64)] * 3
                 continue
-            s, node, n, crowded = s[~more], node[~more], n[~more], None
+            s, node, place, crowded = s[~more], node[~more], place[~more], None
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         many = np.diff(np.append(first, len(s)))
         big = np.repeat(many > most, many)
-        yield members(s[big], node[big], n[big])
+        yield members(s[big], node[big], place[big] >> 32)
         if many[-1] > most:
             held, crowded = [np.zeros(0, np.int64)] * 3, s[-1]
         else:
-            held = [x[first[-1] :] for x in (s, node, n)]
+            held = [x[first[-1] :] for x in (s, node, place)]
         done = ~big & (np.arange(len(s)) < first[-1])
-        yield from small(s[done], node[done], n[done])
+        yield from small(s[done], node[done], place[done])
     yield from small(*held)
 
 
@@ -215,6 +225,20 @@ def _sets(batches, bitmap):
                 yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([own.tobytes()])], ["node", "shingles"])
 
 
+def _among(batches, bitmap):
+    """The rows (node, shingles) whose bit is in the bitmap."""
+    bits = np.uint64((64 * len(bitmap)).bit_length() - 1)
+    for batch in batches:
+        at = batch.column(0).to_numpy().view(np.uint64) >> (np.uint64(64) - bits)
+        yield batch.filter(pa.array((bitmap[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+
+def needed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets with these numbers, given as `a`, and some more: the others are left out before sets are shuffled."""
+    bitmap = sets.sparkSession.sparkContext.broadcast(bitmap_of(nodes.distinct(), MAX_BITS))
+    return sets.select("node", "shingles").mapInArrow(lambda b: _among(b, bitmap.value), "node long, shingles binary")
+
+
 def _verified(batches):
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -236,7 +260,7 @@ def join_tile(table: pa.Table) -> pa.Table:
     rank = np.empty(len(df), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
     order = np.lexsort((rank[ids], owner))
-    shown = order[(np.arange(len(ids)) - of[owner] < (reach(n) - LEAST + 1)[owner]) & (df[ids[order]] > 1)]
+    shown = order[(np.arange(len(ids)) - of[owner] < (n - -(-NUMERATOR * n // DENOMINATOR) + 1)[owner]) & (df[ids[order]] > 1)]
     shown = shown[np.argsort(rank[ids[shown]], kind="stable")]
     # Sets that show a shingle stand together in ascending order; a set meets those after it, each once.
     shingle, members = ids[shown], owner[shown]
@@ -266,6 +290,23 @@ def join_tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[other], "b": nodes[label[other]]})
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """A tile of sets as one row."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.select(["node", "shingles"]).schema) as out:
+        out.write_table(table.select(["node", "shingles"]))
+    keys = [table.column(c).slice(0, 1).combine_chunks() for c in ("region", "tiles", "tile")]
+    return pa.table([*keys, pa.array([sink.getvalue().to_pybytes()])], ["region", "tiles", "tile", "sets"])
+
+
+def _of_two(batches):
+    """The links among the sets of two packed tiles together."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            both = [pa.ipc.open_stream(c[row].as_buffer()).read_all() for c in batch.columns]
+            yield from join_tile(pa.concat_tables(both)).to_batches()
+
+
 _SPLIT = pa.schema([("region", pa.int64()), ("child", pa.int32()), ("node", pa.int64()), ("n", pa.int64())])
 
 
@@ -308,7 +349,7 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
         step += 1
         sizes = ws.save(places.groupBy("region").agg(cost.alias("size")), f"sizes-{step}")
         fits = places.join(sizes.where(F.col("size") <= TILE).select("region"), "region")
-        links = fits.join(sets, "node").select("region", "node", "shingles").groupBy("region").applyInArrow(join_tile, "a long, b long")
+        links = fits.join(needed(sets, fits.select(F.col("node").alias("a"))), "node").select("region", "node", "shingles").groupBy("region").applyInArrow(join_tile, "a long, b long")
         found.append(ws.save(links, f"joined-{step}"))
         large = sizes.where(F.col("size") > TILE)
         if large.isEmpty():
@@ -316,11 +357,13 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
         tiles = F.ceil(2 * F.col("size") / TILE).cast("int")
         rows = places.join(large.select("region", "size", tiles.alias("tiles")), "region")
         rows = ws.save(rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), f"large-{step}")
+        own = needed(sets, rows.select(F.col("node").alias("a")))
         turn = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(step)), "node"))
         pivots = rows.withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
-        pivots = pivots.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        pivots = ws.save(pivots.join(sets, "node").select("region", "tile", "shingles"), f"pivots-{step}")
-        whole = rows.join(sets, "node").select("region", "tile", "node", "shingles")
+        drawn = needed(sets, ws.save(pivots.select(F.col("node").alias("a")), f"drawn-{step}"))
+        pivots = ws.save(pivots.join(drawn, "node").select("region", "tiles", "shingles"), f"pivots-{step}")
+        pivots = pivots.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("region", "tile", "shingles")
+        whole = rows.join(own, "node").select("region", "tile", "node", "shingles")
         split = whole.groupBy("region", "tile").cogroup(pivots.groupBy("region", "tile"))
         split = ws.save(split.applyInArrow(_placed, "region long, child int, node long, n long"), f"split-{step}")
         children = split.groupBy("region", "child").agg(cost.alias("child_size"))
@@ -331,12 +374,20 @@ def _crowds(members: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
         stuck = split.join(children.where(F.col("child_size") > 0.7 * F.col("size")), ["region", "child"])
         stuck = stuck.withColumn("tiles", F.ceil(2 * F.col("child_size") / TILE).cast("int"))
         stuck = stuck.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(step)), "tiles").cast("int"))
-        stuck = stuck.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 OR with <> tile")
-        pair = F.xxhash64("region", "child", F.least("tile", "with"), F.greatest("tile", "with"))
-        stuck = stuck.select(pair.alias("region"), "node", "n")
-        stuck = ws.save(stuck.join(sets, "node").select("region", "node", "shingles"), f"stuck-{step}")
-        found.append(ws.save(stuck.groupBy("region").applyInArrow(join_tile, "a long, b long"), f"blocks-{step}"))
+        stuck = ws.save(stuck.select(F.xxhash64("region", "child").alias("region"), "tiles", "tile", "node"), f"stuck-{step}")
+        ws.release()
+        if not stuck.isEmpty():
+            rest = needed(sets, stuck.select(F.col("node").alias("a")))
+            packed = stuck.join(rest, "node").select("region", "tiles", "tile", "node", "shingles").groupBy("region", "tile")
+            packed = ws.save(packed.applyInArrow(_packed, "region long, tiles int, tile int, sets binary"), f"tiles-{step}")
+            other = packed.select(F.col("region").alias("of"), F.col("tile").alias("with"), F.col("sets").alias("others"))
+            turn = F.when(F.col("tiles") == 1, F.col("tile") == F.col("with")).otherwise(
+                F.when((F.col("tile") + F.col("with")) % 2 == 0, F.col("tile") < F.col("with")).otherwise(F.col("tile") > F.col("with"))
+            )
+            both = packed.join(other.hint("shuffle_replicate_nl"), (F.col("region") == F.col("of")) & turn).select("sets", "others")
+            found.append(ws.save(both.mapInArrow(_of_two, "a long, b long"), f"blocks-{step}"))
         places = ws.save(next_, f"places-{step}")
+        ws.release()
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -360,9 +411,10 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     often = seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= SEEN)
     often = often.orderBy(F.desc("seen"), "shingle").limit(LISTED).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)
     texts = rows.select("text")
-    entered = texts.mapInArrow(lambda b: _entered(b, often), "shingle long, node long, n long")
+    entered = texts.mapInArrow(lambda b: _entered(b, often), "shingle long, node long, place long")
     met = entered.repartition("shingle").sortWithinPartitions("shingle", "node")
     met = ws.save(met.mapInArrow(lambda b: _met(b, most), "a long, b long, need long, crowd long, n long"), "met")
+    ws.release()
     pairs = met.where("crowd IS NULL").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need"))
     pairs = ws.save(pairs.where("times >= need").select("a", "b"), "pairs")
     members = met.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("node"), "n")
@@ -371,11 +423,16 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     bitmap = spark.sparkContext.broadcast(bitmap_of(wanted, MAX_BITS))
     sets = texts.mapInArrow(lambda b: _sets(b, bitmap.value), "node long, shingles binary")
     sets = ws.save(sets.dropDuplicates(["node"]), "sets")
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    ws.release()
 
     def verified(some: DataFrame, name: str) -> DataFrame:
-        both = some.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-        return ws.save(both.mapInArrow(_verified, "a long, b long"), name)
+        some = ws.save(some, f"{name}-asked")
+        for c in "ab":
+            side = needed(sets, some.select(F.col(c).alias("a")))
+            some = some.join(side.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")), c)
+        out = ws.save(some.select("a", "b", "of_a", "of_b").mapInArrow(_verified, "a long, b long"), name)
+        ws.release()
+        return out
 
     # First one pair for each document, then of the others those that do not lie in one group already.
     lowest = ws.save(pairs.groupBy("b").agg(F.min("a").alias("a")), "lowest")
@@ -391,6 +448,8 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     named = ws.save(named.select("node", "component", "first"), "named")
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = ws.save(named.join(lowest, "component").select("node", "component_id"), "components")
+    ws.discard("met", "sets")
+    ws.release()
     kind = docs.schema[id_col].dataType
     out = described.where("node IS NOT NULL").join(named, "node").select("doc", "n", "component_id")
     out = out.unionByName(described.where("node IS NULL").select("doc", "n", F.col("doc").alias("component_id")))

@@ -131,3 +131,37 @@ def test_components_of_chains_and_stars(spark, ws):
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long").repartition(7), ws).collect())
     want = {i: 100 for i in range(100, 161)} | {500 + i: 500 for i in range(60)} | {900: 900, 901: 900}
     assert got == want
+
+
+def sizes_written(ws, monkeypatch):
+    sizes, save = {}, ws.save
+
+    def saved(df, name):
+        out = save(df, name)
+        sizes[name] = out.count() if "sets" not in out.columns else out.selectExpr("sum(length(sets))").first()[0] or 0
+        return out
+
+    monkeypatch.setattr(ws, "save", saved)
+    return sizes
+
+
+def test_sets_that_share_little_are_no_candidates(frame, ws, monkeypatch):
+    """Long documents that share a short passage meet in a few regions each, too few for their sizes."""
+    sizes = sizes_written(ws, monkeypatch)
+    rows = [(i, " ".join([f"d{i}w{k}" for k in range(60)] + [f"p{i // 10}x{k}" for k in range(9)])) for i in range(60)]
+    check(frame, ws, [*rows, (100, rows[7][1] + " more")])
+    assert sizes["pairs"] == 1 and sizes["sets"] == 2
+
+
+def test_tiles_of_regions_that_pivots_cannot_split_are_written_once(frame, ws, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "TILE", 200)
+    monkeypatch.setattr(jaccard, "TILE_SETS", 50)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    sizes = sizes_written(ws, monkeypatch)
+    random.seed(5)
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join([*passage, *(f"d{i // 2}w{k}" for k in range(4))])) for i in range(120)]
+    check(frame, ws, rows)
+    # 60 different sets of 12 shingles, 8 bytes each, with the frame of each tile of some hundred bytes.
+    assert 60 * 12 * 8 <= sizes["tiles-1"] <= 60 * 12 * 8 * 6 and "blocks-1" in sizes
