@@ -3,8 +3,8 @@
 First level. Between texts nearly all Jaccard distances are 1, so whole documents as pivots would tie everywhere. The first
 pivots are therefore single shingles. A document belongs to the regions of its first n - ceil(t n) + LEAST shingles in a
 fixed order (frequent ones last), which is as far as a document within distance 1 - t can lie: two linked documents meet in at
-least LEAST such regions, or in as many as they need to overlap, if that is fewer, and among the first places of both that the sizes of
-the two allow. Regions of at most SMALL documents are joined at once: pairs that met often enough are verified on their whole sets.
+least LEAST such regions, or in as many as they need to overlap, if that is fewer. What the sizes of the two demand is counted: of two
+documents of 500 shingles about half of the first 104 of each must be shared. Regions of at most SMALL documents are joined at once: pairs that met often enough are verified on their whole sets.
 
 Crowded regions are united where they share documents and split again by pivots that are documents. A document goes to its
 nearest pivot, and by the triangle inequality also to each other one that a partner within 1 - t could be nearest to. This is
@@ -26,7 +26,7 @@ from epsgroup.workspace import Workspace
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100  # linked when DENOMINATOR * intersection >= NUMERATOR * union
-LEAST = 8
+LEAST = 4
 SMALL = 256
 TILE = 4 << 20  # shingles of a region joined in one task
 TILE_SETS = 1 << 13  # sets of one, so that there are at most 2^25 pairs to look at; each set counts as TILE / TILE_SETS shingles more
@@ -152,8 +152,11 @@ def _met(batches, most):
         return pa.RecordBatch.from_arrays([pa.array(node), none, none, pa.array(s), pa.array(n)], schema=_MET)
 
     def small(s, node, place):
-        """The pairs within each run of equal s whose sizes and places let them be linked: the first LEAST shingles that
-        linked sets share have at least the rest of their overlap after them in both."""
+        """The pairs within each run of equal s whose sizes and places let them be linked, with the meetings they need.
+
+        For every k, the first k shingles that two sets of overlap o share lie among the first n - o + k of both, since the
+        other o - k come later. The largest k is taken for which both have entered so many regions.
+        """
         n, at = place >> 32, place & 0xFFFFFFFF
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         many = np.diff(np.append(first, len(s)))
@@ -163,9 +166,13 @@ def _met(batches, most):
             for start in range(0, len(alike), each := max(1, CHECKED // len(i))):
                 rows = alike[start : start + each, None] + np.arange(m)
                 a, b = rows[:, i].ravel(), rows[:, j].ravel()
+                keep = similar_sizes(n[a], n[b]) & (node[a] != node[b])
+                a, b = a[keep], b[keep]
+                later = -(-NUMERATOR * np.maximum(n[a], n[b]) // DENOMINATOR) - LEAST
+                keep = (at[a] < n[a] - later) & (at[b] < n[b] - later)
+                a, b, later = a[keep], b[keep], later[keep]
                 common = overlap(n[a], n[b])
-                keep = similar_sizes(n[a], n[b]) & (node[a] != node[b]) & (at[a] < n[a] - common + LEAST) & (at[b] < n[b] - common + LEAST)
-                a, b, need = a[keep], b[keep], np.minimum(LEAST, common[keep])
+                need = np.minimum(common - later, common)
                 ends = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(need), none, none], schema=_MET)
@@ -416,7 +423,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
     met = ws.save(met.mapInArrow(lambda b: _met(b, most), "a long, b long, need long, crowd long, n long"), "met")
     ws.release()
     pairs = met.where("crowd IS NULL").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need"))
-    pairs = ws.save(pairs.where("times >= need").select("a", "b"), "pairs")
+    pairs = ws.save(pairs.where("times >= need").select("a", "b", "times"), "pairs")
     members = met.where("crowd IS NOT NULL").select("crowd", F.col("a").alias("node"), "n")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(members.select(F.col("node").alias("a")))
     wanted = ws.save(wanted.distinct(), "wanted")
@@ -434,12 +441,12 @@ def join(docs: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFram
         ws.release()
         return out
 
-    # First one pair for each document, then of the others those that do not lie in one group already.
-    lowest = ws.save(pairs.groupBy("b").agg(F.min("a").alias("a")), "lowest")
-    links = verified(lowest, "links").unionByName(_crowds(members, sets, ws))
+    # First for each document the pair that met most often, then of the others those that do not lie in one group already.
+    likely = ws.save(pairs.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")), "likely")
+    links = verified(likely, "links").unionByName(_crowds(members, sets, ws))
     united = ws.save(components(links, ws, "united"), "united")
     ends = [united.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
-    others = pairs.join(lowest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    others = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     others = others.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
     others = verified(others, "other-links")
     groups = united if others.isEmpty() else ws.save(components(links.unionByName(others), ws, "groups"), "groups")
