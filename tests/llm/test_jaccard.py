@@ -148,7 +148,7 @@ def sizes_written(ws, monkeypatch):
 def test_sets_that_share_little_are_no_candidates(frame, ws, monkeypatch):
     """Long documents that share a short passage meet in a few regions each, too few for their sizes."""
     sizes = sizes_written(ws, monkeypatch)
-    rows = [(i, " ".join([f"d{i}w{k}" for k in range(60)] + [f"p{i // 10}x{k}" for k in range(9)])) for i in range(60)]
+    rows = [(i, " ".join([f"d{i}w{k}" for k in range(60)] + [f"p{i // 10}x{k}" for k in range(14)])) for i in range(60)]
     check(frame, ws, [*rows, (100, rows[7][1] + " more")])
     assert sizes["pairs"] == 1 and sizes["sets"] == 2
 
